@@ -95,7 +95,7 @@ def block_names(scratch: Scratch, docs: DataFrame, block_chars: int = BLOCK_CHAR
     cut = with_row_id(docs.select("doc_id", "text")).select("row_id", "doc_id", flat.alias("flat"))
     pieces = F.regexp_extract_all("flat", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0))
     cut = cut.select("row_id", "doc_id", F.sha2(F.encode("flat", "UTF-8"), 256).alias("sha"), F.when(F.col("flat") == "", F.array(F.lit(""))).otherwise(pieces).alias("pieces"))
-    rows = cut.select("row_id", "doc_id", "sha", F.size("pieces").cast("long").alias("n"), F.posexplode("pieces").alias("pos", "block"))
+    rows = cut.select("row_id", "doc_id", "sha", F.size("pieces").cast("long").alias("n"), F.posexplode_outer("pieces").alias("pos", "block"))
     rows = rows.withColumn("pos", F.col("pos").cast("long")).withColumn("sha", F.when(F.col("pos") == 0, F.unhex("sha")))
     named = name_keys(scratch, rows, ["block"], "level-0")
     facts = named.where("pos = 0").select("row_id", "doc_id", F.lower(F.hex("sha")).alias("text_sha256"))
