@@ -37,10 +37,10 @@ def score_quality(docs: DataFrame, model: AdditiveModel, name: str = "score") ->
     return score_column(docs, surface, lambda x: sigmoid(model.margin(x)), name)
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def drop_low_quality(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD) -> DataFrame:
     """The rows that score ``threshold`` or more, all columns as they were."""
     mark = "__tidewright_score"
-    return score_quality(docs, fit_quality(docs, labels), mark).where(F.col(mark) >= threshold).drop(mark)
+    return score_quality(docs, model, mark).where(F.col(mark) >= threshold).drop(mark)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

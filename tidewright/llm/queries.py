@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact_dedup, packing, shard, simhash, token_files
+from . import chat, decontaminate, exact_dedup, packing, pii, quality, shard, simhash, token_files, toxicity
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_files": token_files.op3,
         "op4_chat_format": chat.op4,
         "op5_simhash_dedup": simhash.op5,
+        "op6_toxicity": toxicity.op6,
+        "op7_pii": pii.op7,
         "op8_packing": packing.op8,
+        "op9_quality": quality.op9,
         "op10_exact_dedup": exact_dedup.op10,
         "pipeline": _pipeline,
     }
