@@ -1,9 +1,476 @@
-"""The query catalogue (under construction)."""
+"""The query catalogue: each operator's relational shape on the star-schema tables, with its SQL.
 
+A history of runs is small; these queries put the same operators on tables that
+grow.  ``queries()`` gives DataFrames and ``oracle_sql()`` the same rows in SQL.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions.identity import bag_digest, digest_column
+from .operators import checks, diff, metering, verify
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query("""
+select user_id, event_id, event_type, value from (
+  select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) where rn = 1
+""")
+def latest_per_key(spark: SparkSession, sf: str) -> DataFrame:
+    """Latest record of each key; a struct maximum combines map-side, unlike a window."""
+    best = F.max(F.struct("ts", "event_id", "event_type", "value")).alias("m")
+    return _table(spark, sf, "events").groupBy("user_id").agg(best).select("user_id", "m.event_id", "m.event_type", "m.value")
+
+
+@query("""
+select event_id, event_type, value, (select count(*) from events) as total_matched, (select count(*) > 20 from events) as truncated
+from events order by ts desc, event_id desc limit 20
+""")
+def bounded_newest_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Top-k newest with the count of all matches; the limit is the feature."""
+    events = _table(spark, sf, "events")
+    total = events.agg(F.count("*").alias("total_matched"))
+    top = events.orderBy(F.desc("ts"), F.desc("event_id")).limit(20).select("event_id", "event_type", "value")
+    return top.join(F.broadcast(total)).withColumn("truncated", F.col("total_matched") > 20)
+
+
+@query("select o_orderkey, o_custkey, o_totalprice from orders where o_orderstatus = 'F' and o_totalprice > 1000")
+def filter_then_project_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "orders").where((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 1000)).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+_CAUSES = """
+with h as (
+  select event_id, event_type, value, user_id,
+         lag(event_type) over w as before_type, lag(value) over w as before_value,
+         lag(event_id) over w as before_id
+  from events window w as (partition by user_id order by ts, event_id)
+), c as (
+  select event_id, list_filter([
+     case when event_type = 'error' then 'reuse_not_enabled' end,
+     case when before_id is null then 'baseline_stage_missing' end,
+     case when before_id is not null and before_value is null then 'baseline_output_absent' end,
+     case when before_id is not null and event_type is distinct from before_type then 'influences_changed' end
+  ], lambda x: x is not null) as causes from h)
+select event_id, coalesce(causes[1], 'reused') as reason, coalesce(array_to_string(causes, ','), '') as causes,
+       case when len(causes) = 0 then 'reuse' else 'execute' end as decision from c
+"""
+
+
+@query(_CAUSES)
+def cause_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    """All causes in their fixed order, the first being the reason."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    h = _table(spark, sf, "events").select("event_id", "event_type", "value", F.lag("event_type").over(w).alias("before_type"), F.lag("value").over(w).alias("before_value"), F.lag("event_id").over(w).alias("before_id"))
+    known = F.col("before_id").isNotNull()
+    causes = F.array_compact(F.array(
+        F.when(F.col("event_type") == "error", F.lit("reuse_not_enabled")),
+        F.when(~known, F.lit("baseline_stage_missing")),
+        F.when(known & F.col("before_value").isNull(), F.lit("baseline_output_absent")),
+        F.when(known & ~F.col("event_type").eqNullSafe(F.col("before_type")), F.lit("influences_changed")),
+    ))
+    c = h.select("event_id", causes.alias("c"))
+    return c.select("event_id", F.coalesce(F.get("c", F.lit(0)), F.lit("reused")).alias("reason"), F.array_join("c", ",").alias("causes"), F.when(F.size("c") == 0, "reuse").otherwise("execute").alias("decision"))
+
+
+_SNAPSHOTS = """
+a as (select o_orderkey, o_orderstatus, o_totalprice, o_orderpriority from orders where o_orderkey % 7 <> 0),
+b as (select o_orderkey, case when o_orderkey % 5 = 0 then 'X' else o_orderstatus end as o_orderstatus,
+             case when o_orderkey % 11 = 0 then o_totalprice + 1 else o_totalprice end as o_totalprice, o_orderpriority
+      from orders where o_orderkey % 13 <> 0)
+"""
+
+
+def _snapshots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    o = _table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    key = F.col("o_orderkey")
+    b = o.where(key % 13 != 0).withColumns({"o_orderstatus": F.when(key % 5 == 0, "X").otherwise(F.col("o_orderstatus")), "o_totalprice": F.when(key % 11 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))})
+    return o.where(key % 7 != 0), b
+
+
+@query(f"""
+with {_SNAPSHOTS}
+select o_orderkey, array_to_string(list_filter([
+   case when a.o_orderstatus is distinct from b.o_orderstatus then 'o_orderstatus' end,
+   case when a.o_totalprice is distinct from b.o_totalprice then 'o_totalprice' end,
+   case when a.o_orderpriority is distinct from b.o_orderpriority then 'o_orderpriority' end], lambda x: x is not null), ',') as changed
+from a join b using (o_orderkey)
+where a.o_orderstatus is distinct from b.o_orderstatus or a.o_totalprice is distinct from b.o_totalprice or a.o_orderpriority is distinct from b.o_orderpriority
+""")
+def changed_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields that differ between two snapshots, in their fixed order."""
+    a, b = _snapshots(spark, sf)
+    both = diff.diff_rows(a, b, ["o_orderkey"], ["o_orderstatus", "o_totalprice", "o_orderpriority"])
+    return both.where("kind = 'changed'").select("o_orderkey", F.array_join("changed_fields", ",").alias("changed"))
+
+
+@query(f"""
+with {_SNAPSHOTS}, d as (
+  select case when a.o_orderkey is null then 'added' when b.o_orderkey is null then 'removed'
+              when a.o_orderstatus is distinct from b.o_orderstatus or a.o_totalprice is distinct from b.o_totalprice
+                or a.o_orderpriority is distinct from b.o_orderpriority then 'changed' else 'unchanged' end as kind
+  from a full join b on a.o_orderkey = b.o_orderkey)
+select kind, count(*) as n from d group by kind
+""")
+def snapshot_diff_kind(spark: SparkSession, sf: str) -> DataFrame:
+    """Added, removed, changed and unchanged keys of two snapshots, counted."""
+    a, b = _snapshots(spark, sf)
+    return diff.diff_rows(a, b, ["o_orderkey"], ["o_orderstatus", "o_totalprice", "o_orderpriority"]).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("""
+with l as (select c_custkey as name, cast(c_nationkey as bigint) as target from customer where c_custkey % 3 <> 0),
+     r as (select o_custkey as name, cast(max(o_orderkey) % 25 as bigint) as target from orders group by o_custkey)
+select coalesce(l.name, r.name) as binding, l.target as before_target, r.target as after_target
+from l full join r on l.name = r.name where l.target is distinct from r.target
+""")
+def binding_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Bindings whose target differs between two sides, null-safe."""
+    left = _table(spark, sf, "customer").where(F.col("c_custkey") % 3 != 0).select(F.col("c_custkey").alias("name"), F.col("c_nationkey").cast("long").alias("before_target"))
+    right = _table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("name")).agg((F.max("o_orderkey") % 25).cast("long").alias("after_target"))
+    return left.join(right, "name", "full").where(~F.col("before_target").eqNullSafe(F.col("after_target"))).withColumnRenamed("name", "binding")
+
+
+@query("select doc_id, 'sha256:' || sha256('tidewright/text/v1' || chr(0) || text) as digest from documents where text is not null")
+def content_digest(spark: SparkSession, sf: str) -> DataFrame:
+    """Domain-separated digest of every text."""
+    return _table(spark, sf, "documents").where("text is not null").select("doc_id", digest_column("tidewright/text/v1", F.encode("text", "UTF-8")).alias("digest"))
+
+
+@query("""
+select o_orderstatus, count(*) as n, sha256(concat_ws('|', count(*), sum(('0x' || substr(h, 1, 8))::bigint), sum(('0x' || substr(h, 9, 8))::bigint), sum(('0x' || substr(h, 17, 8))::bigint), sum(('0x' || substr(h, 25, 8))::bigint))) as digest
+from (select o_orderstatus, sha256(o_orderkey || ',' || o_custkey) as h from orders) group by o_orderstatus
+""")
+def multiset_digest(spark: SparkSession, sf: str) -> DataFrame:
+    """Digest of a bag of rows per group, whatever their order: sums of hash words, so no group is collected."""
+    h = F.sha2(F.concat_ws(",", "o_orderkey", "o_custkey"), 256)
+    words = [F.sum(F.conv(F.substring("h", 1 + 8 * k, 8), 16, 10).cast("decimal(20,0)")) for k in range(4)]
+    rows = _table(spark, sf, "orders").select("o_orderstatus", h.alias("h"))
+    return rows.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sha2(F.concat_ws("|", F.count("*").cast("string"), *[w.cast("string") for w in words]), 256).alias("digest"))
+
+
+@query()
+def table_bag_digest(spark: SparkSession, sf: str) -> DataFrame:
+    """Order-free identity of a whole table in one pass with map-side combination."""
+    return bag_digest(_table(spark, sf, "lineitem"))
+
+
+@query("""
+select sha256('tidewright/text/v1' || chr(0) || coalesce(text, '')) as digest, count(*) as copies, min(doc_id) as first_id
+from documents group by 1 having count(*) > 1
+""")
+def duplicate_artifacts(spark: SparkSession, sf: str) -> DataFrame:
+    """Contents stored more than once."""
+    d = F.substring(digest_column("tidewright/text/v1", F.encode(F.coalesce("text", F.lit("")), "UTF-8")), 8, 64)
+    return _table(spark, sf, "documents").groupBy(d.alias("digest")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+
+
+@query("select event_id, json_extract_string(props, '$.k') as k from events")
+def json_pointer_select(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("""
+select event_id, case when json_exists(props, '$.k') then 'present' else 'missing' end as k_state,
+       case when json_exists(props, '$.z') then 'present' else 'missing' end as z_state from events
+""")
+def pointer_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Missing told apart from null: the member names decide, not the value."""
+    names = F.json_object_keys("props")
+    state = lambda k: F.when(F.array_contains(names, k), "present").otherwise("missing")
+    return _table(spark, sf, "events").select("event_id", state("k").alias("k_state"), state("z").alias("z_state"))
+
+
+@query("""
+select event_id, '/' || replace(replace(event_type || '/~' || user_id, '~', '~0'), '/', '~1') as pointer from events
+""")
+def pointer_escape(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.concat("event_type", F.lit("/~"), F.col("user_id").cast("string"))
+    return _table(spark, sf, "events").select("event_id", F.concat(F.lit("/"), F.replace(F.replace(raw, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))).alias("pointer"))
+
+
+@query("select c_custkey, c_name from customer where exists (select 1 from orders where o_custkey = c_custkey)")
+def membership_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "customer").join(_table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left_semi").select("c_custkey", "c_name")
+
+
+@query("select doc_id from documents where not exists (select 1 from labels where labels.doc_id = documents.doc_id)")
+def not_in_known(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "documents").select("doc_id").join(_table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("""
+select o_orderkey, o_custkey from orders where o_custkey in (select o_custkey from orders group by o_custkey having count(*) >= 12)
+""")
+def count_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of keys that are mentioned often enough."""
+    o = _table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    often = o.groupBy("o_custkey").agg(F.count("*").alias("n")).where("n >= 12").select("o_custkey")
+    return o.join(often, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
+
+
+@query("""
+select doc_id, word from (select doc_id, unnest(string_split(text, ' ')) as word from documents) where length(word) >= 24
+""")
+def explode_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per qualifying element of each record."""
+    return _table(spark, sf, "documents").select("doc_id", F.explode(F.filter(F.split("text", " "), lambda w: F.char_length(w) >= 24)).alias("word"))
+
+
+_EDGES = """
+e as (
+  select 'world' as src, 'r:' || r_name as dst from region
+  union all select 'r:' || r_name, 'n:' || n_name from nation join region on n_regionkey = r_regionkey)
+"""
+
+
+def _edges(spark: SparkSession, sf: str) -> DataFrame:
+    region, nation = _table(spark, sf, "region"), _table(spark, sf, "nation")
+    up = region.select(F.lit("world").alias("src"), F.concat(F.lit("r:"), "r_name").alias("dst"))
+    down = nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.concat(F.lit("r:"), "r_name").alias("src"), F.concat(F.lit("n:"), "n_name").alias("dst"))
+    return up.union(down)
+
+
+@query(f"""
+with recursive {_EDGES}, walk as (
+  select 'world' as node, cast(0 as bigint) as depth union all select dst, depth + 1 from walk join e on src = node)
+select node, max(depth) as depth from walk group by node
+""")
+def graph_reachability(spark: SparkSession, sf: str) -> DataFrame:
+    """Everything downstream of a root with its layer."""
+    return diff.reachable(spark, _edges(spark, sf), "world")
+
+
+@query("""
+with recursive base as (select conv_id, min(turn) as first_turn from conversations group by conv_id), walk as (
+  select conv_id, first_turn as turn, cast(1 as bigint) as depth from base
+  union all select c.conv_id, c.turn, depth + 1 from walk w join conversations c on c.conv_id = w.conv_id and c.turn = w.turn + 1)
+select conv_id, max(depth) as depth from walk group by conv_id
+""")
+def chain_depth(spark: SparkSession, sf: str) -> DataFrame:
+    """Length of the unbroken chain from each first record; gaps and islands instead of recursion."""
+    c = _table(spark, sf, "conversations").select("conv_id", "turn").distinct()
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    island = c.withColumn("k", F.col("turn") - F.row_number().over(w)).withColumn("first", F.first("k").over(w))
+    return island.where("k = first").groupBy("conv_id").agg(F.count("*").alias("depth"))
+
+
+@query("""
+with f as (select conv_id, turn, (contains(text, '?') or length(text) < 60) as failed from conversations)
+select conv_id, turn, failed, coalesce(max(cast(failed as int)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) = 1 as blocked from f
+""")
+def failure_propagation(spark: SparkSession, sf: str) -> DataFrame:
+    """A record is blocked when an earlier one of its chain failed."""
+    failed = F.contains("text", F.lit("?")) | (F.char_length("text") < 60)
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    c = _table(spark, sf, "conversations").select("conv_id", "turn", failed.alias("failed"))
+    return c.withColumn("blocked", F.coalesce(F.bool_or("failed").over(before), F.lit(False)))
+
+
+_PAIRS = """
+p as (
+  select d.doc_id, d.lang as check_id, case when l.quality is null then null else l.quality = 1 end as baseline,
+         case when d.n_chars < 40 then null else l.toxic = 0 and d.n_chars < 12000 end as candidate
+  from documents d join labels l on d.doc_id = l.doc_id),
+v as (
+  select *, case when baseline is null or candidate is null then 'incomparable' when baseline and candidate then 'unchanged_pass'
+                 when baseline then 'regressed' when candidate then 'improved' else 'unchanged_fail' end as comparison from p)
+"""
+
+
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    d = _table(spark, sf, "documents").select("doc_id", "lang", "n_chars").join(_table(spark, sf, "labels"), "doc_id")
+    return d.select("doc_id", F.col("lang").alias("check_id"), (F.col("quality") == 1).alias("baseline"), F.when(F.col("n_chars") < 40, None).otherwise((F.col("toxic") == 0) & (F.col("n_chars") < 12000)).alias("candidate"))
+
+
+@query(f"""
+with {_PAIRS}
+select check_id, count(*) as total, count_if(baseline) as baseline_passed, count_if(not baseline) as baseline_failed, count_if(baseline is null) as baseline_errors,
+  count_if(candidate) as candidate_passed, count_if(not candidate) as candidate_failed, count_if(candidate is null) as candidate_errors,
+  count_if(comparison = 'improved') as improved, count_if(comparison = 'regressed') as regressed, count_if(comparison = 'unchanged_pass') as unchanged_pass,
+  count_if(comparison = 'unchanged_fail') as unchanged_fail, count_if(comparison = 'incomparable') as incomparable
+from v group by check_id
+""".replace("count_if(", "count(*) filter (where "))
+def verdict_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdict counters of check pairs, by check."""
+    return checks.summarise(checks.compare_verdicts(_pairs(spark, sf)), ["check_id"])
+
+
+@query(f"""
+with {_PAIRS}
+select check_id,
+  case when count(*) filter (where candidate is null) > 0 then 'error' when count(*) filter (where not candidate) > 0 then 'failed' else 'passed' end as candidate_status,
+  case when count(*) filter (where comparison = 'incomparable') > 0 then 'error' when count(*) filter (where comparison = 'regressed') > 0 then 'regressed' else 'no_regressions' end as comparison_status
+from v group by check_id
+""")
+def status_precedence(spark: SparkSession, sf: str) -> DataFrame:
+    return checks.statuses(checks.summarise(checks.compare_verdicts(_pairs(spark, sf)), ["check_id"]), ["check_id"])
+
+
+@query("select event_type as status, count(*) as n from events group by event_type")
+def status_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "events").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("""
+select event_type as scenario, count(*) as calls, count(*) filter (where value is null or value < 5) as unknown,
+  round(coalesce(sum(case when value >= 5 then value end), 0), 2) as known_cost,
+  round(sum(coalesce(case when value >= 5 then value end, 100.0)), 2) as exposure
+from events group by event_type
+""")
+def usage_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Known cost, calls of unknown cost, and the worst case with these at their reservation."""
+    ledger = _table(spark, sf, "events").select(F.col("event_type").alias("scenario"), F.when(F.col("value") >= 5, F.col("value")).alias("cost"), F.lit(100.0).alias("reservation"))
+    return metering.usage(ledger)
+
+
+@query("""
+with s as (select event_type, sum(value) as total, count(*) as calls from events group by event_type),
+     r as (select max(total) filter (where event_type = (select min(event_type) from events)) as total, max(calls) filter (where event_type = (select min(event_type) from events)) as calls from s)
+select s.event_type as scenario, round(r.total - s.total, 2) as avoided,
+  round(case when r.total = 0 then null else (r.total - s.total) * cast(100 as double) / r.total end, 4) as percent,
+  r.calls - s.calls as calls_avoided
+from s, r
+""")
+def savings_percent(spark: SparkSession, sf: str) -> DataFrame:
+    """What each scenario avoids against a reference scenario."""
+    ledger = _table(spark, sf, "events").select(F.col("event_type").alias("scenario"), F.col("value").alias("cost"))
+    return metering.savings(ledger, ledger.agg(F.min("scenario").alias("scenario")))
+
+
+@query("select l_orderkey, l_linenumber, cast(ceil(l_quantity * 300 + l_tax * 2500) as bigint) as nano from lineitem")
+def cost_nano(spark: SparkSession, sf: str) -> DataFrame:
+    """Integer cost, rounded up."""
+    return _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", metering.nano_cost(F.col("l_quantity"), F.col("l_tax"), 300, 2500).alias("nano"))
+
+
+@query("select doc_id, octet_length(encode(text)) as bytes, octet_length(encode(text)) > 16384 as too_large from documents")
+def byte_length_guard(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.octet_length("text").cast("long")
+    return _table(spark, sf, "documents").select("doc_id", n.alias("bytes"), (n > 16384).alias("too_large"))
+
+
+@query(r"select doc_id, cast(len(regexp_split_to_array(trim(text), '\s+')) as bigint) as words, len(regexp_split_to_array(trim(text), '\s+')) <= 250 as within from documents")
+def word_limit_check(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.size(F.split(F.trim("text"), r"\s+")).cast("long")
+    return _table(spark, sf, "documents").select("doc_id", n.alias("words"), (n <= 250).alias("within"))
+
+
+_MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+"
+
+
+@query(f"""
+select doc_id, md5(regexp_replace(regexp_replace(text, '{_MAIL}', '[redacted]', 'g'), '(api[_-]?key|token|password)(\\s*[=:]\\s*)[^\\s]+', '\\1\\2[redacted]', 'g')) as redacted_md5,
+       left(regexp_replace(regexp_replace(text, '{_MAIL}', '[redacted]', 'g'), '(api[_-]?key|token|password)(\\s*[=:]\\s*)[^\\s]+', '\\1\\2[redacted]', 'g'), 600) as preview
+from documents
+""")
+def redact_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Addresses and secrets replaced; the preview is capped at 600 characters, as such exports are."""
+    clean = verify.redact(F.col("text"))
+    return _table(spark, sf, "documents").select("doc_id", clean.alias("c")).select("doc_id", F.md5(F.encode("c", "UTF-8")).alias("redacted_md5"), F.left("c", F.lit(600)).alias("preview"))
+
+
+@query(f"select doc_id, regexp_matches(text, '{_MAIL}') as has_mail, regexp_matches(text, '(api[_-]?key|token|password)\\s*[=:]') as has_secret from documents where regexp_matches(text, '{_MAIL}') or regexp_matches(text, '(api[_-]?key|token|password)\\s*[=:]')")
+def pii_reject(spark: SparkSession, sf: str) -> DataFrame:
+    """Records that an export must refuse."""
+    mail, secret = F.col("text").rlike(_MAIL), F.col("text").rlike(r"(api[_-]?key|token|password)\s*[=:]")
+    return _table(spark, sf, "documents").select("doc_id", mail.alias("has_mail"), secret.alias("has_secret")).where("has_mail or has_secret")
+
+
+@query("""
+select a.vec_id, cast(coalesce(list_position(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1] is distinct from p[2]), true), 0) as bigint) as first_difference
+from embeddings a join embeddings b on b.vec_id = a.vec_id + 1
+""")
+def ordered_array_first_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Place of the first element that differs from the next record's array, 0 if none."""
+    e = _table(spark, sf, "embeddings").select("vec_id", "embedding")
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    differ = F.zip_with("embedding", "other", lambda a, b: ~a.eqNullSafe(b))
+    return e.join(nxt, "vec_id").select("vec_id", F.coalesce(F.array_position(differ, True), F.lit(0)).cast("long").alias("first_difference"))
+
+
+@query("""
+with l as (select l_orderkey, count(*) as lines, count(distinct l_linenumber) as numbers, min(l_shipdate) as shipped from lineitem group by l_orderkey)
+select o_orderkey, array_to_string(list_filter([
+  case when l.l_orderkey is null then 'no_lines' end,
+  case when lines <> numbers then 'duplicate_line' end,
+  case when shipped < o_orderdate then 'shipped_before_order' end], lambda x: x is not null), ',') as violations
+from orders left join l on l_orderkey = o_orderkey
+where l.l_orderkey is null or lines <> numbers or shipped < o_orderdate
+""")
+def integrity_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules as flags, broken ones listed in their order."""
+    lines = _table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("lines"), F.count_distinct("l_linenumber").alias("numbers"), F.min("l_shipdate").alias("shipped"))
+    rules = {"no_lines": F.col("lines").isNull(), "duplicate_line": F.col("lines") != F.col("numbers"), "shipped_before_order": F.col("shipped") < F.col("o_orderdate")}
+    flagged = verify.violations(_table(spark, sf, "orders").join(lines, "o_orderkey", "left"), rules)
+    return flagged.where(F.size("violations") > 0).select("o_orderkey", F.array_join("violations", ",").alias("violations"))
+
+
+@query("""
+select 'customer' as format, c_custkey as id, c_name as name, c_acctbal as balance, c_mktsegment as segment from customer
+union all select 'supplier', s_suppkey, s_name, s_acctbal, null from supplier
+""")
+def union_formats(spark: SparkSession, sf: str) -> DataFrame:
+    """Two record formats in one listing; what one lacks is null."""
+    c = _table(spark, sf, "customer").select(F.lit("customer").alias("format"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    s = _table(spark, sf, "supplier").select(F.lit("supplier").alias("format"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    return c.unionByName(s, allowMissingColumns=True)
+
+
+@query("select count(*) as n, count(distinct o_custkey) as different, count(o_custkey) - count(distinct o_custkey) as duplicates from orders")
+def duplicates_minus_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    o = _table(spark, sf, "orders")
+    return o.agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("different"), (F.count("o_custkey") - F.count_distinct("o_custkey")).alias("duplicates"))
+
+
+@query("select l_orderkey, bool_and(l_discount <= 0.08 and l_quantity >= 1) as ready from lineitem group by l_orderkey")
+def all_passed(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.bool_and((F.col("l_discount") <= 0.08) & (F.col("l_quantity") >= 1)).alias("ready"))
+
+
+@query("select o.o_orderkey, o.o_custkey, l.n as lines from orders o join (select l_orderkey, count(*) as n from lineitem group by l_orderkey having count(*) = 1) l on l_orderkey = o_orderkey")
+def exactly_one_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Records whose key matches exactly once on the other side."""
+    once = _table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("lines")).where("lines = 1")
+    return _table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(once, "o_orderkey").select("o_orderkey", "o_custkey", "lines")
+
+
+def incremental_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workflow of three stages run fresh, then against that run with one input changed."""
+    from .demo import run_demo
+
+    return run_demo(spark, sf_dir)
+
+
+@query()
+def incremental_workflow(spark: SparkSession, sf: str) -> DataFrame:
+    return incremental_demo(spark, sf)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
