@@ -86,7 +86,7 @@ def find_contamination(
     items are all reported.  Empty tables give an empty result.
     """
     scratch = Scratch(spark, "decontaminate")
-    items = with_shingles(benchmark.select("item_id", "text"), shingle).where(F.size("h") > 0)
+    items = with_shingles(with_row_id(benchmark.select("item_id", "text"), "item"), shingle).where(F.size("h") > 0)
     items = items.withColumns({"n": F.size("h"), "fp": simhash(F.col("h"))})
     items = scratch.write(items, "items")
     # a size is looked for where shingles of items of that size occur
@@ -111,7 +111,7 @@ def find_contamination(
     windows = spans.select("row_id", "doc_id", "n", "hit", F.explode(starts).alias("window"))
     inside = F.filter("hit", lambda x: (x["pos"] >= F.col("window")) & (x["pos"] < F.col("window") + F.col("n")))
     windows = windows.select("row_id", "doc_id", "n", "window", F.transform(inside, lambda x: x["shingle"]).alias("hit")).where(F.size("hit") >= need)
-    windows = scratch.write(windows, "windows")
+    windows = scratch.write(windows.select("row_id", "n", "window"), "windows")
     return _verify(scratch, texts, items, windows, similarity, radius)
 
 
@@ -123,16 +123,16 @@ def _verify(scratch: Scratch, texts: DataFrame, items: DataFrame, windows: DataF
     )
     cut = scratch.write(cut.withColumn("fp", simhash(F.col("h"))), "prints")
     keyed = cut.select("row_id", "window", "n", "fp", F.explode(_block_keys(F.col("fp"), radius)).alias("k"))
-    index = items.select("item_id", "n", F.col("fp").alias("item_fp"), F.explode(_block_keys(F.col("fp"), radius)).alias("k"))
+    index = items.select("item", "n", F.col("fp").alias("item_fp"), F.explode(_block_keys(F.col("fp"), radius)).alias("k"))
     keyed = keyed.select("row_id", "window", "n", "fp", "k.block", "k.bits")
-    index = index.select("item_id", "n", "item_fp", "k.block", "k.bits")
+    index = index.select("item", "n", "item_fp", "k.block", "k.bits")
     met = keyed.join(index, ["n", "block", "bits"]).withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
-    pairs = met.where(F.col("hamming") <= radius).select("row_id", "window", "n", "item_id", "hamming").distinct()
-    judged = pairs.join(cut.select("row_id", "doc_id", "window", "n", "h"), ["row_id", "window", "n"]).join(items.select("item_id", "n", F.col("h").alias("item_h")), ["item_id", "n"])
+    pairs = met.where(F.col("hamming") <= radius).select("row_id", "window", "n", "item", "hamming").distinct()
+    judged = pairs.join(cut.select("row_id", "doc_id", "window", "n", "h"), ["row_id", "window", "n"]).join(items.select("item", "item_id", F.col("h").alias("item_h")), "item")
     shared = _shared(F.col("h"), F.col("item_h"))
     judged = judged.withColumn("shared", shared).withColumn("similarity", F.col("shared") / (2 * F.col("n") - F.col("shared"))).where(F.col("similarity") >= similarity)
     best = F.max(F.struct("similarity", (-F.col("window")).alias("back"), "n", "hamming")).alias("b")
-    return judged.groupBy("row_id", "doc_id", "item_id").agg(best).select(
+    return judged.groupBy("row_id", "doc_id", "item", "item_id").agg(best).select(
         "row_id", "doc_id", "item_id", (-F.col("b.back")).alias("window"), F.col("b.n").alias("n_shingles"), F.col("b.hamming").alias("hamming"), F.col("b.similarity").alias("similarity")
     )
 
