@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.identity import bag_digest, digest_column
-from .operators import checks, diff, metering, verify
+from .operators import checks, diff, grounding, metering, verify
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -456,6 +456,76 @@ def exactly_one_match(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(once, "o_orderkey").select("o_orderkey", "o_custkey", "lines")
 
 
+@query(r"""
+with p as (
+  select a.conv_id, a.turn, a.text as source, b.text as reply from conversations a join conversations b on b.conv_id = a.conv_id and b.turn = a.turn + 1)
+select conv_id, turn, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(reply, '[0-9]+(?:\.[0-9]+)?')),
+    lambda n: not list_contains(regexp_extract_all(source, '[0-9]+(?:\.[0-9]+)?'), n))), ',') as ungrounded,
+  case when trim(reply) = '' then 0 else len(regexp_split_to_array(trim(reply), '\s+')) end as words,
+  array_to_string(list_filter([case when contains(lower(reply), 'and the') then 'and the' end, case when contains(lower(reply), 'as an') then 'as an' end], lambda x: x is not null), ',') as phrases,
+  regexp_matches(reply, '\$[0-9]+(?:\.[0-9][0-9])?') as priced
+from p
+""")
+def grounded_reply(spark: SparkSession, sf: str) -> DataFrame:
+    """Each reply held against the turn before it."""
+    c = _table(spark, sf, "conversations")
+    a = c.select("conv_id", "turn", F.col("text").alias("source"))
+    b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+    r = F.col("reply")
+    return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.array_join(grounding.ungrounded_numbers(r, F.col("source")), ",").alias("ungrounded"), grounding.word_count(r).alias("words"), F.array_join(grounding.banned(r, ["and the", "as an"]), ",").alias("phrases"), grounding.has_price(r).alias("priced"))
+
+
+@query("""
+select c.check_id, s.side, d.doc_id, (case s.side when 'baseline' then l.quality else l.toxic end) = 1 as passed
+from documents d join labels l using (doc_id), (select unnest(['long', 'short']) as check_id) c, (select unnest(['baseline', 'candidate']) as side) s
+where (d.n_chars >= 2000) = (c.check_id = 'long')
+""")
+def check_sides(spark: SparkSession, sf: str) -> DataFrame:
+    """A row per check, side and target; the two sides are an array to explode, not a join."""
+    d = _table(spark, sf, "documents").select("doc_id", "n_chars").join(_table(spark, sf, "labels"), "doc_id")
+    sides = F.explode(F.array(F.struct(F.lit("baseline").alias("side"), (F.col("quality") == 1).alias("passed")), F.struct(F.lit("candidate").alias("side"), (F.col("toxic") == 1).alias("passed")))).alias("s")
+    return d.select(F.when(F.col("n_chars") >= 2000, "long").otherwise("short").alias("check_id"), "doc_id", sides).select("check_id", "s.side", "doc_id", "s.passed")
+
+
+@query("""
+select user_id, arg_min(event_id, rank) as event_id from (
+  select user_id, event_id, (case event_type when 'error' then 0 when 'click' then 1 else 2 end) * 1000000000 + event_id as rank from events) group by user_id
+""")
+def first_to_show(spark: SparkSession, sf: str) -> DataFrame:
+    """The record of each key to look at first: by urgency, then by place."""
+    rank = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "click", 1).otherwise(2) * F.lit(1_000_000_000) + F.col("event_id")
+    return _table(spark, sf, "events").groupBy("user_id").agg(F.min_by("event_id", rank).alias("event_id"))
+
+
+@query("""
+select l_orderkey, round(sum((l_quantity * 0.3 + l_linenumber * 2.5) / 1e6), 9) as usd, count(*) as calls from lineitem group by l_orderkey
+""")
+def call_costs(spark: SparkSession, sf: str) -> DataFrame:
+    cost = metering.call_cost(F.col("l_quantity"), F.col("l_linenumber"), 0.3, 2.5)
+    return _table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum(cost), 9).alias("usd"), F.count("*").alias("calls"))
+
+
+@query("""
+with k as (select event_id, json_keys(props) as ks from events)
+select a.event_id, list_sort(a.ks) = list_sort(b.ks) as same_keys from k a join k b on b.event_id = a.event_id + 1
+""")
+def key_set_equality(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether neighbouring objects have the same member names."""
+    k = _table(spark, sf, "events").select("event_id", F.array_sort(F.json_object_keys("props")).alias("ks"))
+    return k.join(k.select((F.col("event_id") - 1).alias("event_id"), F.col("ks").alias("other")), "event_id").select("event_id", (F.col("ks") == F.col("other")).alias("same_keys"))
+
+
+@query("""
+with a as (select l_orderkey as k, count(*) as n from lineitem group by 1), o as (select o_orderkey as k, o_custkey from orders)
+select o.k as run_id, o.o_custkey as baseline_id, a.n as stages from o join a on a.k = o.k and a.n = (o.o_custkey % 7) + 1
+""")
+def lineage_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Two-key equi-join of candidates to the baselines they name."""
+    n = _table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.count("*").alias("stages"))
+    o = _table(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("baseline_id"), (F.col("o_custkey") % 7 + 1).alias("stages"))
+    return o.join(n, ["run_id", "stages"]).select("run_id", "baseline_id", "stages")
+
+
 def incremental_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A workflow of three stages run fresh, then against that run with one input changed."""
     from .demo import run_demo
