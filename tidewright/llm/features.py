@@ -77,11 +77,13 @@ def surface(text: str) -> list[float]:
 
 
 TOXIC = [
-    "insult_rate", "insult_count", "hidden_rate", "learned_sum", "learned_rate", "learned_top", "learned_distinct", "person_rate", "person_near", "upper_rate",
+    "insult_rate", "insult_count", "hidden_rate", "learned_sum", "learned_rate", "learned_top", "learned_distinct", "strong_rate", "strong_count", "learned_mean", "learned_per_root", "person_rate", "person_near", "upper_rate",
     "shout_share", "bang_rate", "question_rate", "star_rate", "leet_rate", "stretch_rate", "log_words",
 ]
 #: Words this far from a second person count as addressed.
 NEAR = 12
+#: Weight from which an entry of the learned lexicon counts as strong.
+STRONG = 2.5
 
 
 def tokens(text: str) -> list[str]:
@@ -127,12 +129,14 @@ def toxic(text: str, lexicon: dict[str, float]) -> list[float]:
             d = min([abs(i - int(at[j])) for j in (k - 1, k) if 0 <= j < len(at)])
             near += 1 / (1 + d) if d <= NEAR else 0.0
     learned = [w for w in weights if w > 0]
+    strong = [w for w in learned if w > STRONG]
     letters = sum(1 for c in text if c.isalpha()) if len(text) < 4000 else max(1, sum(map(len, words)))
     upper = len(re.findall(r"[A-Z]", text))
     plain_words = text.split()
     shout = sum(1 for w in plain_words if len(w) > 1 and w.isupper())
     return [
         100 * insults / n, math.log1p(insults), 100 * hidden / n, math.log1p(sum(learned)), 100 * len(learned) / n, max(learned, default=0.0), math.log1p(len(found)),
+        100 * len(strong) / n, math.log1p(len(strong)), sum(learned) / max(1, len(learned)), sum(learned) / math.sqrt(n),
         100 * len(person) / n, near, upper / max(1, letters), shout / max(1, len(plain_words)), text.count("!") / n, text.count("?") / n,
         (text.count("*") + text.count("$") + text.count("@")) / n, leet / n, len(_STRETCH.findall(text)) / n, math.log1p(n),
     ]

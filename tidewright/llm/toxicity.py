@@ -24,7 +24,9 @@ from .trees import BoostedTrees, Isotonic
 #: Labelled rows in the sample, at most about this many.
 SAMPLE = 30_000
 #: Entries of the learned lexicon, and the least number of toxic texts for one.
-ENTRIES, LEAST = 1_000, 4
+ENTRIES, LEAST = 2_000, 4
+#: Least weight of an entry: the log of the ratio less one standard error.
+WEAKEST = 0.8
 #: Shares of the sample: lexicon, trees; the rest calibrates.
 LEXICON_SHARE, TREE_SHARE = 0.4, 0.4
 THRESHOLD = 0.7
@@ -51,7 +53,7 @@ def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_lexicon(sample: DataFrame, entries: int = ENTRIES, least: int = LEAST) -> dict[str, float]:
-    """Stems by how much likelier toxic texts are to hold them: the log of the ratio of smoothed shares."""
+    """Stems by how much likelier toxic texts are to hold them: a lower bound of the log of the ratio of smoothed shares."""
     counts = sample.select("text", "y").mapInArrow(_stem_counts, "stem string, bad long, good long")
     totals = counts.groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     whole = totals.where("stem = ''").first()
@@ -59,7 +61,8 @@ def learn_lexicon(sample: DataFrame, entries: int = ENTRIES, least: int = LEAST)
     if not bad:
         return {}
     odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
-    top = totals.where((F.col("stem") != "") & (F.col("bad") >= least)).select("stem", odds.alias("weight")).where(F.col("weight") > 2.5)
+    doubt = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
+    top = totals.where((F.col("stem") != "") & (F.col("bad") >= least)).select("stem", (odds - doubt).alias("weight")).where(F.col("weight") > WEAKEST)
     return {r.stem: float(r.weight) for r in top.orderBy(F.desc("weight"), "stem").limit(entries).collect()}
 
 
