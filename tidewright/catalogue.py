@@ -50,9 +50,9 @@ from events order by ts desc, event_id desc limit 20
 def bounded_newest_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Top-k newest with the count of all matches; the limit is the feature."""
     events = _table(spark, sf, "events")
-    total = events.agg(F.count("*").alias("total_matched"))
+    total = events.agg(F.count("*").alias("total_matched")).scalar()
     top = events.orderBy(F.desc("ts"), F.desc("event_id")).limit(20).select("event_id", "event_type", "value")
-    return top.join(F.broadcast(total)).withColumn("truncated", F.col("total_matched") > 20)
+    return top.withColumn("total_matched", total).withColumn("truncated", F.col("total_matched") > 20)
 
 
 @query("select o_orderkey, o_custkey, o_totalprice from orders where o_orderstatus = 'F' and o_totalprice > 1000")
