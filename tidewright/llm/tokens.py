@@ -3,14 +3,15 @@
 Both vocabularies split a text into pieces before any merge, and a space before
 a non-space always starts a new piece.  So a text is cut at its spaces, the
 chunks are looked up in a bounded cache, and only new chunks go to the library,
-in batches.  Where the cut would not be exact (runs of spaces, special tokens
-written out in a text) the library gets the whole text.
+in batches.  Where the cut would not be exact (a space within a run of white space,
+special tokens written out in a text) the library gets the whole text.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 from pathlib import Path
 
@@ -21,6 +22,8 @@ from tokenizers import Tokenizer  # noqa: E402
 #: Words, and pieces of words, that a worker remembers (some 200 bytes each); it starts afresh beyond.
 CACHE = 500_000
 TAIL = ".,;:!?"
+#: A space between white space: there a cut would be wrong.  The first pattern is quick to rule it out.
+_GAP, _INNER = re.compile(r" \s"), re.compile(r"\s \s")
 
 _open: dict[tuple[str, bool], "Encoder"] = {}
 
@@ -48,7 +51,7 @@ class Encoder:
         if line and self.space and head.strip() and rest and not head[-1].isspace() and not rest[0].isspace():
             return (*self._parts(head), line, *self._parts(rest))
         word = chunk.rstrip(TAIL)
-        if len(word) != len(chunk) and word.lstrip(" ").isalpha() and max(word) < "\u2000":
+        if len(word) != len(chunk) and word.lstrip(" ").isalpha() and max(word) < "\u2000" and "\u0130" not in word:
             return word, chunk[len(word) :]
         return (chunk,)
 
@@ -85,7 +88,7 @@ class Encoder:
         hard, waiting, missing = [], {}, set()
         get = self.new.get
         for i, text in enumerate(texts):
-            if any(s in text for s in self.special) or (self.space and ("  " in text or text.endswith(" "))):
+            if any(s in text for s in self.special) or (self.space and (text.endswith(" ") or (_GAP.search(text) and _INNER.search(text)))):
                 hard.append(i)
                 continue
             if self.space:
