@@ -27,6 +27,8 @@ SIMILARITY = 0.8
 RADIUS = 24
 #: Items of which the shingle set is broadcast (some 16 bytes a shingle); beyond, the join shuffles.
 BROADCAST_SHINGLES = 4_000_000
+#: Windows whose places are broadcast (some 30 bytes each) to the second pass over the texts; beyond, the shingles shuffle to them.
+BROADCAST_WINDOWS = 1_000_000
 
 
 def _words(text: Column) -> Column:
@@ -117,7 +119,8 @@ def find_contamination(
 
 def _verify(scratch: Scratch, texts: DataFrame, items: DataFrame, windows: DataFrame, similarity: float, radius: int) -> DataFrame:
     # the windows' other shingles, from the documents that have any window
-    full = texts.join(windows.groupBy("row_id").agg(F.collect_set(F.struct("window", "n")).alias("spans")), "row_id")
+    spans = windows.groupBy("row_id").agg(F.collect_set(F.struct("window", "n")).alias("spans"))
+    full = texts.join(F.broadcast(spans) if windows.count() <= BROADCAST_WINDOWS else spans, "row_id")
     cut = full.select("row_id", "doc_id", "h", F.explode("spans").alias("s")).select(
         "row_id", "doc_id", F.col("s.n").alias("n"), F.col("s.window").alias("window"), F.slice("h", F.col("s.window") + 1, F.col("s.n")).alias("h")
     )
