@@ -132,9 +132,12 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, block_chars: int = BL
     scratch = Scratch(spark, "exact-dedup")
     facts, names = block_names(scratch, docs, block_chars)
     order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row_id")
-    groups = names.groupBy("level", "name").agg(F.min(order).alias("keeper"), F.count("*").alias("group_size"))
-    decided = names.join(groups, ["level", "name"]).select(
-        "row_id", F.col("keeper.doc_id").alias("keep_id"), "group_size", (F.col("keeper.row_id") == F.col("row_id")).alias("kept")
+    groups = names.groupBy("level", "name").agg(F.min(order).alias("keeper"), F.count("*").alias("group_size")).where("group_size > 1")
+    # stored, so that the join has a plain shuffle on both sides and a hot group's rows can be split
+    groups = scratch.write(groups.select("level", "name", "group_size", F.col("keeper.doc_id").alias("first_id"), F.col("keeper.row_id").alias("first_row")), "groups")
+    alone = F.col("group_size").isNull()
+    decided = names.join(groups, ["level", "name"], "left").select(
+        "row_id", F.when(alone, F.col("doc_id")).otherwise(F.col("first_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), (alone | (F.col("first_row") == F.col("row_id"))).alias("kept")
     )
     return facts.join(decided, "row_id").select("row_id", "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
