@@ -96,9 +96,10 @@ def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b") -
     Alternates the large-star and small-star contractions until the edge set no
     longer changes: O(log^2 n) rounds in theory, a handful in practice.  Each
     round aggregates with map-side combination, so a node with very many edges
-    costs one partial result per task, and its rows meet their minimum in an
-    equi-join that adaptive execution can split.  Only a count and a checksum
-    per round come to the driver.  Nodes without edges are not in the result.
+    costs one partial result per task.  The minima are stored before they are
+    joined, so that the join has a plain shuffle on both sides and adaptive
+    execution can split such a node's rows.  Only a count and a checksum per
+    round come to the driver.  Nodes without edges are not in the result.
     """
     tag = uuid.uuid4().hex[:8]
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
@@ -106,16 +107,15 @@ def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b") -
     seen = None
     for step in range(1, 200):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = scratch.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"cc-{tag}-{step}-low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        down = scratch.write(large.where("u <> v").distinct(), f"cc-{tag}-{step}-large")
+        least = scratch.write(down.groupBy("u").agg(F.min("v").alias("m")), f"cc-{tag}-{step}-least")
         small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         small = small.select("e.*").where("u <> v").distinct()
         after = scratch.write(small, f"cc-{tag}-{step}")
         state = tuple(after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        scratch.drop(f"cc-{tag}-{step - 1}")
+        scratch.drop(f"cc-{tag}-{step - 1}", *(f"cc-{tag}-{step}-{x}" for x in ("low", "large", "least")))
         now = after
         if state == seen:
             break

@@ -268,7 +268,8 @@ def near_duplicates(
     tables = exact_tables(radius) if exact else sampled_tables(distinct.count(), radius, 64 * width, recall)
     keyed = distinct.select("node", *words).mapInArrow(_keys(tables, width), f"tab int, key long, node long, {sig}")
     keyed = scratch.write(keyed, "keyed")
-    crowded = keyed.groupBy("tab", "key").agg(F.count("*").alias("n")).where("n > 1")
+    # aggregates are stored before they are joined: with plain shuffles on both sides a hot key's rows can be split
+    crowded = scratch.write(keyed.groupBy("tab", "key").agg(F.count("*").alias("n")).where("n > 1"), "crowded")
     slices = F.ceil(F.col("n") / CELL).cast("int")
     own = F.pmod(F.xxhash64("node"), slices).cast("int")
     met = keyed.join(crowded, ["tab", "key"]).withColumn("slices", slices).withColumn("own", own)
@@ -277,12 +278,13 @@ def near_duplicates(
     cells = met.select("tab", "key", F.explode(pairs).alias("cell"), "node", *words)
     dealt = cells.repartition(partitions(spark), "tab", "key", "cell").sortWithinPartitions("tab", "key", "cell")
     links = scratch.write(dealt.mapInArrow(_links(width, radius), "a long, b long").distinct(), "links")
-    scratch.drop("keyed")
+    scratch.drop("keyed", "crowded")
     roots = components(scratch, links)
-    named = distinct.join(roots, "node", "left").select(*words, "least", F.coalesce("root", "node").alias("root"))
-    groups = named.groupBy("root").agg(F.min("least").alias("first"))
-    told = named.join(groups, "root").select(*words, F.col("first.doc_id").alias("component_id"), F.col("first.row_id").alias("keeper_row"))
-    return prints.join(told, words)
+    named = scratch.write(distinct.join(roots, "node", "left").select(*words, "least", F.coalesce("root", "node").alias("root")), "named")
+    groups = scratch.write(named.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first"), "groups")
+    first = F.coalesce("first", "least")
+    told = named.join(groups, "root", "left").select(*words, first["doc_id"].alias("component_id"), first["row_id"].alias("keeper_row"))
+    return prints.join(scratch.write(told, "told"), words)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
