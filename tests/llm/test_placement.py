@@ -90,14 +90,15 @@ def test_token_files_round_trip(spark, request, where):
     assert sorted(got, key=lambda r: r[1]) == want
 
 
-def test_token_files_two_bytes(spark, small):
+@pytest.mark.parametrize("given,kind", [(None, "<u2"), (2, "<u2"), (4, "<u4")])
+def test_token_files_widths(spark, small, given, kind):
     path = Scratch(spark, "t").path("files")
     docs = read_table(spark, small, "documents")
     tok = public_tokenizers.path("byte_bpe_50k.json")
-    manifest = token_files.write_token_files(spark, docs, path, tok, 2, id_bytes=2)
+    manifest = token_files.write_token_files(spark, docs, path, tok, 2, id_bytes=given)
     files = token_files.TokenFiles(path)
     total = sum(len(ids) for p in files.parts for _, _, ids in files.documents(p))
-    assert total == manifest["ids"] and files.array(0, "ids").dtype == np.dtype("<u2")
+    assert total == manifest["ids"] and files.array(0, "ids").dtype == np.dtype(kind)
 
 
 @pytest.mark.parametrize("where", ["odd", "small", "empty"])

@@ -89,14 +89,19 @@ def _writer(path: str, tokenizer: str, keep_space: bool, end_id: int, id_bytes:
     return run
 
 
-def write_token_files(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_id: int, keep_space: bool = True, id_bytes: int = 4) -> dict:
+def write_token_files(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_id: int, keep_space: bool = True, id_bytes: int | None = None) -> dict:
     """Encodes every text and writes the folder; returns the manifest.
 
+    Ids take two bytes where the vocabulary and the end id fit, else four, unless given.
+
     Null texts are empty: their documents hold the end id alone.  Rows with
     equal doc_id lie next to each other, ordered by text; null doc_ids come
     first.  An empty table gives files without documents.  The driver gets one
     row of counts a partition.
     """
+    if id_bytes is None:
+        largest = max(encoder(tokenizer, keep_space).library.get_vocab_size(with_added_tokens=True) - 1, end_id)
+        id_bytes = 2 if largest < 1 << 16 else 4
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     told = dealt.mapInArrow(_writer(path, tokenizer, keep_space, end_id, id_bytes), "part int, docs long, ids long").collect()
