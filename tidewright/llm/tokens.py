@@ -19,11 +19,12 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 from tokenizers import Tokenizer  # noqa: E402
 
-#: Words, and pieces of words, that a worker remembers (some 200 bytes each); it starts afresh beyond.
-CACHE = 500_000
+#: Words that a worker remembers (some 200 bytes each).  Beyond, a new generation begins, and words met again move into it.
+CACHE = 700_000
 TAIL = ".,;:!?"
 #: A space between white space: there a cut would be wrong.  The first pattern is quick to rule it out.
 _GAP, _INNER = re.compile(r" \s"), re.compile(r"\s \s")
+_WIDE = re.compile("[^\x00-\u012f\u0131-\u024f]")
 
 _open: dict[tuple[str, bool], "Encoder"] = {}
 
@@ -37,10 +38,11 @@ class Encoder:
         self.library = Tokenizer.from_str(json.dumps(made))
         self.library.no_truncation()
         self.library.no_padding()
+        self.lowers = any(n["type"] == "Lowercase" for n in (made.get("normalizer") or {}).get("normalizers", []))
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.space = " " if keep_space else ""
         self.new: dict = {}
-        self.pieces: dict[str, bytes] = {}
+        self.old: dict = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
@@ -56,34 +58,44 @@ class Encoder:
         return (chunk,)
 
     def _learn(self, keys: list) -> None:
-        """A key is a word behind a space, or (word,) where a text begins or spaces are dropped."""
-        if len(self.pieces) > CACHE:
-            self.pieces = {}
-        pieces, wanted, simple, split = self.pieces, set(), [], []
+        """Fills in keys that are not in ``new``, from ``old`` or from the library.
+
+        A key is a word behind a space, or (text,) for a piece without one; where
+        spaces are dropped it is the piece itself.
+        """
+        new, old, space = self.new, self.old, self.space
+        wanted: dict = {}
+        split = []
         for k in keys:
-            piece = k[0] if k.__class__ is tuple else self.space + k
+            if k in old:
+                new[k] = old[k]
+                continue
+            piece = k[0] if k.__class__ is tuple else space + k
             if k.__class__ is str and k.isalpha():
-                simple.append((k, piece))
-                if piece not in pieces:
-                    wanted.add(piece)
-            else:
-                parts = self._parts(piece)
-                split.append((k, parts))
-                wanted.update([p for p in parts if p not in pieces])
-        order = list(wanted)
-        for at in range(0, len(order), 4096):
-            some = order[at : at + 4096]
-            pieces.update(zip(some, self.whole(some)))
-        new = self.new
-        for k, piece in simple:
-            new[k] = pieces[piece]
-        for k, parts in split:
-            new[k] = b"".join([pieces[p] for p in parts])
+                wanted[k] = piece
+                continue
+            parts = self._parts(piece)
+            if len(parts) == 1:
+                wanted[k] = piece
+                continue
+            own = [p if not space else p[1:] if p[0] == " " else (p,) for p in parts]
+            split.append((k, own))
+            for p, piece in zip(own, parts):
+                if p not in new:
+                    if p in old:
+                        new[p] = old[p]
+                    else:
+                        wanted[p] = piece
+        names, texts = list(wanted), list(wanted.values())
+        for at in range(0, len(names), 4096):
+            new.update(zip(names[at : at + 4096], self.whole(texts[at : at + 4096])))
+        for k, own in split:
+            new[k] = b"".join([new[p] for p in own])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.new) > CACHE:
-            self.new = {}
+            self.old, self.new = self.new, {}
         out: list[bytes | None] = [None] * len(texts)
         hard, waiting, missing = [], {}, set()
         get = self.new.get
@@ -95,6 +107,8 @@ class Encoder:
                 keys: list = text.split(" ")
                 keys[:1] = [(keys[0],)] if keys[0] else []
             else:
+                if self.lowers and not _WIDE.search(text):
+                    text = text.lower()  # as the library would: these letters have no marks to compose and no rules of context
                 keys = text.replace("\n", " ").split(" ")
             found = list(map(get, keys))
             if None in found:
