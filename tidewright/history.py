@@ -17,6 +17,7 @@ from .plans.eligibility import EXPLANATIONS
 from .sources.store import RECORD_BYTES, Store
 
 RUN_ID = re.compile(r"run_[0-9a-f]{64}\Z")
+# Limits.
 SCAN_LIMIT, DEFAULT_LIMIT, MOST = 1000, 20, 1000
 PREVIEW_BYTES = 256 << 10
 

@@ -14,6 +14,7 @@ from ..functions.codec import encode_sorted
 from ..functions.identity import digest
 from ..functions.pointer import MISSING, resolve
 
+# Counter, verdict and contract names.
 COUNTERS = (
     "total", "baseline_passed", "baseline_failed", "baseline_errors", "candidate_passed", "candidate_failed", "candidate_errors",
     "improved", "regressed", "unchanged_pass", "unchanged_fail", "incomparable",

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The names of causes and reasons in this module.
 #: cause, facts that must hold, facts that must not hold; in the order of report.
 CAUSES: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = (
     ("reuse_not_enabled", (), ("enabled",)),

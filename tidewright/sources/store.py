@@ -30,6 +30,7 @@ from ..errors import WorkflowError
 from ..functions.codec import decode, encode_ordered
 from ..functions.identity import bag_digest, digest, ordered_digest
 
+# Limits.
 RECORD_BYTES, OUTPUT_BYTES = 2 << 20, 16 << 20
 LOCK_SECONDS, LOCK_POLL = 5.0, 0.025
 HEADER = "tidewright/artifact/v1\nencoding: ordered-json\nhash: sha256\n"
