@@ -98,6 +98,29 @@ def test_near_copies_go_and_clean_texts_stay(spark, tables):
     assert len(kept & set(range(80, 120))) <= 1
 
 
+def test_similarity_decides_not_distance(spark, tables):
+    """Weighted Jaccard similarity of 0.8 by brute force, short and repetitive texts included."""
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choices("abcdefghijklm", k=rng.randint(2, 9))) for _ in range(900)]
+    texts = []
+    for n in [8, 9, 10, 11, 12, 15, 25, 60, 150] * 4:
+        words = rng.choices(vocabulary, k=n)
+        texts += [words, [*words, "more"], words[: -max(1, round(n * 0.12))]]
+        for share in (0.1, 0.17, 0.22, 0.25, 0.3, 0.45):
+            shingles = n - 4
+            keep = n - round(shingles * share)  # a common start, then another end
+            texts.append(words[:keep] + rng.choices(vocabulary, k=n - keep))
+    texts += [["ha", "ho"] * k for k in (20, 21, 22, 24, 40)] + [["word"] * k for k in (5, 50, 55, 65, 100)]
+    sets = [Counter(" ".join(t[i : i + 5]) for i in range(len(t) - 4)) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if (s := sum((sets[i] & sets[j]).values())) >= 0.8 * (sum(sets[i].values()) + sum(sets[j].values()) - s) - 1e-9]
+    root = list(range(len(texts)))
+    while any(root[i] != root[j] for i, j in near):
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark, read_table(spark, tables([(i, " ".join(t)) for i, t in enumerate(texts)]), "documents")).collect()}
+    assert got == dict(enumerate(root)) and len(near) > 100
+
+
 def test_components(spark):
     chain = [(i + 1, i) for i in range(40)] + [(100, 7), (200, 201), (201, 202), (500, 500)] + [(1000, 1001 + i) for i in range(50)]
     got = {r.node: r.root for r in components(Scratch(spark, "t"), spark.createDataFrame(chain, "a long, b long")).collect()}

@@ -7,10 +7,13 @@ of many rows are counted at once: the block's fingerprints are stored as bit
 planes, mismatch planes are added three at a time into vertical counters by
 carry-save adders, and a block is given up once every pair exceeds the radius.
 
-Two indexes are on offer.  ``exact_tables`` takes all ways to agree on
-``blocks - radius`` of ``blocks`` bit blocks, so no pair within the radius is
-missed.  ``sampled_tables`` is for wide radii, where that would need too many
-tables: it draws positions at random, as many as the wanted recall asks for.
+Two searches are on offer.  By radius alone, ``exact_tables`` takes all ways to
+agree on ``blocks - radius`` of ``blocks`` bit blocks, so no pair within the
+radius is missed.  By similarity, texts meet in buckets of single shingles: of
+n shingles in one order for all texts, the first n - ceil(s n) + 1 hold a
+shingle of every text of weighted Jaccard similarity s or more.  A wide radius
+then only sorts out unrelated texts; the shingles themselves decide within the
+components of the candidates, and groups are built from verified links.
 
 A bucket of any size is compared whole.  Up to ``CELL`` rows form one cell;
 beyond, rows are dealt into slices and every pair of slices is a cell of its
@@ -26,15 +29,26 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, partitions, read_table, with_row_id
+from .common import Scratch, components, partitions, read_table, small_batches, with_row_id
 
 #: Rows of a bucket that are compared as one cell; a larger bucket is sliced.
 CELL = 512
 #: Shingles whose bits are counted at once, which bounds memory for long texts.
 STEP = 1 << 15
+SIMILARITY = 0.8
+#: Bits of 256 within which similar texts are looked for.  Expected at 0.8 are 39 with a deviation of 5.7, for 4 against 5
+#: shingles 48 (6.2), for two shingles repeated alike 64 (6.9); unrelated texts differ in 128 (8).
+RADIUS = 92
+#: Shingles of this estimated number of texts and more come last in the order, at most so many of them, estimated from one
+#: text in ``DRAWN``.  Any order finds the same pairs; this one keeps buckets small.
+COMMON, MOST_COMMON, DRAWN = 256, 200_000, 16
+#: Shingles of one slice, and columns that are counted at once, when similarities are verified.
+SLICE_SHINGLES, COLUMNS = 1 << 21, 4096
+#: Candidates whose row ids are broadcast to the stored shingles; beyond, these shuffle.
+BROADCAST_NODES = 1_000_000
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -77,6 +91,104 @@ def fingerprint(hashes: np.ndarray, width: int = 1) -> list[int]:
     return out
 
 
+def elements(hashes: np.ndarray) -> np.ndarray:
+    """Sorted distinct names of a multiset's members: the k-th repeat of a hash is named anew, so set overlap is the shared weight."""
+    h = np.sort(hashes)
+    at = np.arange(len(h))
+    again = at - np.maximum.accumulate(np.where(np.r_[True, h[1:] != h[:-1]], at, 0)) if len(h) else at
+    if not again.any():
+        return h
+    return np.sort(np.where(again > 0, widen(h ^ widen(again.astype(np.uint64), 1), 1), h))
+
+
+def _multisets(words: int, width: int):
+    """Fingerprints with the shingles themselves (h), their number (size) and a digest of them (i0, i1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                hashes = [shingle_hashes(t.as_py(), words) for t in batch.column("text")]
+                prints = [fingerprint(h, width) for h in hashes]
+                named = [elements(h) for h in hashes]
+                digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(e.tobytes()), "<i8") for e in named]).reshape(-1, 2)
+                offsets = np.cumsum([0, *map(len, named)]).astype(np.int32)
+                h = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*named, np.empty(0, np.uint64)]).view(np.int64)))
+                cols = [pa.array([p[k] for p in prints], pa.int64()) for k in range(width)]
+                cols += [pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(e) for e in named], pa.int64()), h]
+                yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("doc_id"), *cols], ["row_id", "doc_id", *(f"f{k}" for k in range(width)), "i0", "i1", "size", "h"])
+
+    return run
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(offsets, offsets[1:])]
+
+
+def _prefixes(similarity: float, common: np.ndarray):
+    """A row a bucket of every text: the first shingles by (common, hash), enough to meet all texts of the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                keys = []
+                for h in _lists(batch.column("h")):
+                    n = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1 if len(h) else 0
+                    late = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h if len(common) else np.zeros(len(h), bool)
+                    keys.append(np.concatenate([h[~late], h[late]])[:n])
+                nodes = np.repeat(batch.column("row_id").to_numpy(), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.empty(0, np.int64)])), pa.array(nodes)], ["key", "row_id"])
+
+    return run
+
+
+def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Pairs of element sets of at least the Jaccard similarity, as a Boolean matrix without the diagonal."""
+    m, sizes = len(sets), np.array([len(x) for x in sets], float)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(m), [len(x) for x in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    column = np.cumsum(np.r_[False, flat[1:] != flat[:-1]])
+    several = np.bincount(column)[column] > 1
+    column, owner = column[several], owner[several]
+    column = np.cumsum(np.r_[False, column[1:] != column[:-1]]) if len(column) else column
+    shared = np.zeros((m, m))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        held = np.zeros((m, -(-(int(column[b - 1]) + 1 - at) // 64) * 64), bool)
+        held[owner[a:b], column[a:b] - at] = True
+        bits = np.packbits(held, axis=1).view(np.uint64)
+        for i in range(m):
+            shared[i] += np.bitwise_count(bits & bits[i]).sum(axis=1)
+    near = shared >= similarity * (sizes[:, None] + sizes[None, :] - shared) - 1e-9
+    np.fill_diagonal(near, False)
+    return near
+
+
+def _verified(similarity: float):
+    """Links of sorted cells of candidates that their shingles bear out."""
+
+    def links(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = forest(similar(sets, similarity)) if len(nodes) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in pairs], pa.int64()), pa.array([nodes[j] for _, j in pairs], pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, sets = None, [], []
+        for batch in batches:
+            for cell, node, h in zip(zip(batch.column("root").to_pylist(), batch.column("cell").to_pylist()), batch.column("node").to_pylist(), _lists(batch.column("h"))):
+                if cell != now:
+                    if len(nodes) > 1:
+                        yield links(nodes, sets)
+                    now, nodes, sets = cell, [], []
+                nodes.append(node)
+                sets.append(h.copy())
+        yield links(nodes, sets)
+
+    return run
+
+
 def _fingerprints(words: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,18 +206,6 @@ def exact_tables(radius: int, bits: int = 64) -> list[list[int]]:
     return [a + b for a, b in combinations(blocks, 2)]
 
 
-def sampled_tables(rows: int, radius: int, bits: int, recall: float = 0.99) -> list[list[int]]:
-    """Tables that find a pair at exactly the radius with about the given probability.
-
-    Positions a table follow the number of rows, so that buckets keep their mean size.
-    """
-    k = min(40, max(8, math.ceil(math.log2(max(rows, 2))) - 8))
-    hit = (1 - radius / bits) ** k
-    n = max(1, math.ceil(math.log(1 - recall) / math.log1p(-hit)))
-    rng = np.random.default_rng(20240517)
-    return [rng.choice(bits, k, replace=False).tolist() for _ in range(n)]
-
-
 def _keys(tables: list[list[int]], width: int):
     """A row a table: its number, the bucket, and the fingerprint."""
 
@@ -237,71 +337,109 @@ def _links(width: int, radius: int):
     return run
 
 
+def _pairs(own: str, slices: str) -> Column:
+    """The cells of a row in slice ``own``: slice pairs (i, j), i <= j, are numbered i * slices + j."""
+    return F.transform(F.sequence(F.lit(0), F.col(slices) - 1), lambda j: F.least(j, F.col(own)).cast("long") * F.col(slices) + F.greatest(j, F.col(own)))
+
+
+def _prefix_keys(scratch: Scratch, prints: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """(tab, key, node) of all buckets of the distinct texts."""
+    drawn = prints.where(F.pmod(F.xxhash64("row_id"), F.lit(DRAWN)) == 0).select(F.explode("h").alias("key"))
+    common = drawn.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON // DRAWN).orderBy(F.desc("n"), "key").limit(MOST_COMMON)
+    common = np.sort(np.array([r.key for r in common.select("key").collect()], np.int64))
+    keyed = prints.select("row_id", "h").mapInArrow(_prefixes(similarity, common), "key long, row_id long")
+    nodes = distinct.select(F.col("node").alias("row_id"))
+    return keyed.join(nodes, "row_id", "left_semi").select(F.lit(0).alias("tab"), "key", F.col("row_id").alias("node"))
+
+
+def _verify(scratch: Scratch, prints: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """Links that hold by the shingles, among the members of every component of candidates."""
+    members = scratch.write(components(scratch, links), "members")
+    sets = prints.select(F.col("row_id").alias("node"), "size", "h").join(F.broadcast(members) if members.count() <= BROADCAST_NODES else members, "node")
+    sets = scratch.write(sets, "sets")
+    sizes = scratch.write(sets.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / CELL, F.sum("size") / SLICE_SHINGLES)).cast("int").alias("slices")), "sizes")
+    dealt = sets.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
+    cells = dealt.select("root", F.explode(_pairs("own", "slices")).alias("cell"), "node", "h")
+    cells = cells.repartition(partitions(scratch.spark), "root", "cell").sortWithinPartitions("root", "cell")
+    with small_batches(scratch.spark, 256):
+        return scratch.write(cells.mapInArrow(_verified(similarity), "a long, b long").distinct(), "verified")
+
+
 def near_duplicates(
-    spark: SparkSession, docs: DataFrame, shingle_words: int = 5, width: int = 4, radius: int = 42, recall: float = 0.99
+    spark: SparkSession, docs: DataFrame, shingle_words: int = 5, width: int = 4, radius: int = RADIUS, similarity: float | None = SIMILARITY
 ) -> DataFrame:
-    """One row per row of ``docs``: row_id, doc_id, f0.. (signed words of the fingerprint), component_id, keeper_row.
-
-    Documents link when their fingerprints differ in at most ``radius`` of
-    64 * ``width`` bits, and groups are the connected components of the links.
+    """One row per row of ``docs``: row_id, doc_id, f0.. (signed words of the fingerprint), component_id, keeper_row, and size with a similarity.
+
+    Documents link when the weighted Jaccard similarity of their shingles is at
+    least ``similarity``, and groups are the connected components of the links.
+    Fingerprints are only asked whether a pair is worth a look: it is left out
+    beyond ``radius`` of 64 * ``width`` bits.  All other pairs are found.
+    Without a similarity, documents link within the radius, an exact search for
+    width 1 and radii up to 3.
     component_id is the smallest doc_id of the group (null only if all are
     null), keeper_row the row_id of one document of the group, that with the
-    smallest doc_id.  The default radius is the expected distance of texts whose
-    five-word shingles overlap by 0.8: acos(2*0.8/1.8)/pi of 256 bits is 39,
-    plus half a standard deviation.
-
-    With width 1 and a radius up to 3 the search is exact.  Otherwise candidates
-    are drawn with the given ``recall`` for a pair at the radius; nearer pairs
-    are found more surely, and chains of links make up for most misses.
+    smallest doc_id.  size is the number of shingles, repeats included.
 
     Null and wordless texts have fingerprint zero, linked like any other.
     Repeated rows share a fingerprint.  An empty table gives an empty result.
     """
+    if similarity is None and (width != 1 or radius > 3):
+        raise ValueError("a search by radius alone takes width 1 and a radius up to 3")
     scratch = Scratch(spark, "simhash")
     words = [f"f{k}" for k in range(width)]
     sig = ", ".join(f"{w} long" for w in words)
     rows = with_row_id(docs.select("doc_id", "text"))
-    prints = scratch.write(rows.mapInArrow(_fingerprints(shingle_words, width), f"row_id long, doc_id long, {sig}"), "prints")
+    if similarity is None:
+        fold, more = words, []
+        made = rows.mapInArrow(_fingerprints(shingle_words, width), f"row_id long, doc_id long, {sig}")
+    else:
+        fold, more = ["i0", "i1"], ["size"]
+        made = rows.mapInArrow(_multisets(shingle_words, width), f"row_id long, doc_id long, {sig}, i0 long, i1 long, size long, h array<long>")
+    with small_batches(spark):
+        prints = scratch.write(made, "prints")
     order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row_id")
-    distinct = scratch.write(prints.groupBy(*words).agg(F.min("row_id").alias("node"), F.min(order).alias("least")), "distinct")
-    exact = width == 1 and radius <= 3
-    tables = exact_tables(radius) if exact else sampled_tables(distinct.count(), radius, 64 * width, recall)
-    keyed = distinct.select("node", *words).mapInArrow(_keys(tables, width), f"tab int, key long, node long, {sig}")
-    keyed = scratch.write(keyed, "keyed")
+    same = [F.first(w).alias(w) for w in words if w not in fold]  # equal shingles have equal fingerprints
+    distinct = scratch.write(prints.groupBy(*fold).agg(F.min("row_id").alias("node"), F.min(order).alias("least"), *same), "distinct")
+    if similarity is None:
+        keyed = distinct.select("node", *words).mapInArrow(_keys(exact_tables(radius), width), f"tab int, key long, node long, {sig}")
+    else:
+        keyed = _prefix_keys(scratch, prints, distinct, similarity)
+    with small_batches(spark):
+        keyed = scratch.write(keyed, "keyed")
     # aggregates are stored before they are joined: with plain shuffles on both sides a hot key's rows can be split
     crowded = scratch.write(keyed.groupBy("tab", "key").agg(F.count("*").alias("n")).where("n > 1"), "crowded")
     slices = F.ceil(F.col("n") / CELL).cast("int")
     own = F.pmod(F.xxhash64("node"), slices).cast("int")
     met = keyed.join(crowded, ["tab", "key"]).withColumn("slices", slices).withColumn("own", own)
-    # slice pairs (i, j), i <= j, are numbered i * slices + j
-    pairs = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda j: (F.least(j, F.col("own")).cast("long") * F.col("slices") + F.greatest(j, F.col("own"))))
-    cells = met.select("tab", "key", F.explode(pairs).alias("cell"), "node", *words)
+    if similarity is not None:
+        met = met.join(distinct.select("node", *words), "node")
+    cells = met.select("tab", "key", F.explode(_pairs("own", "slices")).alias("cell"), "node", *words)
     dealt = cells.repartition(partitions(spark), "tab", "key", "cell").sortWithinPartitions("tab", "key", "cell")
     links = scratch.write(dealt.mapInArrow(_links(width, radius), "a long, b long").distinct(), "links")
     scratch.drop("keyed", "crowded")
+    if similarity is not None:
+        links = _verify(scratch, prints, links, similarity)
+        scratch.drop("members", "sets", "sizes")
     roots = components(scratch, links)
-    named = scratch.write(distinct.join(roots, "node", "left").select(*words, "least", F.coalesce("root", "node").alias("root")), "named")
+    named = scratch.write(distinct.join(roots, "node", "left").select(*fold, "least", F.coalesce("root", "node").alias("root")), "named")
     groups = scratch.write(named.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first"), "groups")
     first = F.coalesce("first", "least")
-    told = named.join(groups, "root", "left").select(*words, first["doc_id"].alias("component_id"), first["row_id"].alias("keeper_row"))
-    return prints.join(scratch.write(told, "told"), words)
+    told = named.join(groups, "root", "left").select(*fold, first["doc_id"].alias("component_id"), first["row_id"].alias("keeper_row"))
+    return prints.select("row_id", "doc_id", *words, *more, *[c for c in fold if c not in words]).join(scratch.write(told, "told"), fold).select("row_id", "doc_id", *words, "component_id", "keeper_row", *more)
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of a stored table that stay when one document of each group does, all columns as they were.
 
     Texts without words are not near-copies of anything here: they all stay.
     """
     mark = "__tidewright_row"
-    groups = near_duplicates(spark, docs, **how)
-    empty = F.lit(True)
-    for k in range(how.get("width", 4)):
-        empty = empty & (F.col(f"f{k}") == 0)
-    kept = groups.where((F.col("keeper_row") == F.col("row_id")) | empty).select(F.col("row_id").alias(mark))
+    groups = near_duplicates(spark, docs)
+    kept = groups.where((F.col("keeper_row") == F.col("row_id")) | (F.col("size") == 0)).select(F.col("row_id").alias(mark))
     return with_row_id(docs, mark).join(kept, mark, "left_semi").drop(mark)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, 64 bits, radius 2, exact search."""
-    found = near_duplicates(spark, read_table(spark, sf_dir, "documents"), shingle_words=3, width=1, radius=2)
+    found = near_duplicates(spark, read_table(spark, sf_dir, "documents"), shingle_words=3, width=1, radius=2, similarity=None)
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
