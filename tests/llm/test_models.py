@@ -128,6 +128,19 @@ def test_base_spans_match_the_patterns():
         assert pii.base_spans(t) == plain_spans(t)
 
 
+@pytest.mark.parametrize("weight", [3.0, 5.0])
+def test_every_repeat_of_a_mention_is_reached(weight):
+    """However many loose repeats follow a base span, and wherever it stands among them."""
+    field = pii.SkipChainField()
+    field.skip = np.diag([0.0, *[weight] * 4])
+    loose, base = " " + "x" * 90 + " 414.555.7134", " " + "x" * 90 + " +1 414 555 7134"
+    for text in (base + loose * 40, loose * 20 + base + loose * 20, loose * 40 + base):
+        known, every = pii.spans_of(text, field)
+        assert len(known) == 1 and len(every) == 41 and {k for k, _, _ in every} == {"phone"}
+        assert len(pii.Graph(text, known).skip) <= 2 * 41
+    assert pii.spans_of(loose * 40 + " a@b.cd", field)[1] == [("email", 40 * len(loose) + 1, 40 * len(loose) + 7)]
+
+
 @pytest.mark.parametrize("text", ["a" * 400_000 + "@", "1" * 400_000, "1." * 200_000, "+1" + "(" * 200_000, "a@" * 200_000, "1 " * 200_000, "a." * 100_000 + "@b.c"])
 def test_scanning_is_linear(text):
     began = time.process_time()

@@ -4,9 +4,10 @@ Patterns give the base spans, which always stay.  Looser patterns give further
 candidates: numbers written another way, addresses with "(at)".  All candidates
 of a document are the nodes of a random field with labels none, email, ip, card
 and phone.  Neighbours in the text share chain potentials; candidates that
-repeat or resemble each other, however far apart, share skip potentials.  Loopy
-message passing with the base spans held fixed carries their labels to the
-other mentions, so that an entity is labelled alike throughout a document.
+repeat or resemble each other, however far apart, share skip potentials, each
+with the next and with a base span among them.  Loopy message passing with the
+base spans held fixed carries their labels to the other mentions until the
+messages settle, so that an entity is labelled alike throughout a document.
 Weights are learned by pseudo-likelihood on a bounded sample of documents.
 
 All scanning is linear in the text's length.
@@ -34,7 +35,8 @@ SAMPLE_DOCS, SAMPLE_NODES = 4_000, 64
 SURE = 0.9
 #: Characters between candidates that share a chain potential.
 CHAIN = 60
-SWEEPS = 12
+#: Messages have settled when none changes by more; every so many sweeps without that, they are damped twice as much, at most so often.
+SETTLED, SWEEPS, DAMPINGS = 1e-4, 200, 5
 BATCH = 128
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -150,7 +152,10 @@ class Graph:
                     groups["quad", ".".join([p.lstrip("0") or "0" for p in parts])].append(i)
                 if len(d) >= 9 or (len(d) >= 7 and not quad):
                     groups["tail", d[-7:]].append(i)
-        self.skip = sorted({(a, b) for g in groups.values() for a, b in zip(g, g[1:])})
+        self.ties = sorted({(a, b) for g in groups.values() for a, b in zip(g, g[1:])})
+        # and each mention to the first base node of every kind in its group, or to the first mention of a group without
+        hubs = [(g, {self.nodes[i][2]: i for i in reversed(g) if self.nodes[i][3]}.values() or g[:1]) for g in groups.values()]
+        self.skip = sorted({(min(h, i), max(h, i)) for g, first in hubs for h in first for i in g if h != i} | set(self.ties))
         self.chain = [(i, i + 1) for i in range(len(self.nodes) - 1) if self.nodes[i + 1][0] - self.nodes[i][1] <= CHAIN]
         self.fixed = np.array([ORDER[k] + 1 if known else 0 for _, _, k, known in self.nodes], np.int64)
 
@@ -200,14 +205,20 @@ class SkipChainField:
             back = np.concatenate([np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))])
             weight = np.stack([self.chain, self.skip])[np.array([p[2] for p in pairs] * 2)]
             messages = np.zeros((len(src), 5))
-            for _ in range(SWEEPS):
+            step = 0.5
+            for sweep in range(1, SWEEPS * DAMPINGS + 1):
                 total = local.copy()
                 np.add.at(total, dst, messages)
                 out = (total[src] - messages[back])[:, :, None] + weight
                 top = out.max(axis=1, keepdims=True)
                 fresh = (top + np.log(np.exp(out - top).sum(axis=1, keepdims=True)))[:, 0, :]
                 fresh -= fresh.max(axis=1, keepdims=True)
-                messages = 0.5 * messages + 0.5 * fresh
+                moved = np.abs(fresh - messages).max()
+                messages = (1 - step) * messages + step * fresh
+                if moved <= SETTLED:
+                    break
+                if sweep % SWEEPS == 0:
+                    step /= 2
             np.add.at(local, dst, messages)
         local -= local.max(axis=1, keepdims=True) if m else 0
         p = np.exp(local)
@@ -228,13 +239,13 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             g = Graph(text, base_spans(text))
             near = np.zeros((2, len(g.nodes), 5))
             tied = np.zeros(len(g.nodes), bool)
-            for kind, edges in ((0, g.chain), (1, g.skip)):
+            for kind, edges in ((0, g.chain), (1, g.ties)):
                 for a, b in edges:
                     near[kind, a, g.fixed[b]] += 1
                     near[kind, b, g.fixed[a]] += 1
-                    if kind:
-                        tied[a] |= g.fixed[b] > 0
-                        tied[b] |= g.fixed[a] > 0
+            for a, b in g.skip:
+                tied[a] |= g.fixed[b] > 0
+                tied[b] |= g.fixed[a] > 0
             for i in range(min(len(g.nodes), SAMPLE_NODES)):
                 if g.fixed[i] or not tied[i]:
                     x = g.x[i] if not (g.fixed[i] and tied[i] and i % 2) else np.eye(len(FEATURES))[0]
