@@ -179,6 +179,26 @@ def test_decontamination_matches_every_window(spark, tables):
     assert len(got) > 30
 
 
+def test_decontamination_of_documents_shorter_than_the_item(spark, tables):
+    """A text cut short is found while 0.8 of the item's shingles are there, whether cut in front or behind."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefghijklm", k=rng.randint(2, 7))) for _ in range(800)]
+    items = [(n, rng.choices(vocabulary, k=n)) for n in (9, 14, 19, 38, 64)]
+    docs, want = [], {}
+    for item, words in items:
+        n = item - 4
+        for cut in range(1, n // 3 + 2):
+            for part in (words[cut:], words[:-cut]):
+                if n - cut >= 0.8 * n:
+                    want[len(docs), item] = (0, n - cut, round((n - cut) / n, 9))
+                docs.append((len(docs), " ".join(part)))
+    path = tables(docs, benchmark=[(i, " ".join(w)) for i, w in items])
+    got = {(r.doc_id, r.item_id): (r.window, r.n_shingles, round(r.similarity, 9)) for r in decontaminate.op1(spark, path).collect()}
+    assert got == want and len(want) > 20
+    kept = decontaminate.drop_contaminated(spark, read_table(spark, path, "documents"), read_table(spark, path, "benchmark"))
+    assert {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in want}
+
+
 def test_decontamination_odd_rows(spark, odd, empty):
     found = {(r.doc_id, r.item_id) for r in decontaminate.op1(spark, odd).collect()}
     assert found == {(5, 1), (6, 1), (7, 1), (2**40, None)}

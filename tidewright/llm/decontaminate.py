@@ -1,14 +1,14 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 A benchmark item of n shingles is looked for in every window of n shingles of
-every document.  Both sides get 64-bit SimHash fingerprints; items are indexed
+every document; a document of fewer shingles is one window.  Both sides get 64-bit SimHash fingerprints; items are indexed
 by ``RADIUS + 1`` bit blocks together with their size, and two fingerprints
-within the radius agree on a block at least, so the equi-join on (size, block,
-bits) finds all of them.  Candidates within the radius are then verified by the
+within the radius agree on a block at least, so the equi-join on (item's size,
+block, bits) finds all of them.  Candidates within the radius are then verified by the
 exact weighted Jaccard similarity of their shingle multisets.
 
 A window can only reach the similarity if enough of its shingles occur in the
-benchmark at all (s of 2n shared weight over n + n - shared).  So windows are
+benchmark at all (shared weight over w + n - shared for w of the window).  So windows are
 fingerprinted where that many of their shingles are among the shingles of items
 of their size; all others provably fall short.  Everything is DataFrame
 expressions.
@@ -66,9 +66,9 @@ def _block_keys(fp: Column, radius: int) -> Column:
     ])
 
 
-def least_shared(n: Column, similarity: float) -> Column:
-    """Shingles of n that a window must share with an item of n to reach the similarity."""
-    return F.ceil(n * (2 * similarity / (1 + similarity)) - 1e-9).cast("int")
+def least_shared(n: Column, size: Column, similarity: float) -> Column:
+    """Shingles that a window of the size must share with an item of n to reach the similarity."""
+    return F.ceil((n + size) * (similarity / (1 + similarity)) - 1e-9).cast("int")
 
 
 def _shared(a: Column, b: Column) -> Column:
@@ -82,7 +82,8 @@ def find_contamination(
 ) -> DataFrame:
     """Matches as (row_id, doc_id, item_id, window, n_shingles, hamming, similarity), the best window of each document and item.
 
-    window is the first shingle of the window from 0, the leftmost of the best.
+    window is the first shingle of the window from 0, the leftmost of the best,
+    n_shingles its length: the item's, or the document's if that has fewer.
     Null and wordless texts and items match nothing; items of fewer words than a
     shingle are one shingle, and match documents of just those words.  Repeated
     items are all reported.  Empty tables give an empty result.
@@ -99,20 +100,22 @@ def find_contamination(
     texts = with_shingles(with_row_id(docs.select("doc_id", "text")).select("row_id", "doc_id", "text"), shingle)
     # the outer form: an inner explode would put a filter on h, and with it all of h's expression, below the projections
     hits = texts.select("row_id", "doc_id", F.size("h").alias("total"), F.posexplode_outer("h").alias("pos", "shingle")).join(vocabulary, "shingle")
-    hits = hits.select("row_id", "doc_id", "total", "pos", "shingle", F.explode("sizes").alias("n")).where("total >= n")
+    hits = hits.select("row_id", "doc_id", "total", "pos", "shingle", F.explode("sizes").alias("n"))
+    hits = hits.where(F.col("total") >= F.ceil(F.col("n") * similarity - 1e-9))
     # hits of a document and size, cut into stretches of 4 n positions that overlap by a window
     stride = F.col("n") * 4
     own = F.floor(F.col("pos") / stride).cast("int")
     both = F.when((F.col("pos") % stride < F.col("n")) & (own > 0), F.array(own - 1, own)).otherwise(F.array(own))
     parts = hits.withColumn("part", F.explode(both)).groupBy("row_id", "doc_id", "total", "n", "part").agg(F.sort_array(F.collect_list(F.struct("pos", "shingle"))).alias("hit"))
-    need = least_shared(F.col("n"), similarity)
+    size = F.least("n", "total")
+    need = least_shared(F.col("n"), size, similarity)
     parts = parts.where(F.size("hit") >= need)
     first = F.col("part") * F.col("n") * 4
-    starts = F.sequence(F.greatest(first, F.element_at("hit", 1)["pos"] - F.col("n") + 1), F.least(first + F.col("n") * 4 - 1, F.col("total") - F.col("n"), F.element_at("hit", -1)["pos"]))
-    spans = parts.where(F.least(first + F.col("n") * 4 - 1, F.col("total") - F.col("n"), F.element_at("hit", -1)["pos"]) >= F.greatest(first, F.element_at("hit", 1)["pos"] - F.col("n") + 1))
-    windows = spans.select("row_id", "doc_id", "n", "hit", F.explode(starts).alias("window"))
+    low = F.greatest(first, F.element_at("hit", 1)["pos"] - size + 1)
+    high = F.least(first + F.col("n") * 4 - 1, F.col("total") - size, F.element_at("hit", -1)["pos"])
+    windows = parts.where(high >= low).select("row_id", "doc_id", "total", "n", "hit", F.explode(F.sequence(low, high)).alias("window"))
     inside = F.filter("hit", lambda x: (x["pos"] >= F.col("window")) & (x["pos"] < F.col("window") + F.col("n")))
-    windows = windows.select("row_id", "doc_id", "n", "window", F.transform(inside, lambda x: x["shingle"]).alias("hit")).where(F.size("hit") >= need)
+    windows = windows.select("row_id", "doc_id", "total", "n", "window", F.transform(inside, lambda x: x["shingle"]).alias("hit")).where(F.size("hit") >= need)
     windows = scratch.write(windows.select("row_id", "n", "window"), "windows")
     return _verify(scratch, texts, items, windows, similarity, radius)
 
@@ -133,10 +136,10 @@ def _verify(scratch: Scratch, texts: DataFrame, items: DataFrame, windows: DataF
     pairs = met.where(F.col("hamming") <= radius).select("row_id", "window", "n", "item", "hamming").distinct()
     judged = pairs.join(cut.select("row_id", "doc_id", "window", "n", "h"), ["row_id", "window", "n"]).join(items.select("item", "item_id", F.col("h").alias("item_h")), "item")
     shared = _shared(F.col("h"), F.col("item_h"))
-    judged = judged.withColumn("shared", shared).withColumn("similarity", F.col("shared") / (2 * F.col("n") - F.col("shared"))).where(F.col("similarity") >= similarity)
-    best = F.max(F.struct("similarity", (-F.col("window")).alias("back"), "n", "hamming")).alias("b")
+    judged = judged.withColumn("shared", shared).withColumn("size", F.size("h")).withColumn("similarity", F.col("shared") / (F.col("size") + F.col("n") - F.col("shared"))).where(F.col("similarity") >= similarity)
+    best = F.max(F.struct("similarity", (-F.col("window")).alias("back"), "size", "hamming")).alias("b")
     return judged.groupBy("row_id", "doc_id", "item", "item_id").agg(best).select(
-        "row_id", "doc_id", "item_id", (-F.col("b.back")).alias("window"), F.col("b.n").alias("n_shingles"), F.col("b.hamming").alias("hamming"), F.col("b.similarity").alias("similarity")
+        "row_id", "doc_id", "item_id", (-F.col("b.back")).alias("window"), F.col("b.size").alias("n_shingles"), F.col("b.hamming").alias("hamming"), F.col("b.similarity").alias("similarity")
     )
 
 
