@@ -10,6 +10,10 @@ Publishing stages the content, verifies it, takes the lock, moves it into place
 without replacing anything, and verifies again.  The same content published
 again is accepted; other content under the same name is a collision.  A corrupt
 object is set aside with a note and replaced.
+
+An output is taken over only when its content still has its digest.  For a table
+that is one distributed pass over the stored rows; what a store object has found
+sound it reads again only once a file's length or times have changed.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import Any
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import WorkflowError
@@ -44,6 +50,7 @@ class Store:
     def __init__(self, root: str | Path, hooks: dict[str, Callable[[], None]] | None = None):
         self.root = Path(root).resolve()
         self.hooks = hooks or {}
+        self._sound: dict[str, list[list[Any]]] = {}
 
     def _at(self, point: str) -> None:
         if point in self.hooks:
@@ -169,25 +176,38 @@ class Store:
         ref = {"kind": "table", "hash": row.digest, "byteLength": size, "rows": row.rows, "order": list(order), "schema": json.loads(df.schema.json())}
         return stage, ref
 
-    def put_table(self, stage: Path, ref: dict[str, Any]) -> dict[str, Any]:
-        """Moves a staged table into place; an equal one that is there already stays."""
+    def put_table(self, stage: Path, ref: dict[str, Any], spark: SparkSession | None = None) -> dict[str, Any]:
+        """Moves a staged table into place; a sound one that is there already stays, another is set aside.
+
+        Its rows are read before the lock is taken; under the lock only the files' marks are compared.
+        """
         target = self.folder("objects", True) / ref["hash"][7:]
+        sound = target.exists() and self.sound_table(spark, ref)
+        marks = self._marks(target) if sound else None
         with self.lock():
             if target.exists():
-                there = json.loads((target / "_identity.json").read_text()) if (target / "_identity.json").exists() else None
-                if there and self._files(target) == there["files"]:
+                if sound and self._marks(target) == marks:
                     shutil.rmtree(stage)
-                    return {**ref, "byteLength": there["byteLength"]}
+                    return {**ref, "byteLength": json.loads((target / "_identity.json").read_text())["byteLength"]}
                 self._quarantine(target)
             (stage / "_identity.json").write_text(json.dumps({"hash": ref["hash"], "rows": ref["rows"], "byteLength": ref["byteLength"], "files": self._files(stage)}))
             os.rename(stage, target)
             self._at("linked")
+        self._sound[ref["hash"]] = self._marks(target)
         return ref
 
+    def discard(self, stage: Path) -> None:
+        """Removes a staged table that will not be published."""
+        shutil.rmtree(stage, ignore_errors=True)
+
     @staticmethod
     def _files(path: Path) -> list[list[Any]]:
         return sorted([p.name, p.stat().st_size] for p in path.rglob("*.parquet"))
 
+    @staticmethod
+    def _marks(path: Path) -> list[list[Any]]:
+        return sorted([p.name, (st := p.stat()).st_size, st.st_mtime_ns, st.st_ctime_ns] for p in path.rglob("*.parquet"))
+
     def get_table(self, spark: SparkSession, ref: dict[str, Any], verify: bool = False) -> DataFrame:
         """The stored rows.  Names and lengths of files are always checked; ``verify`` digests the rows again."""
         from pyspark.sql.types import StructType
@@ -199,19 +219,42 @@ class Store:
         if self._files(path) != json.loads(note.read_text())["files"]:
             raise WorkflowError("output_corrupt", "read", path=str(path))
         df = spark.read.schema(StructType.fromJson(ref["schema"])).parquet(str(path))
-        if verify and (ordered_digest(df, ref["order"]) if ref.get("order") else bag_digest(df)).first().digest != ref["hash"]:
+        if verify and not self._digests_to(df, ref):
             raise WorkflowError("output_corrupt", "read", path=str(path))
         return df
 
-    def available(self, ref: dict[str, Any]) -> bool:
+    @staticmethod
+    def _digests_to(df: DataFrame, ref: dict[str, Any]) -> bool:
+        try:
+            return (ordered_digest(df, ref["order"]) if ref.get("order") else bag_digest(df)).first().digest == ref["hash"]
+        except (PySparkException, Py4JError):  # pages that do not decode
+            return False
+
+    def sound_table(self, spark: SparkSession | None, ref: dict[str, Any]) -> bool:
+        """Whether the stored rows still have their digest; without a session nothing can be told, so not."""
+        path = self.folder("objects") / ref["hash"][7:]
         try:
-            if ref["kind"] == "json":
-                self.get_value(ref)
-            else:
-                path = self.folder("objects") / ref["hash"][7:]
-                return self._files(path) == json.loads((path / "_identity.json").read_text())["files"]
+            if self._files(path) != json.loads((path / "_identity.json").read_text())["files"]:
+                return False
+            marks = self._marks(path)
+            if self._sound.get(ref["hash"]) == marks:
+                return True
+            if spark is None:
+                return False
+            self.get_table(spark, ref, verify=True)
         except (WorkflowError, OSError, ValueError):
             return False
+        self._sound[ref["hash"]] = marks
+        return True
+
+    def available(self, ref: dict[str, Any], spark: SparkSession | None = None) -> bool:
+        """Whether an output can be taken over: its content is there and has its digest."""
+        if ref["kind"] == "table":
+            return self.sound_table(spark, ref)
+        try:
+            self.get_value(ref)
+        except WorkflowError:
+            return False
         return True
 
     # records and receipts
@@ -224,11 +267,14 @@ class Store:
         self._publish(target, data)
         return target
 
-    def get_record(self, id: str, folder: str = "runs") -> dict[str, Any]:
+    def record_bytes(self, id: str, folder: str = "runs") -> bytes:
         path = self.folder(folder) / f"{id}.json"
         if not path.exists():
             raise WorkflowError("run_not_found" if folder == "runs" else "receipt_not_found", "read", run=id)
-        return decode(self._read(path, RECORD_BYTES, "read"))
+        return self._read(path, RECORD_BYTES, "read")
+
+    def get_record(self, id: str, folder: str = "runs") -> dict[str, Any]:
+        return decode(self.record_bytes(id, folder))
 
     def put_receipt(self, body: dict[str, Any], guard: Callable[[], bool] = lambda: True) -> dict[str, Any]:
         """Stores an evaluation's result under the digest of its content, if the guard still holds."""
