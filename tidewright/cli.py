@@ -8,6 +8,8 @@ import json
 import sys
 from typing import Any
 
+from pyspark.sql import functions as F
+
 from .engine import prepare
 from .errors import WorkflowError
 from .history import History
@@ -60,8 +62,11 @@ def main(argv: list[str] | None = None, out=None) -> int:
         elif a.verb == "explain":
             say(h.explain(a.run))
         elif a.verb == "output":
-            ref = h._reference(a.run, a.stage)
-            say(h.output(a.run, a.stage) if ref["kind"] == "json" else [json.loads(x) for x in h.output(a.run, a.stage, _spark()).limit(1000).toJSON().collect()])
+            if h._reference(a.run, a.stage)["kind"] == "json":
+                say(h.output(a.run, a.stage))
+            else:  # all rows, a JSON object a line; the driver holds one partition at a time
+                for row in h.output(a.run, a.stage, _spark()).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row")).toLocalIterator():
+                    print(row.row, file=out)
         elif a.verb == "compare":
             tables = any(h._reference(r, a.stage)["kind"] == "table" for r in (a.left, a.right))
             got = h.compare(a.left, a.right, a.stage, _spark() if tables else None)
@@ -70,9 +75,10 @@ def main(argv: list[str] | None = None, out=None) -> int:
         elif a.verb == "diff":
             say([r.asDict(True) for r in h.diff(_spark(), a.left, a.right).collect()])
         elif a.verb == "receipt":
-            say(h.receipt(a.id))
+            say(h.receipt(a.id, _spark() if any(s["output"] and s["output"]["kind"] == "table" for r in h.receipt_runs(a.id) for s in r["stages"]) else None))
         elif a.verb == "evaluate":
-            got = h.evaluate(_load(a.suite), a.candidate)
+            tables = any(s["output"] and s["output"]["kind"] == "table" for s in h.inspect(a.candidate)["stages"])
+            got = h.evaluate(_load(a.suite), a.candidate, spark=_spark() if tables else None)
             say(got)
             return exit_code(got)
         else:

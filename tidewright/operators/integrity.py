@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import WorkflowError
@@ -16,10 +17,28 @@ from .verify import violations
 
 RUN_FIELDS = ("schemaVersion", "id", "recordHash", "attemptId", "workflowId", "startedAt", "finalizedAt", "status", "baseline", "failureMode", "propagation", "refresh", "stages")
 STAGE_FIELDS = ("stageId", "dependencies", "policy", "preview", "actual", "status", "fingerprint", "components", "output", "error")
-TIME = re.compile(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{3}Z\Z")
+TIME = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{3}Z\Z")
 HASH = re.compile(r"sha256:[0-9a-f]{64}\Z")
 
 
+def is_time(text: Any) -> bool:
+    """Whether a text is a moment in the one form that is written, and stays the same when read and written again."""
+    if not isinstance(text, str) or not TIME.match(text):
+        return False
+    try:
+        moment = dt.datetime.fromisoformat(text[:-1])
+    except ValueError:
+        return False
+    return moment.isoformat(timespec="milliseconds") + "Z" == text
+
+
+def time_column(text: Column) -> Column:
+    """The same as :func:`is_time`, over a column; null is no time."""
+    form = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
+    again = F.date_format(F.try_to_timestamp(text, F.lit(form)), form)
+    return F.coalesce(text.rlike(TIME.pattern.replace(r"\Z", r"\z")) & (again == text), F.lit(False))
+
+
 def validate_run(r: dict[str, Any]) -> list[str]:
     """Names of the broken rules; a sound record has none."""
     if tuple(r) != RUN_FIELDS or any(tuple(s) != STAGE_FIELDS for s in r["stages"]):
@@ -33,7 +52,7 @@ def validate_run(r: dict[str, Any]) -> list[str]:
     body = {k: v for k, v in r.items() if k not in ("id", "recordHash")}
     h = digest(r["schemaVersion"], encode_ordered(body).encode())
     rule("identity", r["recordHash"] == h and r["id"] == "run_" + h[7:])
-    rule("times", all(TIME.match(r[k]) for k in ("startedAt", "finalizedAt")) and r["finalizedAt"] >= r["startedAt"])
+    rule("times", all(is_time(r[k]) for k in ("startedAt", "finalizedAt")) and r["finalizedAt"] >= r["startedAt"])
     base = r["baseline"]
     rule("baseline", base is None or (HASH.match(base["recordHash"]) is not None and base["runId"] == "run_" + base["recordHash"][7:] and base["runId"] != r["id"]))
     ids = [s["stageId"] for s in r["stages"]]
@@ -80,6 +99,12 @@ def require_valid(r: dict[str, Any], id: str) -> dict[str, Any]:
     return r
 
 
+def so_far(flag: Column, run: list[str], position: str) -> Column:
+    """Whether the flag held in any earlier row of the run: a running maximum."""
+    before = Window.partitionBy(*run).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.bool_or(flag).over(before), F.lit(False))
+
+
 def stage_violations(run_stages: DataFrame) -> DataFrame:
     """The ordering rules as columns: (run_id, position, stage_id, violations) of the stages that break one.
 
@@ -87,9 +112,8 @@ def stage_violations(run_stages: DataFrame) -> DataFrame:
     reason, status, has_output and error_code.  "Failed so far" is a running
     maximum over the earlier stages of a run.
     """
-    before = Window.partitionBy("run_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     same = Window.partitionBy("run_id", "stage_id")
-    s = run_stages.withColumns({"failed_before": F.coalesce(F.bool_or(F.col("status") == "failed").over(before), F.lit(False)), "same_id": F.count("*").over(same)})
+    s = run_stages.withColumns({"failed_before": so_far(F.col("status") == "failed", ["run_id"], "position"), "same_id": F.count("*").over(same)})
     rules = {
         "stage_ids": F.col("same_id") > 1,
         "decision": (F.col("decision") == "reuse") != (F.col("status") == "reused"),

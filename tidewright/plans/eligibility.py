@@ -66,6 +66,19 @@ def decide_conservative(facts: dict[str, bool]) -> str:
     return CONSERVATIVE[tests.index(True)]
 
 
+def conservative_column() -> Column:
+    """The same as :func:`decide_conservative`, over columns named as the facts."""
+    c = F.col
+    tests = (
+        ~c("has_baseline"), c("refreshed"), c("volatile"), ~c("enabled"), c("dependency_executed"),
+        ~c("in_baseline"), ~c("output_present"), ~c("available"), ~c("influences_equal"),
+    )
+    out = F.lit(CONSERVATIVE[-1])
+    for holds, reason in reversed(list(zip(tests, CONSERVATIVE))):
+        out = F.when(holds, F.lit(reason)).otherwise(out)
+    return out
+
+
 #: What each reason means, for people; also a dimension table.
 EXPLANATIONS = {
     "reused": "Nothing the stage declares has changed, so its earlier output was taken over.",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import weakref
 from collections.abc import Callable, Iterable
 from copy import deepcopy
 from dataclasses import dataclass, field
@@ -11,6 +12,7 @@ from typing import Any
 
 from ..errors import WorkflowError
 from ..functions.codec import encode_ordered
+from ..functions.pointer import parts
 
 NAME = re.compile(r"[a-z][a-z0-9]*(?:[-_][a-z0-9]+)*\Z")
 
@@ -41,8 +43,7 @@ class Stage:
         return "reusable" if self.revision is not None else "always-execute"
 
 
-_MADE: set[int] = set()
-_KEEP: list[Stage] = []
+_MADE: weakref.WeakSet[Stage] = weakref.WeakSet()
 
 
 def stage(id: str, run: Callable[[Any], Any] | None = None, **declared: Any):
@@ -59,8 +60,7 @@ def stage(id: str, run: Callable[[Any], Any] | None = None, **declared: Any):
     declared["inputs"] = deepcopy(declared.get("inputs") or {})
     declared["depends"] = dict(declared.get("depends") or {})
     made = Stage(id=id, run=run, **declared)
-    _MADE.add(id_of(made))
-    _KEEP.append(made)
+    _MADE.add(made)
     return made
 
 
@@ -72,7 +72,7 @@ def _issues(stages: list[Stage]) -> list[tuple[str, str]]:
     found, seen = [], set()
     known = {id_of(s) for s in stages}
     for s in stages:
-        if not isinstance(s, Stage) or id_of(s) not in _MADE:
+        if not isinstance(s, Stage) or s not in _MADE:
             found.append(("invalid_stage", getattr(s, "id", repr(s))))
             continue
         if s.id in seen:
@@ -91,15 +91,27 @@ def _issues(stages: list[Stage]) -> list[tuple[str, str]]:
                 found.append(("self_dependency", s.id))
             elif id_of(target) not in known:
                 found.append(("missing_dependency", f"{s.id}.{name}"))
-        for names, code in ((s.env, "duplicate_env"), (s.watch, "duplicate_watch")):
+        for names, code in ((s.env, "duplicate_env"), (s.watch, "duplicate_watch"), (s.selectors or (), "duplicate_input")):
             if len(set(names)) != len(names):
                 found.append((code, s.id))
         if any(not isinstance(e, str) or not e or "=" in e or "\0" in e for e in s.env):
             found.append(("invalid_env", s.id))
         if any(not isinstance(w, str) or not w or "\0" in w for w in s.watch):
             found.append(("invalid_watch", s.id))
-        if s.revision is not None and (not isinstance(s.revision, str) or not s.revision):
+        for pointer in s.selectors or ():
+            try:
+                parts(pointer)
+            except (WorkflowError, AttributeError):
+                found.append(("invalid_input_pointer", f"{s.id} {pointer}"))
+        if s.revision is not None and not isinstance(s.revision, str):
             found.append(("invalid_revision", s.id))
+        elif s.revision is not None and not s.revision.strip():
+            found.append(("empty_implementation", s.id))
+    left = [s for s in stages if isinstance(s, Stage) and s in _MADE]
+    while ready := {id_of(s) for s in left if not {id_of(t) for t in s.depends.values()} & {id_of(t) for t in left}}:
+        left = [s for s in left if id_of(s) not in ready]
+    if left:
+        found.append(("cycle", " -> ".join(cycle_path(left))))
     return found
 
 
@@ -142,13 +154,17 @@ class Workflow:
             raise WorkflowError("invalid_workflow_id", "workflow", workflow=id)
         if not stages:
             raise WorkflowError("empty_workflow", "workflow", workflow=id)
+        self.id, self.root = id, Path(root).resolve()
         if issues := _issues(stages):
             raise WorkflowError(issues[0][0], "workflow", f"{len(issues)} issues", issues=issues)
-        self.id, self.root = id, Path(root).resolve()
         self.stages = topological(stages)
         self.by_id = {s.id: s for s in self.stages}
         self.needs = {s.id: sorted({t.id for t in s.depends.values()}) for s in self.stages}
 
+    def add(self, *stages: Stage) -> None:
+        """A workflow is sealed once it is made; a changed graph is another workflow."""
+        raise WorkflowError("sealed_workflow", "workflow", workflow=self.id, stages=[getattr(s, "id", repr(s)) for s in stages])
+
     def upstream(self, id: str) -> set[str]:
         out: set[str] = set()
         todo = list(self.needs[id])

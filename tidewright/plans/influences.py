@@ -21,17 +21,25 @@ def _inside(path: Path, folder: Path) -> bool:
     return path == folder or folder in path.parents
 
 
-def observe_files(names: tuple[str, ...], root: Path, history: Path | None, absolute: bool = False) -> list[dict[str, Any]]:
+def observe_files(names: tuple[str, ...], root: Path, history: Path | None, absolute: bool = False, missing_is_value: bool = False) -> list[dict[str, Any]]:
     """Digest of each watched file, sorted; exact regular files only.
 
     Relative names stay under the root after links are followed; no file may lie
     in, or be a hard link to a file of, the history.  Two names of one physical
     file are an error.  Files are named relative to the root unless ``absolute``.
+    A missing file is an error, or with ``missing_is_value`` an observation of its
+    own ({path, state: missing}) if the folder it is missing from lies under the root.
     """
     seen: dict[tuple[int, int], str] = {}
     out = []
     for name in names:
         given = Path(name)
+        if missing_is_value and not os.path.lexists(place := given if given.is_absolute() else root / given):
+            held = next(p for p in place.parents if p.exists()).resolve()
+            if not given.is_absolute() and not _inside(held, root):
+                raise WorkflowError("watched_file_outside_root", "observe", file=name)
+            out.append({"path": name, "state": "missing"})
+            continue
         try:
             real = (given if given.is_absolute() else root / given).resolve(strict=True)
         except (OSError, ValueError) as e:
