@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import WorkflowError
+from ..sources.shared import checkpointed
+
 #: Fields of a stage record that a run diff compares, in the order it reports them.
 STAGE_FIELDS = (
     "dependencies", "policy", "preview", "decision", "reason", "status", "fingerprint", "components", "output_hash", "origin", "error_code",
@@ -43,12 +46,20 @@ def diff_summary(runs_diff: DataFrame) -> DataFrame:
 
 
 def reachable(spark: SparkSession, edges: DataFrame, root: str) -> DataFrame:
-    """(node, depth) of everything downstream of a root in an acyclic edge list (src, dst)."""
-    edges.createOrReplaceTempView("tidewright_edges")
-    return spark.sql(
-        """with recursive walk(node, depth) as (
-             select cast(:root as string), cast(0 as bigint)
-             union all select dst, depth + 1 from walk join tidewright_edges on src = node)
-           select node, max(depth) as depth from walk group by node""",
-        {"root": root},
-    )
+    """(node, depth) of everything downstream of a root in an acyclic edge list (src, dst); depth is the longest way.
+
+    One join a level over distinct nodes, so many ways to a node cost one row a
+    level.  More levels than edges mean a cycle, which is an error.
+    """
+    steps = checkpointed(edges.select("src", "dst").distinct())
+    most, depth = steps.count(), 0
+    front = spark.range(1).select(F.lit(root).alias("node"))
+    found = front.withColumn("depth", F.lit(0).cast("long"))
+    while True:
+        front = checkpointed(steps.join(front.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct())
+        if front.isEmpty():
+            return found.groupBy("node").agg(F.max("depth").alias("depth"))
+        depth += 1
+        if depth > most:
+            raise WorkflowError("cycle", "reachable", root=root)
+        found = found.union(front.withColumn("depth", F.lit(depth).cast("long")))

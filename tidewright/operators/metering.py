@@ -32,7 +32,7 @@ def savings(ledger: DataFrame, reference: DataFrame) -> DataFrame:
     cost = F.when(F.count_if(F.col("cost").isNull()) == 0, F.sum("cost"))
     totals = ledger.groupBy("scenario").agg(cost.alias("total"), F.count("*").alias("calls"))
     base = totals.join(F.broadcast(reference), "scenario", "left_semi")
-    both = totals.withColumns({"base": base.select("total").scalar(), "base_calls": base.select("calls").scalar()})
+    both = totals.withColumn("reference", base.select(F.struct("total", "calls")).scalar()).withColumns({"base": F.col("reference.total"), "base_calls": F.col("reference.calls")})
     gain = F.col("base") - F.col("total")
     percent = F.when(F.col("base") != 0, gain * F.lit(100.0) / F.col("base"))
     return both.select("scenario", F.round(gain, 2).alias("avoided"), F.round(percent, 4).alias("percent"), (F.col("base_calls") - F.col("calls")).alias("calls_avoided"))
