@@ -110,3 +110,63 @@ def test_table_differences(spark):
 def test_json_matches_python_on_plain_values():
     v = {"a": [1, True, None, "x\n"], "b": {"c": 1.25}}
     assert codec.encode_ordered(v) == json.dumps(v, separators=(",", ":"))
+
+
+def test_pointer_columns_match_the_walk(spark):
+    from pyspark.sql import functions as F
+
+    docs = [{"a/b": {"~x": [1, None, {"k": "v"}]}, "0": "zero", "list": [[7], "s"], "n": None, "t": True, 'q"z': 1.5}, [1, [2]], "text", None, 3, {}]
+    pointers = ["", "/a~1b/~0x/0", "/a~1b/~0x/1", "/a~1b/~0x/2/k", "/a~1b/~0x/3", "/0", "/list/0/0", "/list/01", "/list/-1", "/n", "/t", '/q"z', "/1/0", "/missing"]
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)] + [(len(docs), "{"), (len(docs) + 1, None)], "i int, d string")
+    columns = [c for k, p in enumerate(pointers) for c in (pointer.pointer_state(F.col("d"), p).alias(f"s{k}"), pointer.pointer_text(F.col("d"), p).alias(f"t{k}"))]
+    for r in df.select("i", *columns).collect():
+        for k, p in enumerate(pointers):
+            want = pointer.resolve(docs[r.i], p) if r.i < len(docs) else pointer.MISSING
+            assert r[f"s{k}"] == ("missing" if want is pointer.MISSING else "present"), (r.i, p)
+            if want is pointer.MISSING or want is None:
+                assert r[f"t{k}"] is None
+            elif isinstance(want, str):
+                assert r[f"t{k}"] == want
+            else:
+                assert json.loads(r[f"t{k}"]) == want
+    assert pointer.project_inputs({"a": None, "b": [1]}, ["/a", "/b/0", "/c"]) == {"/a": None, "/b/0": 1}
+
+
+def test_digests_fold_nested_values(spark):
+    one = lambda sql: identity.bag_digest(spark.sql(f"select {sql} as v")).first().digest
+    assert one("map('a', 1, 'b', 2)") == one("map('b', 2, 'a', 1)") != one("map('b', 1, 'a', 2)")
+    assert one("array(named_struct('x', -0.0D))") == one("array(named_struct('x', 0.0D))") != one("array(named_struct('x', cast(null as double)))")
+    assert one("named_struct('m', map('k', array(cast('NaN' as double))))") == one("named_struct('m', map('k', array(double('NaN'))))")
+    assert one("cast(null as struct<x: int>)") != one("named_struct('x', cast(null as int))")
+    assert one("array(X'00')") != one("array(X'01')")
+
+
+def test_bag_digest_is_order_free_and_counts(spark):
+    rows = spark.range(5000).selectExpr("id", "cast(id as string) as s", "if(id % 3 = 0, null, id / 7) as d")
+    a = identity.bag_digest(rows.repartition(7)).first()
+    assert a == identity.bag_digest(rows.orderBy("s").coalesce(1)).first() and a.rows == 5000
+    assert identity.bag_digest(rows.union(rows)).first().digest != a.digest
+    empty = identity.bag_digest(rows.where("id < 0")).first()
+    assert empty.rows == 0 and empty.digest != a.digest
+
+
+def test_time_texts(spark):
+    from pyspark.sql import functions as F
+
+    from tidewright.operators.integrity import is_time, time_column
+
+    texts = ["2024-02-29T00:00:00.000Z", "2023-02-29T00:00:00.000Z", "2024-01-01T23:59:59.999Z", "2024-01-01T24:00:00.000Z", "2024-1-01T00:00:00.000Z", "2024-01-01T00:00:00Z", "", None, "2024-01-01T00:00:00.000Z\n"]
+    got = [r.t for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string").orderBy("i").select(time_column(F.col("x")).alias("t")).collect()]
+    assert got == [is_time(t) for t in texts] == [True, False, True, False, False, False, False, False, False]
+
+
+def test_reachable_counts_ways_once(spark):
+    """A ladder of diamonds has a row a node however many ways lead there; a cycle is an error."""
+    from tidewright.operators.diff import reachable
+
+    edges = [(f"n{k}", f"{side}{k}") for k in range(6) for side in "ab"] + [(f"{side}{k}", f"n{k + 1}") for k in range(6) for side in "ab"] + [("n0", "n6"), ("z", "y")]
+    got = {r.node: r.depth for r in reachable(spark, spark.createDataFrame(edges, "src string, dst string"), "n0").collect()}
+    assert got == {f"n{k}": 2 * k for k in range(7)} | {f"{s}{k}": 2 * k + 1 for k in range(6) for s in "ab"}
+    with pytest.raises(WorkflowError) as e:
+        reachable(spark, spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string"), "a")
+    assert e.value.code == "cycle"

@@ -9,11 +9,11 @@ import pytest
 
 from tidewright import History, Workflow, WorkflowError, prepare, stage
 from tidewright.cli import main
-from tidewright.operators.checks import Check, Selector, Suite, evaluate_pair, exit_code, verdict
+from tidewright.operators.checks import Check, Selector, Suite, TableCheck, evaluate_pair, exit_code, verdict
 from tidewright.operators.integrity import validate_run
 from tidewright.plans import eligibility
 from tidewright.plans.graph import cycle_path
-from tidewright.plans.influences import table_snapshot
+from tidewright.plans.influences import observe_files, table_snapshot
 from tidewright.sources.store import Store
 
 
@@ -392,3 +392,195 @@ def test_command_line(bench, capsys):
     assert main([*h, "compare", first["id"], second["id"], "source"]) == 1
     assert main([*h, "compare", first["id"], second["id"], "leaf"]) == 0
     assert main([*h, "inspect", "run_" + "0" * 64]) == 2
+
+
+def test_more_validation_codes(tmp_path):
+    assert code(Workflow, "w", [stage("a", lambda c: 1, revision=" ")]) == "empty_implementation"
+    assert code(Workflow, "w", [stage("a", lambda c: 1, revision="1", selectors=("/x", "/x"))]) == "duplicate_input"
+    assert code(Workflow, "w", [stage("a", lambda c: 1, revision="1", selectors=("x",))]) == "invalid_input_pointer"
+    made = Workflow("w", [stage("a", lambda c: 1)])
+    assert code(made.add, stage("b", lambda c: 1)) == "sealed_workflow"
+    x = stage("x", lambda c: 1)
+    y = stage("y", lambda c: 1, depends={"x": x}, env=("A=", "A="))
+    x.depends["y"] = y
+    with pytest.raises(WorkflowError) as e:
+        Workflow("w", [stage("ok", lambda c: 1), x, y])
+    assert {c for c, _ in e.value.context["issues"]} == {"duplicate_env", "invalid_env", "cycle"}
+
+
+def test_stages_are_not_kept_alive():
+    import gc
+    import weakref
+
+    seen = weakref.ref(stage("gone", lambda c: 1))
+    gc.collect()
+    assert seen() is None
+
+
+def damage(root, ref):
+    """Other bytes of the same length and name, without the checksum file beside."""
+    for part in (root / "objects" / ref["hash"][7:]).glob("part-*.parquet"):
+        data = bytearray(part.read_bytes())
+        data[4:24] = bytes(b ^ 0xFF for b in data[4:24])
+        part.write_bytes(bytes(data))
+        (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+
+
+def test_damaged_table_is_not_taken_over(spark, tmp_path):
+    """A flipped byte of equal length runs the stage again, sets the damage aside and repairs the object."""
+    calls = []
+
+    def w():
+        def run(c):
+            calls.append("a")
+            return spark.range(1000).selectExpr("id", "id * 7 % 13 as k")
+
+        a = stage("a", run, revision="1")
+        return Workflow("frames", [a, stage("b", lambda c: c.outputs["a"].where("k = 1"), depends={"a": a}, revision="1")], tmp_path)
+
+    first = prepare(w(), tmp_path / "h", spark).execute()
+    again = prepare(w(), tmp_path / "h", spark, baseline="latest").execute()
+    assert [s["status"] for s in again["stages"]] == ["reused", "reused"] and calls == ["a"]
+    ref = first["stages"][0]["output"]
+    damage(tmp_path / "h", ref)
+    assert not Store(tmp_path / "h").available(ref, spark)
+    plan = prepare(w(), tmp_path / "h", spark, baseline="latest")
+    assert [(s["decision"], s["reason"]) for s in plan.preview][0] == ("execute", "reuse_unavailable")
+    third = plan.execute()
+    assert [(s["status"], s["actual"]["reason"]) for s in third["stages"]] == [("succeeded", "reuse_unavailable"), ("reused", "reused")]
+    assert len(list((tmp_path / "h/quarantine").iterdir())) == 1
+    assert History(tmp_path / "h").output(third["id"], "a", spark).count() == 1000
+    # damage between the preview and the run is seen as well
+    plan = prepare(w(), tmp_path / "h", spark, baseline="latest")
+    assert plan.preview[0]["decision"] == "reuse"
+    damage(tmp_path / "h", ref)
+    assert plan.execute()["stages"][0]["actual"]["reason"] == "reuse_unavailable"
+    assert prepare(w(), tmp_path / "h", baseline="latest").preview[0]["reason"] == "reuse_unavailable"  # without a session nothing can be verified
+
+
+def test_table_outputs_are_bounded(spark, tmp_path):
+    w = Workflow("w", [stage("a", lambda c: spark.range(100))], tmp_path)
+    for limit in ({"table_rows": 99}, {"table_bytes": 10}):
+        r = prepare(w, tmp_path / "h", spark, **limit).execute()
+        assert r["stages"][0]["error"] == {"code": "output_too_large", "callbackInvoked": True}
+    assert not list((tmp_path / "h/staging").iterdir()) and not (tmp_path / "h/objects").exists()
+    assert prepare(w, tmp_path / "h", spark, table_rows=100).execute()["status"] == "completed"
+
+
+def two_runs(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    def w(keep):
+        a = stage("a", lambda c: spark.range(c.inputs["keep"]).withColumn("v", F.col("id") % 5), inputs={"keep": keep}, revision="1")
+        return Workflow("frames", [a, stage("n", lambda c: {"rows": c.outputs["a"].count()}, depends={"a": a}, revision="1")], tmp_path)
+
+    first = prepare(w(150), tmp_path / "h", spark).execute()
+    return first, prepare(w(3), tmp_path / "h", spark, baseline="latest").execute()
+
+
+def test_evaluation_of_tables(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    _, second = two_runs(spark, tmp_path)
+    suite = Suite("s", [
+        TableCheck("enough", "a", lambda: {"passed": F.count("*") >= 10, "rows": F.count("*"), "mean": F.avg("v")}),
+        TableCheck("nothing", "a", lambda: {"rows": F.count("*")}),
+        TableCheck("fails", "a", lambda: {"passed": F.col("no_such") > 1}),
+        TableCheck("wrong-kind", "n", lambda: {"passed": F.lit(True)}),
+        Check("whole", "a", {"t": Selector("", "required-table-v1")}, lambda s: {"passed": s["t"].columns == ["id", "v"], "details": {}}),
+        Check("as-json", "a", {"t": Selector("")}, lambda s: {"passed": True, "details": {}}),
+        Check("value", "n", {"rows": Selector("/rows", "required-number-v1")}, lambda s: {"passed": s["rows"] >= 3, "details": {}}),
+    ])
+    h = History(tmp_path / "h")
+    assert code(h.evaluate, suite, second["id"]) == "session_required"
+    got = h.evaluate(suite, second["id"], spark=spark)
+    told = {c["check_id"]: c for c in got["checks"]}
+    assert told["enough"]["comparison"] == "regressed" and told["enough"]["baseline"]["details"] == {"rows": 150, "mean": 2}
+    assert {k: c["candidate"]["error"] for k, c in told.items()} == {"enough": None, "nothing": "invalid_result", "fails": "evaluator_threw", "wrong-kind": "input_type_mismatch", "whole": None, "as-json": "input_type_mismatch", "value": None}
+    assert told["whole"]["comparison"] == told["value"]["comparison"] == "unchanged_pass"
+    assert h.receipt(got["id"], spark) == h.receipt(got["id"]) == got
+    assert h.receipt_preview(got["id"], spark) == got
+    damage(tmp_path / "h", second["stages"][0]["output"])
+    assert code(h.receipt, got["id"], spark) == "output_corrupt"
+
+
+def test_watched_files_belong_to_the_suite(bench):
+    _, _ = bench.run()
+    bench.values |= {"leaf": 2, "source": 2, "middle": 2, "n": 1}
+    _, second = bench.run("latest")
+    rules = bench.root / "rules.txt"
+
+    def suite(evaluate):
+        return Suite("s", [Check("a", "leaf", {"v": Selector()}, evaluate, files=("rules.txt", "gone.txt")), Check("b", "leaf", {"v": Selector()}, evaluate)], root=bench.root)
+
+    rules.write_text("1")
+    plain = suite(lambda s: {"passed": True, "details": {}})
+    before = plain.fingerprint()
+    rules.write_text("2")
+    assert plain.fingerprint() != before
+    assert plain.describe()["checks"][0]["watchedFiles"][1] == {"path": "gone.txt", "state": "missing"}
+    h = History(bench.root / "h")
+    got = h.evaluate(plain, second["id"])
+    assert h.receipt(got["id"]) == got
+
+    def meddle(s):
+        rules.write_text(rules.read_text() + "x")
+        return {"passed": True, "details": {}}
+
+    assert code(h.evaluate, suite(meddle), second["id"]) == "suite_changed"
+    (bench.root / "h/inside.txt").write_text("")
+    assert code(h.evaluate, Suite("s", [Check("a", "leaf", {}, meddle, files=("h/inside.txt",))], root=bench.root), second["id"]) == "watched_file_in_history"
+
+
+def test_receipts_are_verified_against_their_sources(bench):
+    from tidewright.functions.codec import encode_ordered
+    from tidewright.operators.checks import restore_suite
+
+    _, first = bench.run()
+    bench.values |= {"leaf": 2, "source": 2, "middle": 2, "n": 1}
+    _, second = bench.run("latest")
+    h = History(bench.root / "h")
+    suite = Suite("s", [Check("a", "leaf", {"v": Selector("", "required-number-v1")}, lambda s: {"passed": s["v"] > 1, "details": {}})])
+    got = h.evaluate(suite, second["id"])
+    restored = restore_suite(got["suiteDescriptor"])
+    assert [c.id for c in restored.checks] == ["a"] and code(restored.checks[0].evaluate, {}) == "historical_evaluator"
+    body = {k: v for k, v in got.items() if k != "id"}
+
+    def tampered(change):
+        made = json.loads(json.dumps(body))
+        change(made)
+        return h.store.put_receipt(made)["id"]
+
+    def flip(b):
+        b["checks"][0]["candidate"]["passed"] = False
+
+    for change, part in (
+        (lambda b: b["suiteDescriptor"].update(id="other"), "suite"), (lambda b: b["suiteDescriptor"]["checks"][0].update(kind="odd", select=None), "suite"), (flip, "comparison"), (lambda b: b["summary"].update(total=9), "summary"),
+        (lambda b: b.update(candidateRecordHash=first["recordHash"]), "runs"), (lambda b: b["checks"][0]["baseline"].update(source="sha256:" + "0" * 64), "source"), (lambda b: b["checks"][0]["candidate"].update(fingerprint="sha256:0"), "fingerprint"),
+    ):
+        with pytest.raises(WorkflowError) as e:
+            h.receipt(tampered(change))
+        assert (e.value.code, e.value.context["part"]) == ("receipt_corrupt", part)
+    assert encode_ordered(h.receipt(got["id"])) == encode_ordered(got)
+
+
+def test_previews_and_output_tell_the_whole_table(spark, tmp_path, capsys):
+    first, second = two_runs(spark, tmp_path)
+    h = History(tmp_path / "h")
+    cut, whole = h.preview(first["id"], "a", spark), h.preview(second["id"], "a", spark)
+    assert cut["truncated"] and len(cut["text"].splitlines()) == 100
+    assert not whole["truncated"] and len(whole["text"].splitlines()) == 3
+    big = Workflow("w", [stage("a", lambda c: spark.range(2500))], tmp_path)
+    run = prepare(big, tmp_path / "h", spark).execute()
+    capsys.readouterr()
+    assert main(["--history", str(tmp_path / "h"), "output", run["id"], "a"]) == 0
+    assert sorted(json.loads(x)["id"] for x in capsys.readouterr().out.splitlines()) == list(range(2500))
+
+
+def test_missing_watched_file_as_a_value(tmp_path):
+    (tmp_path / "r/sub").mkdir(parents=True)
+    (tmp_path / "r/a.txt").write_text("1")
+    seen = observe_files(("a.txt", "sub/b.txt"), tmp_path / "r", None, missing_is_value=True)
+    assert [f.get("state") for f in seen] == [None, "missing"]
+    assert code(observe_files, ("sub/b.txt",), tmp_path / "r", None) == "watched_file_unreadable"
+    assert code(observe_files, ("../b.txt",), tmp_path / "r", None, missing_is_value=True) == "watched_file_outside_root"

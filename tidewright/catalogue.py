@@ -11,8 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import pointer
 from .functions.identity import bag_digest, digest_column
-from .operators import checks, diff, grounding, metering, verify
+from .operators import checks, diff, grounding, integrity, listing, metering, verify
+from .plans import eligibility
+from .sources import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -60,38 +63,56 @@ def filter_then_project_runs(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "orders").where((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 1000)).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-_CAUSES = """
-with h as (
-  select event_id, event_type, value, user_id,
-         lag(event_type) over w as before_type, lag(value) over w as before_value,
-         lag(event_id) over w as before_id
+_FACTS = """
+h as (
+  select event_id, event_type, user_id, lag(event_type) over w as before_type, lag(value) over w as before_value, lag(event_id) over w as before_id
   from events window w as (partition by user_id order by ts, event_id)
-), c as (
-  select event_id, list_filter([
-     case when event_type = 'error' then 'reuse_not_enabled' end,
-     case when before_id is null then 'baseline_stage_missing' end,
-     case when before_id is not null and before_value is null then 'baseline_output_absent' end,
-     case when before_id is not null and event_type is distinct from before_type then 'influences_changed' end
-  ], lambda x: x is not null) as causes from h)
-select event_id, coalesce(causes[1], 'reused') as reason, coalesce(array_to_string(causes, ','), '') as causes,
-       case when len(causes) = 0 then 'reuse' else 'execute' end as decision from c
+), f as (
+  select event_id, event_type <> 'error' as enabled, event_id % 97 = 0 as refreshed, user_id % 10 <> 0 as has_baseline, before_id is not null as in_baseline,
+         coalesce(before_value >= 10, false) as output_present, coalesce(before_type <> 'purchase', false) as policy_ok, coalesce(before_id % 5 <> 0, false) as influences_known,
+         coalesce(event_type = before_type, false) as influences_equal, coalesce(before_value >= 20, false) as available, event_id % 31 = 0 as volatile, coalesce(before_type = 'view', false) as dependency_executed
+  from h)
 """
 
 
-@query(_CAUSES)
+def _facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Observations of stages, made from each event and the one before it of its user."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    lag = lambda c: F.lag(c).over(w)
+    h = _table(spark, sf, "events").select("event_id", "event_type", "user_id", lag("event_type").alias("before_type"), lag("value").alias("before_value"), lag("event_id").alias("before_id"))
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    return h.select(
+        "event_id", (F.col("event_type") != "error").alias("enabled"), (F.col("event_id") % 97 == 0).alias("refreshed"), (F.col("user_id") % 10 != 0).alias("has_baseline"), F.col("before_id").isNotNull().alias("in_baseline"),
+        sure(F.col("before_value") >= 10).alias("output_present"), sure(F.col("before_type") != "purchase").alias("policy_ok"), sure(F.col("before_id") % 5 != 0).alias("influences_known"),
+        sure(F.col("event_type") == F.col("before_type")).alias("influences_equal"), sure(F.col("before_value") >= 20).alias("available"), (F.col("event_id") % 31 == 0).alias("volatile"), sure(F.col("before_type") == "view").alias("dependency_executed"),
+    )
+
+
+@query(f"""
+with {_FACTS}, c as (
+  select event_id, list_filter([
+     case when not enabled then 'reuse_not_enabled' end, case when refreshed then 'refresh' end, case when not has_baseline then 'fresh' end,
+     case when has_baseline and not in_baseline then 'baseline_stage_missing' end, case when has_baseline and in_baseline and not output_present then 'baseline_output_absent' end,
+     case when has_baseline and in_baseline and not policy_ok then 'baseline_policy_ineligible' end, case when has_baseline and in_baseline and influences_known and not influences_equal then 'influences_changed' end,
+     case when has_baseline and in_baseline and output_present and not available then 'reuse_unavailable' end
+  ], lambda x: x is not null) as causes from f)
+select event_id, coalesce(causes[1], 'reused') as reason, coalesce(array_to_string(causes, ','), '') as causes, case when len(causes) = 0 then 'reuse' else 'execute' end as decision from c
+""")
 def cause_cascade(spark: SparkSession, sf: str) -> DataFrame:
     """All causes in their fixed order, the first being the reason."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    h = _table(spark, sf, "events").select("event_id", "event_type", "value", F.lag("event_type").over(w).alias("before_type"), F.lag("value").over(w).alias("before_value"), F.lag("event_id").over(w).alias("before_id"))
-    known = F.col("before_id").isNotNull()
-    causes = F.array_compact(F.array(
-        F.when(F.col("event_type") == "error", F.lit("reuse_not_enabled")),
-        F.when(~known, F.lit("baseline_stage_missing")),
-        F.when(known & F.col("before_value").isNull(), F.lit("baseline_output_absent")),
-        F.when(known & ~F.col("event_type").eqNullSafe(F.col("before_type")), F.lit("influences_changed")),
-    ))
-    c = h.select("event_id", causes.alias("c"))
-    return c.select("event_id", F.coalesce(F.get("c", F.lit(0)), F.lit("reused")).alias("reason"), F.array_join("c", ",").alias("causes"), F.when(F.size("c") == 0, "reuse").otherwise("execute").alias("decision"))
+    return eligibility.decide_columns(_facts(spark, sf)).select("event_id", "reason", F.array_join("causes", ",").alias("causes"), "decision")
+
+
+@query(f"""
+with {_FACTS}
+select event_id, case when not has_baseline then 'no_baseline' when refreshed then 'manual_invalidation' when volatile then 'volatile_stage' when not enabled then 'cache_disabled'
+  when dependency_executed then 'dependency_executed' when not in_baseline then 'stage_missing_from_baseline' when not output_present then 'baseline_stage_not_reusable'
+  when not available then 'baseline_artifact_unavailable' when not influences_equal then 'fingerprint_changed' else 'fingerprint_match' end as reason
+from f
+""")
+def conservative_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    """The one reason under the rule that whatever lies behind an executed stage runs."""
+    return _facts(spark, sf).select("event_id", eligibility.conservative_column().alias("reason"))
 
 
 _SNAPSHOTS = """
@@ -139,6 +160,19 @@ def snapshot_diff_kind(spark: SparkSession, sf: str) -> DataFrame:
     return diff.diff_rows(a, b, ["o_orderkey"], ["o_orderstatus", "o_totalprice", "o_orderpriority"]).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@query(f"""
+with {_SNAPSHOTS}, d as (
+  select case when a.o_orderkey is null then 'added' when b.o_orderkey is null then 'removed'
+              when a.o_orderstatus is distinct from b.o_orderstatus or a.o_totalprice is distinct from b.o_totalprice then 'changed' else 'unchanged' end as kind
+  from a full join b on a.o_orderkey = b.o_orderkey)
+select count(*) filter (where kind = 'added') as added, count(*) filter (where kind = 'removed') as removed, count(*) filter (where kind = 'changed') as changed, count(*) filter (where kind = 'unchanged') as unchanged from d
+""")
+def diff_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The summary of a diff: a column per kind."""
+    a, b = _snapshots(spark, sf)
+    return diff.diff_summary(diff.diff_rows(a, b, ["o_orderkey"], ["o_orderstatus", "o_totalprice"]))
+
+
 @query("""
 with l as (select c_custkey as name, cast(c_nationkey as bigint) as target from customer where c_custkey % 3 <> 0),
      r as (select o_custkey as name, cast(max(o_orderkey) % 25 as bigint) as target from orders group by o_custkey)
@@ -186,20 +220,33 @@ def duplicate_artifacts(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "documents").groupBy(d.alias("digest")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
 
 
-@query("select event_id, json_extract_string(props, '$.k') as k from events")
+def _documents_of_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested JSON documents with names that need escapes."""
+    e = _table(spark, sf, "events")
+    body = F.struct(F.col("event_type").alias("a/b"), F.array(F.col("user_id"), F.col("event_id")).alias("list"), F.struct(F.when(F.col("event_id") % 3 != 0, F.col("user_id")).alias("x~y")).alias("in"))
+    return e.select("event_id", "props", F.to_json(body).alias("document"))
+
+
+@query("""
+with d as (select event_id, props, json_merge_patch(json_object('a/b', event_type, 'list', [user_id, event_id]), case when event_id % 3 <> 0 then json_object('in', json_object('x~y', user_id)) else json_object('in', json_object()) end) as j from events)
+select event_id, json_extract_string(props, '$.k') as k, j->>'/a~1b' as escaped, j->>'/list/1' as item, j->>'/in/x~0y' as inner_value, cast(null as varchar) as beyond from d
+""")
 def json_pointer_select(spark: SparkSession, sf: str) -> DataFrame:
-    return _table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    """Values at pointers: a member, an escaped name, an array item, a nested name, and a place that is not there."""
+    d = F.col("document")
+    return _documents_of_events(spark, sf).select(
+        "event_id", pointer.pointer_text(F.col("props"), "/k").alias("k"), pointer.pointer_text(d, "/a~1b").alias("escaped"), pointer.pointer_text(d, "/list/1").alias("item"), pointer.pointer_text(d, "/in/x~0y").alias("inner_value"), pointer.pointer_text(d, "/list/01").alias("beyond")
+    )
 
 
 @query("""
 select event_id, case when json_exists(props, '$.k') then 'present' else 'missing' end as k_state,
-       case when json_exists(props, '$.z') then 'present' else 'missing' end as z_state from events
+       case when json_exists(props, '$.z') then 'present' else 'missing' end as z_state, case when event_id % 3 <> 0 then 'present' else 'missing' end as inner_state from events
 """)
 def pointer_state(spark: SparkSession, sf: str) -> DataFrame:
-    """Missing told apart from null: the member names decide, not the value."""
-    names = F.json_object_keys("props")
-    state = lambda k: F.when(F.array_contains(names, k), "present").otherwise("missing")
-    return _table(spark, sf, "events").select("event_id", state("k").alias("k_state"), state("z").alias("z_state"))
+    """Missing told apart from null: whether the place is there decides, not the value."""
+    state = pointer.pointer_state
+    return _documents_of_events(spark, sf).select("event_id", state(F.col("props"), "/k").alias("k_state"), state(F.col("props"), "/z").alias("z_state"), state(F.col("document"), "/in/x~0y").alias("inner_state"))
 
 
 @query("""
@@ -283,9 +330,34 @@ select conv_id, turn, failed, coalesce(max(cast(failed as int)) over (partition
 def failure_propagation(spark: SparkSession, sf: str) -> DataFrame:
     """A record is blocked when an earlier one of its chain failed."""
     failed = F.contains("text", F.lit("?")) | (F.char_length("text") < 60)
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     c = _table(spark, sf, "conversations").select("conv_id", "turn", failed.alias("failed"))
-    return c.withColumn("blocked", F.coalesce(F.bool_or("failed").over(before), F.lit(False)))
+    return c.withColumn("blocked", integrity.so_far(F.col("failed"), ["conv_id"], "turn"))
+
+
+@query("""
+with s as (
+  select conv_id as run_id, turn as position, role || turn % 7 as stage_id, case when conv_id % 2 = 0 then 'fail-fast' else 'continue-independent' end as failure_mode,
+    case when length(text) % 5 = 0 then 'reuse' when length(text) % 5 = 1 then 'skip' else 'execute' end as decision, case when length(text) % 10 = 1 then 'stopped' when length(text) % 10 = 6 then 'blocked' else 'fresh' end as reason,
+    case when length(text) % 5 = 0 then 'reused' when length(text) % 5 = 1 then 'skipped' when contains(text, '?') then 'failed' else 'succeeded' end as status, length(text) % 11 <> 0 as has_output,
+    case when length(text) % 7 = 0 then 'callback_failed' end as error_code
+  from conversations),
+w as (
+  select *, coalesce(max(cast(status = 'failed' as int)) over (partition by run_id order by position rows between unbounded preceding and 1 preceding), 0) = 1 as failed_before, count(*) over (partition by run_id, stage_id) as same_id from s),
+v as (
+  select run_id, position, stage_id, list_filter([case when same_id > 1 then 'stage_ids' end, case when (decision = 'reuse') <> (status = 'reused') then 'decision' end,
+    case when decision = 'skip' and not failed_before then 'skip_reason' end, case when reason = 'stopped' and failure_mode <> 'fail-fast' then 'stopped_mode' end,
+    case when (status in ('succeeded', 'reused')) <> has_output then 'output' end, case when (status = 'failed') <> (error_code is not null) then 'error' end], lambda x: x is not null) as broken from w)
+select run_id, position, stage_id, array_to_string(broken, ',') as violations from v where len(broken) > 0
+""")
+def stage_order_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """The rules over a run's ordered stages, on records made from conversations."""
+    n = F.char_length("text")
+    s = _table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("run_id"), F.col("turn").alias("position"), F.concat("role", (F.col("turn") % 7).cast("string")).alias("stage_id"), F.when(F.col("conv_id") % 2 == 0, "fail-fast").otherwise("continue-independent").alias("failure_mode"),
+        F.when(n % 5 == 0, "reuse").when(n % 5 == 1, "skip").otherwise("execute").alias("decision"), F.when(n % 10 == 1, "stopped").when(n % 10 == 6, "blocked").otherwise("fresh").alias("reason"),
+        F.when(n % 5 == 0, "reused").when(n % 5 == 1, "skipped").when(F.contains("text", F.lit("?")), "failed").otherwise("succeeded").alias("status"), (n % 11 != 0).alias("has_output"), F.when(n % 7 == 0, "callback_failed").alias("error_code"),
+    )
+    return integrity.stage_violations(s).withColumn("violations", F.array_join("violations", ","))
 
 
 _PAIRS = """
@@ -328,9 +400,14 @@ def status_precedence(spark: SparkSession, sf: str) -> DataFrame:
     return checks.statuses(checks.summarise(checks.compare_verdicts(_pairs(spark, sf)), ["check_id"]), ["check_id"])
 
 
-@query("select event_type as status, count(*) as n from events group by event_type")
+@query("""
+select user_id as run_id, count(*) filter (where event_type = 'view') as view, count(*) filter (where event_type = 'click') as click, count(*) filter (where event_type = 'purchase') as purchase, count(*) filter (where event_type = 'error') as error
+from events group by user_id
+""")
 def status_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return _table(spark, sf, "events").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"))
+    """Statuses of each run's stages, a column each."""
+    stages = _table(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("status"))
+    return listing.status_histogram(stages, names=("view", "click", "purchase", "error"))
 
 
 @query("""
@@ -373,29 +450,42 @@ def byte_length_guard(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(r"select doc_id, cast(len(regexp_split_to_array(trim(text), '\s+')) as bigint) as words, len(regexp_split_to_array(trim(text), '\s+')) <= 250 as within from documents")
 def word_limit_check(spark: SparkSession, sf: str) -> DataFrame:
-    n = F.size(F.split(F.trim("text"), r"\s+")).cast("long")
+    n = grounding.word_count(F.col("text"))
     return _table(spark, sf, "documents").select("doc_id", n.alias("words"), (n <= 250).alias("within"))
 
 
-_MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+"
+_CLEAN = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '{verify.MAIL}', '[redacted]', 'g'), '{verify.SECRET}', '\\1\\2[redacted]', 'g'), 'https?://\S+', '[redacted URL]', 'g'), '{verify.CONTROL}', ' ', 'g')"""
+_LINKED = "case when doc_id % 4 = 0 then text || ' see https://user@host.example/x?y=1#z' when doc_id % 4 = 1 then text || ' see https://docs.example.com/a/b' else text end"
+
+
+def _linked(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents, half of them with a link behind the text."""
+    more = F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit(" see https://user@host.example/x?y=1#z"))).when(F.col("doc_id") % 4 == 1, F.concat("text", F.lit(" see https://docs.example.com/a/b"))).otherwise(F.col("text"))
+    return _table(spark, sf, "documents").select("doc_id", more.alias("text"))
 
 
 @query(f"""
-select doc_id, md5(regexp_replace(regexp_replace(text, '{_MAIL}', '[redacted]', 'g'), '(api[_-]?key|token|password)(\\s*[=:]\\s*)[^\\s]+', '\\1\\2[redacted]', 'g')) as redacted_md5,
-       left(regexp_replace(regexp_replace(text, '{_MAIL}', '[redacted]', 'g'), '(api[_-]?key|token|password)(\\s*[=:]\\s*)[^\\s]+', '\\1\\2[redacted]', 'g'), 600) as preview
-from documents
+with d as (select doc_id, {_LINKED} as t from documents)
+select doc_id, md5({_CLEAN}) as redacted_md5, left({_CLEAN}, 600) as preview from d
 """)
 def redact_text(spark: SparkSession, sf: str) -> DataFrame:
-    """Addresses and secrets replaced; the preview is capped at 600 characters, as such exports are."""
+    """Addresses, secrets, links and control characters replaced; the preview is capped at 600 characters, as such exports are."""
     clean = verify.redact(F.col("text"))
-    return _table(spark, sf, "documents").select("doc_id", clean.alias("c")).select("doc_id", F.md5(F.encode("c", "UTF-8")).alias("redacted_md5"), F.left("c", F.lit(600)).alias("preview"))
+    return _linked(spark, sf).select("doc_id", clean.alias("c")).select("doc_id", F.md5(F.encode("c", "UTF-8")).alias("redacted_md5"), verify.capped(F.col("c")).alias("preview"))
 
 
-@query(f"select doc_id, regexp_matches(text, '{_MAIL}') as has_mail, regexp_matches(text, '(api[_-]?key|token|password)\\s*[=:]') as has_secret from documents where regexp_matches(text, '{_MAIL}') or regexp_matches(text, '(api[_-]?key|token|password)\\s*[=:]')")
+@query(rf"""
+with d as (select doc_id, {_LINKED} as t from documents), v as (
+  select doc_id, list_filter([
+    case when regexp_matches(t, '{verify.MAIL}') then 'mail' end, case when regexp_matches(t, '{verify.SECRET}') then 'named_secret' end, case when regexp_matches(t, '{verify.PRIVATE_KEY}') then 'private_key' end,
+    case when regexp_matches(t, '{verify.BEARER}') then 'bearer' end, case when regexp_matches(t, '{verify.SECRET_MEMBER}') then 'secret_member' end,
+    case when len(list_filter(regexp_extract_all(t, '{verify.URL}'), lambda u: regexp_extract(u, '{verify.ORIGIN}', 1) <> 'https://docs.example.com')) > 0 then 'url' end], lambda x: x is not null) as broken from d)
+select doc_id, array_to_string(broken, ',') as refused from v where len(broken) > 0
+""")
 def pii_reject(spark: SparkSession, sf: str) -> DataFrame:
-    """Records that an export must refuse."""
-    mail, secret = F.col("text").rlike(_MAIL), F.col("text").rlike(r"(api[_-]?key|token|password)\s*[=:]")
-    return _table(spark, sf, "documents").select("doc_id", mail.alias("has_mail"), secret.alias("has_secret")).where("has_mail or has_secret")
+    """Records that an export must refuse, and why."""
+    judged = verify.refusals(_linked(spark, sf), origins=("https://docs.example.com",))
+    return judged.where(F.size("violations") > 0).select("doc_id", F.array_join("violations", ",").alias("refused"))
 
 
 @query("""
@@ -427,15 +517,115 @@ def integrity_violations(spark: SparkSession, sf: str) -> DataFrame:
     return flagged.where(F.size("violations") > 0).select("o_orderkey", F.array_join("violations", ",").alias("violations"))
 
 
+_RECORDS = """
+c as (
+  select 'run_' || o_orderkey as id, 'w' || o_custkey % 5 as workflow_id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') as finalized_at, case when o_orderstatus = 'F' then 'failed' else 'completed' end as status,
+    case when o_orderkey % 3 = 0 then 'run_' || (o_orderkey - 1) end as baseline_id, case when o_orderkey % 3 = 0 then 'sha256:' || (o_orderkey - 1) end as baseline_hash, 'tidewright/run/v1' as schema_version from orders),
+e as (
+  select 'run_c' || c_custkey as id, 'w' || c_nationkey % 5 as workflow_id, '1998-' || lpad((c_custkey % 12 + 1)::varchar, 2, '0') || '-01T00:00:00.000Z' as finalized_at, case when c_acctbal < 0 then 'failed' else 'completed' end as status,
+    case when c_custkey % 4 = 1 then 'run_c' || (c_custkey - 1) end as baseline_id, case when c_custkey % 4 = 1 then 'sha256:' || (c_custkey - 1) end as baseline_hash, 'phase0-run-v1' as schema_version from customer),
+u as (select * from c union all select * from e)
+"""
+
+
+def _records(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Run records of the two formats, made from orders and customers; some of the earlier ones name half a baseline."""
+    o, c = _table(spark, sf, "orders"), _table(spark, sf, "customer")
+    text = lambda prefix, number: F.concat(F.lit(prefix), number.cast("string"))
+    key, base = F.col("o_orderkey"), F.struct(text("run_", F.col("o_orderkey") - 1).alias("runId"), text("sha256:", F.col("o_orderkey") - 1).alias("recordHash"))
+    current = o.select(
+        text("run_", key).alias("id"), text("w", F.col("o_custkey") % 5).alias("workflowId"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("finalizedAt"), F.when(F.col("o_orderstatus") == "F", "failed").otherwise("completed").alias("status"),
+        F.when(key % 3 == 0, base).alias("baseline"), F.lit("tidewright/run/v1").alias("schemaVersion"),
+    )
+    key = F.col("c_custkey")
+    month = F.lpad((key % 12 + 1).cast("string"), 2, "0")
+    earlier = c.select(
+        text("run_c", key).alias("id"), text("w", F.col("c_nationkey") % 5).alias("workflowId"), F.concat(F.lit("1998-"), month, F.lit("-01T00:00:00.000Z")).alias("completedAt"), F.concat(F.lit("1997-"), month, F.lit("-01T00:00:00.000Z")).alias("createdAt"),
+        F.when(F.col("c_acctbal") < 0, "failed").otherwise("completed").alias("executionStatus"), F.when(key % 2 == 1, text("run_c", key - 1)).alias("baselineRunId"), F.when(key % 4 == 1, text("sha256:", key - 1)).alias("baselineManifestHash"), F.lit("phase0-run-v1").alias("schemaVersion"),
+    )
+    return current, earlier
+
+
+@query(f"with {_RECORDS} select * from u")
+def union_formats(spark: SparkSession, sf: str) -> DataFrame:
+    """Two record formats in one listing."""
+    return listing.summaries(*_records(spark, sf))
+
+
+@query(f"with {_RECORDS} select id, finalized_at, status, baseline_id from u where workflow_id = 'w2' order by finalized_at desc, id desc limit 20")
+def newest_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest runs of one workflow, of both formats; the limit is the feature."""
+    found = listing.summaries(*_records(spark, sf)).where("workflow_id = 'w2'")
+    return listing.newest(found, 20).select("id", "finalized_at", "status", "baseline_id")
+
+
 @query("""
-select 'customer' as format, c_custkey as id, c_name as name, c_acctbal as balance, c_mktsegment as segment from customer
-union all select 'supplier', s_suppkey, s_name, s_acctbal, null from supplier
+select 'run_c' || c_custkey as id, '1997-' || lpad((c_custkey % 12 + 1)::varchar, 2, '0') || '-01T00:00:00.000Z' as created_at from customer order by created_at desc, id limit 20
 """)
-def union_formats(spark: SparkSession, sf: str) -> DataFrame:
-    """Two record formats in one listing; what one lacks is null."""
-    c = _table(spark, sf, "customer").select(F.lit("customer").alias("format"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
-    s = _table(spark, sf, "supplier").select(F.lit("supplier").alias("format"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
-    return c.unionByName(s, allowMissingColumns=True)
+def newest_earlier_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The earlier format's order: time descending, id ascending; the limit is the feature."""
+    return listing.newest_earlier(_records(spark, sf)[1], 20).select("id", F.col("createdAt").alias("created_at"))
+
+
+@query("""
+select event_id, case event_id % 6 when 0 then false when 1 then true when 2 then false when 3 then true when 4 then false else false end as is_time from events
+""")
+def record_times(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a text is a moment that stays the same when read and written again."""
+    forms = ["2023-02-29T00:00:00.000Z", "2024-02-29T12:30:00.500Z", "2024-2-09T00:00:00.000Z", "1999-12-31T23:59:59.999Z", "2024-02-09 00:00:00.000Z", "2024-02-09T24:01:00.000Z"]
+    text = F.element_at(F.array(*map(F.lit, forms)), (F.col("event_id") % 6 + 1).cast("int"))
+    return _table(spark, sf, "events").select("event_id", integrity.time_column(text).alias("is_time"))
+
+
+_LIKELY = "lang = 'en' and source is not null and n_chars > 0 and starts_with(source, 'src1') and (contains(text, '?') or contains(text, '!') or length(text) > 2000)"
+
+
+@query(f"select doc_id, source from documents where {_LIKELY}")
+def record_predicate(spark: SparkSession, sf: str) -> DataFrame:
+    """Records that pass a conjunction of rules, one of them a choice."""
+    return _table(spark, sf, "documents").where(_likely()).select("doc_id", "source")
+
+
+def _likely():
+    c = F.col
+    some = F.contains("text", F.lit("?")) | F.contains("text", F.lit("!")) | (F.char_length("text") > 2000)
+    return (c("lang") == "en") & c("source").isNotNull() & (c("n_chars") > 0) & c("source").startswith("src1") & some
+
+
+@query(f"""
+select 'false' as required, doc_id from documents where {_LIKELY}
+union all select 'true', doc_id from documents join labels using (doc_id) where {_LIKELY} and quality = 1
+""")
+def switched_predicate(spark: SparkSession, sf: str) -> DataFrame:
+    """The same records under a switch of the environment: a literal of the plan, so a rule that is off costs nothing."""
+    d = _table(spark, sf, "documents").where(_likely()).select("doc_id")
+    good = _table(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("sure"))
+    parts = [checks.required_if(value == "true", d.join(good, "doc_id", "left") if value == "true" else d.withColumn("sure", F.lit(None).cast("boolean")), F.col("sure")).select(F.lit(value).alias("required"), "doc_id") for value in ("false", "true")]
+    return parts[0].union(parts[1])
+
+
+@query("""
+select c_custkey, case when c_custkey % 50 = 0 then upper(c_name) else c_name end as c_name, case when c_custkey % 50 = 0 then cast(0 as double) else c_acctbal end as c_acctbal from customer
+""")
+def replaced_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Records replaced by those of the same name, case aside, each of which must meet exactly one."""
+    c = _table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    updates = c.where("c_custkey % 50 = 0").select("c_custkey", F.upper("c_name").alias("c_name"), F.lit(0.0).alias("c_acctbal"))
+    return ingest.replace_by_key(c, updates, "c_name")
+
+
+@query("""
+with a as (
+  select l_orderkey as journal, l_linenumber as attempt, count(*) as r, sum(case when l_partkey % 2 = 0 then 1 else 0 end) as s, max(cast(l_quantity as bigint)) as held,
+    max(case when l_partkey % 2 = 0 then l_suppkey % 50 end) as charge from lineitem group by 1, 2)
+select journal, cast(sum(coalesce(charge, held)) as bigint) as exposure, count(*) filter (where r <> 1 or s > 1) as broken from a group by journal
+""")
+def journal_exposure(spark: SparkSession, sf: str) -> DataFrame:
+    """What the attempts of each journal cost at most: the charge where one is settled, else the reservation."""
+    lines = _table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("journal"), F.col("l_linenumber").alias("attemptId"), "l_partkey", F.col("l_quantity").cast("long").alias("held"), (F.col("l_suppkey") % 50).alias("charge"))
+    reserved = lines.select("journal", "attemptId", F.lit("reserved").alias("type"), F.col("held").alias("amount"))
+    settled = lines.where("l_partkey % 2 = 0").select("journal", "attemptId", F.lit("settled").alias("type"), F.col("charge").alias("amount"))
+    return ingest.journal_exposures(reserved.union(settled), ["journal"])
 
 
 @query("select count(*) as n, count(distinct o_custkey) as different, count(o_custkey) - count(distinct o_custkey) as duplicates from orders")
@@ -483,18 +673,17 @@ where (d.n_chars >= 2000) = (c.check_id = 'long')
 def check_sides(spark: SparkSession, sf: str) -> DataFrame:
     """A row per check, side and target; the two sides are an array to explode, not a join."""
     d = _table(spark, sf, "documents").select("doc_id", "n_chars").join(_table(spark, sf, "labels"), "doc_id")
-    sides = F.explode(F.array(F.struct(F.lit("baseline").alias("side"), (F.col("quality") == 1).alias("passed")), F.struct(F.lit("candidate").alias("side"), (F.col("toxic") == 1).alias("passed")))).alias("s")
-    return d.select(F.when(F.col("n_chars") >= 2000, "long").otherwise("short").alias("check_id"), "doc_id", sides).select("check_id", "s.side", "doc_id", "s.passed")
+    targets = d.withColumn("check_id", F.when(F.col("n_chars") >= 2000, "long").otherwise("short"))
+    return checks.sides(targets, ["check_id", "doc_id"], {"baseline": F.col("quality") == 1, "candidate": F.col("toxic") == 1})
 
 
 @query("""
-select user_id, arg_min(event_id, rank) as event_id from (
-  select user_id, event_id, (case event_type when 'error' then 0 when 'click' then 1 else 2 end) * 1000000000 + event_id as rank from events) group by user_id
+select user_id, arg_min(event_id, (case event_type when 'error' then 0 when 'click' then 1 else 2 end, event_id)) as event_id from events group by user_id
 """)
 def first_to_show(spark: SparkSession, sf: str) -> DataFrame:
     """The record of each key to look at first: by urgency, then by place."""
-    rank = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "click", 1).otherwise(2) * F.lit(1_000_000_000) + F.col("event_id")
-    return _table(spark, sf, "events").groupBy("user_id").agg(F.min_by("event_id", rank).alias("event_id"))
+    urgency = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "click", 1).otherwise(2)
+    return _table(spark, sf, "events").groupBy("user_id").agg(F.min(F.struct(urgency.alias("urgency"), "event_id")).alias("first")).select("user_id", "first.event_id")
 
 
 @query("""
@@ -516,14 +705,14 @@ def key_set_equality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-with a as (select l_orderkey as k, count(*) as n from lineitem group by 1), o as (select o_orderkey as k, o_custkey from orders)
-select o.k as run_id, o.o_custkey as baseline_id, a.n as stages from o join a on a.k = o.k and a.n = (o.o_custkey % 7) + 1
+with b as (select l_orderkey as id, count(*) as record_hash from lineitem group by 1)
+select o_orderkey as run_id, o_custkey as baseline_id, record_hash as baseline_hash from orders join b on id = o_custkey and record_hash = o_orderkey % 7 + 1
 """)
 def lineage_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Two-key equi-join of candidates to the baselines they name."""
-    n = _table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.count("*").alias("stages"))
-    o = _table(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("baseline_id"), (F.col("o_custkey") % 7 + 1).alias("stages"))
-    return o.join(n, ["run_id", "stages"]).select("run_id", "baseline_id", "stages")
+    """Candidates with the baselines they name, by id and record hash."""
+    baselines = _table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("record_hash"))
+    candidates = _table(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("baseline_id"), (F.col("o_orderkey") % 7 + 1).alias("baseline_hash"))
+    return checks.lineage(candidates, baselines).select("run_id", "baseline_id", "baseline_hash")
 
 
 def incremental_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -538,6 +727,39 @@ def incremental_workflow(spark: SparkSession, sf: str) -> DataFrame:
     return incremental_demo(spark, sf)
 
 
+@query("""
+with n as (select count(*) as orders, count(distinct o_custkey) as customers, count(distinct case when starts_with(o_orderpriority, '1') then o_orderpriority end) as priorities from orders)
+select 'load' as stage_id, 'reused' as status, 'reused' as reason, orders as rows from n
+union all select 'totals', 'succeeded', 'reuse_unavailable', customers from n union all select 'urgent', 'reused', 'reused', priorities from n
+""")
+def repaired_output(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored table with damaged bytes is not taken over: its stage runs again, the others are reused."""
+    from .demo import repaired_demo
+
+    return repaired_demo(spark, sf)
+
+
+@query("""
+with s as (select 'b' as side, * from orders union all select 'c', * from orders where o_totalprice >= 400000),
+t as (select side, o_custkey, count(*) as n, count(*) filter (where o_orderstatus = 'F') as done from s group by 1, 2),
+a as (select side, count(*) as customers, max(n) as most, bool_and(n = done) as all_done, cast(sum(n - done) as bigint) as open from t group by side),
+l as (select side, count(*) as n, count(distinct o_orderkey) as different from s group by side),
+p as (
+  select 'customers' as check_id, b.customers >= 10 as baseline, c.customers >= 10 as candidate, b.customers as x, c.customers as y from a b, a c where b.side = 'b' and c.side = 'c'
+  union all select 'few-orders', b.most <= 20, c.most <= 20, b.most, c.most from a b, a c where b.side = 'b' and c.side = 'c'
+  union all select 'all-done', b.all_done, c.all_done, b.open, c.open from a b, a c where b.side = 'b' and c.side = 'c'
+  union all select 'unique-orders', b.n = b.different, c.n = c.different, b.n, c.n from l b, l c where b.side = 'b' and c.side = 'c'
+  union all select 'one-column', false, false, 3, 3)
+select check_id, baseline, candidate, case when baseline and candidate then 'unchanged_pass' when baseline then 'regressed' when candidate then 'improved' else 'unchanged_fail' end as comparison,
+  x as baseline_number, y as candidate_number from p
+""")
+def evaluated_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Checks of stored tables, run on a candidate and its baseline, read back from the verified receipt."""
+    from .demo import evaluated_demo
+
+    return evaluated_demo(spark, sf)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
