@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 
 #: ASCII white space as the text contracts define it.
 SPACES = r"[\x20\x09-\x0D]+"
+#: Row ids that are broadcast: a hashed long takes some 32 bytes, so 32 MB at most.
+BROADCAST_IDS = 1_000_000
+#: Files that the rows of a scan are named by; their paths are broadcast, some 300 bytes each.
+FILES = 100_000
+#: Rounds of contraction after which the components count as not found.
+ROUNDS = 500
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,9 +52,8 @@ def remove(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Tables written to the shared folder, which cut lineage and survive executors.
 
-    A table that only fed another scratch table is dropped by the operator once
-    the later one is written; what a lazily evaluated result still reads goes
-    when the driver ends.
+    Operators drop the larger tables that only fed later ones; the rest, and what
+    a lazily evaluated result still reads, goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -90,15 +95,66 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that the table does not have yet, however it is spelled."""
+    taken, name = {c.lower() for c in df.columns}, stem
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Numbers rows by their place in the input, so repeated rows stay apart.
+    """Numbers rows by their place in the scan, so repeated rows stay apart.
 
-    The same stored table read twice in a session is split alike and so gets
-    the same ids; operators rely on that only for stored tables.
+    How a scan is split follows the cores at hand, so a second job may number
+    the rows otherwise.  Only a plan that is run once and stored may use this;
+    what has to meet its rows again takes :func:`numbered`.
     """
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def _files(df: DataFrame) -> list[str] | None:
+    """The files of a table that is nothing but a Parquet scan of different folders, in order; None for any other plan."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or "_metadata" in {c.lower() for c in df.columns}:
+        return None
+    relation = plan.relation()
+    if relation.getClass().getSimpleName() != "HadoopFsRelation" or relation.fileFormat().getClass().getSimpleName() != "ParquetFileFormat":
+        return None
+    roots = relation.location().rootPaths()
+    names = [roots.apply(i).toString() for i in range(roots.size())]
+    if any(a == b or b.startswith(a.rstrip("/") + "/") for a in names for b in names if a is not b):
+        return None
+    found = df.select("_metadata.file_path").distinct().limit(FILES + 1).collect()
+    return sorted(r.file_path for r in found) if len(found) <= FILES else None
+
+
+def numbered(scratch: Scratch, df: DataFrame, name: str = "row_id", label: str = "rows") -> DataFrame:
+    """The rows with ids that every later read gives them again, whatever becomes of executors.
+
+    Rows of a plain Parquet scan of up to ``FILES`` files are named by their file
+    and their place in it, which no split changes.  Any other table is stored with its ids.
+    """
+    files = _files(df)
+    if files is None:
+        return scratch.write(with_row_id(df, name), label)
+    path, place, number = free_name(df, "tidewright_path"), free_name(df, "tidewright_place"), free_name(df, "tidewright_file")
+    known = df.sparkSession.createDataFrame(list(zip(files, range(len(files)))), f"{path} string, {number} long")
+    told = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(place)).join(F.broadcast(known), path)
+    return told.select(*[F.col(f"`{c}`") for c in df.columns], (F.shiftleft(F.col(number), 40) + F.col(place)).alias(name))
+
+
+def small(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """A stored table of ids, marked for broadcast if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def without_rows(scratch: Scratch, rows: DataFrame, name: str, dropped: DataFrame) -> DataFrame:
+    """``rows`` without those whose id ``name`` is in the only column of ``dropped``, and without the id."""
+    gone = scratch.write(dropped.toDF(name).distinct(), "dropped")
+    return rows.join(small(gone), name, "left_anti").drop(name)
+
+
 def long_array(values: list[int]) -> Column:
     """A constant array; callers pass one entry per partition, never per row."""
     return F.expr(f"array({', '.join(f'{v}L' for v in values)})" if values else "array(0L)")
@@ -113,13 +169,15 @@ def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b") -
     costs one partial result per task.  The minima are stored before they are
     joined, so that the join has a plain shuffle on both sides and adaptive
     execution can split such a node's rows.  Only a count and a checksum per
-    round come to the driver.  Nodes without edges are not in the result.
+    round come to the driver.  Nodes without edges are not in the result.  If
+    the edges have not settled after ``ROUNDS`` rounds, that is an error, never a
+    labelling that is not finished.
     """
     tag = uuid.uuid4().hex[:8]
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     now = scratch.write(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"cc-{tag}-0")
     seen = None
-    for step in range(1, 200):
+    for step in range(1, ROUNDS + 1):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = scratch.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"cc-{tag}-{step}-low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -134,4 +192,6 @@ def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b") -
         if state == seen:
             break
         seen = state
+    else:
+        raise RuntimeError(f"components have not settled after {ROUNDS} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v"))).distinct()

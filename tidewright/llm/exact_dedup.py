@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, long_array, partitions, read_table, with_row_id
+from .common import SPACES, Scratch, free_name, long_array, numbered, partitions, read_table, with_row_id, without_rows
 
 #: Characters a block.  Longer blocks mean fewer levels, and larger sort keys.
 BLOCK_CHARS = 512
@@ -90,9 +90,12 @@ def name_keys(scratch: Scratch, rows: DataFrame, keys: list[str], label: str) ->
 
 
 def block_names(scratch: Scratch, docs: DataFrame, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, DataFrame]:
-    """(facts, identities): facts is (row_id, doc_id, text_sha256), identities is (row_id, doc_id, level, name)."""
+    """(facts, identities): facts is (row_id, doc_id, text_sha256), identities is (row_id, doc_id, level, name).
+
+    ``docs`` is (row_id, doc_id, text); it is read by one job, which stores level 0.
+    """
     flat = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), SPACES, " ")
-    cut = with_row_id(docs.select("doc_id", "text")).select("row_id", "doc_id", flat.alias("flat"))
+    cut = docs.select("row_id", "doc_id", flat.alias("flat"))
     pieces = F.regexp_extract_all("flat", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0))
     cut = cut.select("row_id", "doc_id", F.sha2(F.encode("flat", "UTF-8"), 256).alias("sha"), F.when(F.col("flat") == "", F.array(F.lit(""))).otherwise(pieces).alias("pieces"))
     rows = cut.select("row_id", "doc_id", "sha", F.size("pieces").cast("long").alias("n"), F.posexplode_outer("pieces").alias("pos", "block"))
@@ -126,11 +129,17 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, block_chars: int = BL
     one space.  Null text counts as empty, and empty texts equal each other.
     The row with the smallest doc_id stays; null doc_ids come last, and among
     rows with equal doc_id the first row of the input stays, so exactly one row
-    of each group is kept.  Other columns of ``docs`` are ignored.  An empty
-    table gives an empty result.
+    of each group is kept.  Texts of any length are named whole, in blocks that
+    spread over tasks.  Other columns of ``docs``, whatever their names, are
+    ignored.  An empty table gives an empty result.
     """
-    scratch = Scratch(spark, "exact-dedup")
-    facts, names = block_names(scratch, docs, block_chars)
+    facts, decided = _decide(Scratch(spark, "exact-dedup"), with_row_id(docs.select("doc_id", "text")), block_chars)
+    return facts.join(decided, "row_id").select("row_id", "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def _decide(scratch: Scratch, rows: DataFrame, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, DataFrame]:
+    """(row_id, doc_id, text_sha256) and (row_id, keep_id, group_size, kept)."""
+    facts, names = block_names(scratch, rows, block_chars)
     order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row_id")
     groups = names.groupBy("level", "name").agg(F.min(order).alias("keeper"), F.count("*").alias("group_size")).where("group_size > 1")
     # stored, so that the join has a plain shuffle on both sides and a hot group's rows can be split
@@ -139,14 +148,15 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, block_chars: int = BL
     decided = names.join(groups, ["level", "name"], "left").select(
         "row_id", F.when(alone, F.col("doc_id")).otherwise(F.col("first_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), (alone | (F.col("first_row") == F.col("row_id"))).alias("kept")
     )
-    return facts.join(decided, "row_id").select("row_id", "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return facts, decided
 
 
 def drop_exact_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of a stored table that :func:`exact_duplicates` keeps, all columns as they were."""
-    mark = "__tidewright_row"
-    kept = exact_duplicates(spark, docs).where("kept").select(F.col("row_id").alias(mark))
-    return with_row_id(docs, mark).join(kept, mark, "left_semi").drop(mark)
+    """The rows that :func:`exact_duplicates` keeps, all columns as they were."""
+    scratch, mark = Scratch(spark, "exact-dedup"), free_name(docs, "tidewright_row")
+    rows = numbered(scratch, docs, mark)
+    _, decided = _decide(scratch, rows.select(F.col(mark).alias("row_id"), "doc_id", "text"))
+    return without_rows(scratch, rows, mark, decided.where("not kept").select("row_id"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +166,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 with t as (
   select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as flat from documents
-), g as (select flat, min(doc_id) as keep_id, count(*) as group_size from t group by flat)
-select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(flat) as text_sha256
-from t join g using (flat)
+)
+select doc_id, min(doc_id) over (partition by flat) as keep_id, count(*) over (partition by flat) as group_size,
+       row_number() over (partition by flat order by doc_id nulls last) = 1 as kept, sha256(flat) as text_sha256
+from t
 """

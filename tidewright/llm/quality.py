@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import free_name, read_table
 from .features import surface
 from .labelled import feature_rows, labelled_sample, remainder, score_column
 from .trees import AdditiveModel, sigmoid
@@ -23,7 +23,8 @@ THRESHOLD = 0.3
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AdditiveModel:
     """Learns from labelled rows whose crc32(doc_id) mod 5 is not 0, at most about ``sample`` of them.
 
-    Without labelled rows every text scores one half.
+    Without labelled rows every text scores one half.  What is drawn where labels
+    or doc_ids repeat or are null says :func:`labelled_sample`.
     """
     rows = labelled_sample(docs, labels, "quality", remainder("doc_id", 5) != 0, sample)
     x, y, _ = feature_rows(rows, surface)
@@ -33,13 +34,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Add
 
 
 def score_quality(docs: DataFrame, model: AdditiveModel, name: str = "score") -> DataFrame:
-    """``docs`` with the probability of good quality; null texts score as empty ones."""
+    """``docs`` with the probability of good quality, by the text alone.
+
+    Null texts score as empty ones, texts of any length whole, and equal texts
+    alike, so repeated rows get equal scores.  All columns are passed on,
+    whatever their names; ``name`` must not be among them.  An empty table
+    stays empty.
+    """
     return score_column(docs, surface, lambda x: sigmoid(model.margin(x)), name)
 
 
 def drop_low_quality(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows that score ``threshold`` or more, all columns as they were."""
-    mark = "__tidewright_score"
+    """The rows that score ``threshold`` or more (a tie stays), all columns as they were."""
+    mark = free_name(docs, "tidewright_score")
     return score_quality(docs, model, mark).where(F.col(mark) >= threshold).drop(mark)
 
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, long_array, partitions, read_table
+from .common import Scratch, free_name, long_array, partitions, read_table, with_row_id
 
 ROUNDS = 6
 #: Cycle steps that one pass evaluates; a further pass runs while a row still lies outside.
@@ -96,30 +96,35 @@ def row_numbers(scratch: Scratch, rows: DataFrame, order: list[str]) -> tuple[Da
     order should name every column that is returned.
     """
     sorted_rows = rows.repartitionByRange(partitions(scratch.spark), *order).sortWithinPartitions(*order)
-    stored = scratch.write(sorted_rows.withColumn("__place", F.monotonically_increasing_id()), "numbered")
-    part = F.shiftright("__place", 33).cast("int")
+    mark = free_name(rows, "place")
+    stored = scratch.write(with_row_id(sorted_rows, mark), "numbered")
+    part = F.shiftright(mark, 33).cast("int")
     counts = {r.part: r.n for r in stored.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
     bases, total = [], 0
     for p in range(max(counts, default=0) + 1):
         bases.append(total)
         total += counts.get(p, 0)
-    number = F.element_at(long_array(bases), part + 1) + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
-    return stored.withColumn("row_number", number).drop("__place"), total
+    number = F.element_at(long_array(bases), part + 1) + F.col(mark).bitwiseAND(F.lit((1 << 33) - 1))
+    return stored.withColumn("row_number", number).drop(mark), total
 
 
 def assign_shards(spark: SparkSession, rows: DataFrame, order: list[str], shards: int = 16, seed: int = 17) -> DataFrame:
     """Adds row_number, shard and slot to ``rows``.
 
     Null order keys sort first; repeated rows get numbers of their own; an empty
-    table stays empty.  ``rows`` should not carry texts: they are not needed to
-    place a row, and can be joined or looked up by the order columns afterwards.
+    table stays empty.  Other columns are passed on, whatever their names, except
+    row_number, shard and slot, which are replaced.  ``rows`` should not carry
+    texts: they are not needed to place a row, and can be joined or looked up by
+    the order columns afterwards.
     """
     scratch = Scratch(spark, "shards")
     numbered, n = row_numbers(scratch, rows, order)
-    placed = numbered.withColumn("__at", walked(F.col("row_number"), n, seed))
-    while n and not placed.where(F.col("__at") >= n).isEmpty():
-        placed = placed.withColumn("__at", F.when(F.col("__at") < n, F.col("__at")).otherwise(walked(F.col("__at"), n, seed)))
-    return placed.withColumns({"shard": (F.col("__at") % shards).cast("int"), "slot": F.floor(F.col("__at") / shards).cast("long")}).drop("__at")
+    mark = free_name(numbered, "at")
+    at = F.col(mark)
+    placed = numbered.withColumn(mark, walked(F.col("row_number"), n, seed))
+    while n and not placed.where(at >= n).isEmpty():
+        placed = placed.withColumn(mark, F.when(at < n, at).otherwise(walked(at, n, seed)))
+    return placed.withColumns({"shard": (at % shards).cast("int"), "slot": F.floor(at / shards).cast("long")}).drop(mark)
 
 
 def write_shards(placed: DataFrame, docs: DataFrame, keys: list[str], path: str) -> None:
@@ -132,7 +137,12 @@ def write_shards(placed: DataFrame, docs: DataFrame, keys: list[str], path: str)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents over 16 shards under the law ``rows``: counts differ by one at most."""
+    """All documents over 16 shards under the law ``rows``: counts differ by one at most.
+
+    Null texts have size 1 and the checksum of an empty text, which they share
+    with empty ones; texts of any length are measured whole.  Null doc_ids come
+    first in the order of row numbers.  Only doc_id and text are read.
+    """
     raw = F.encode("text", "UTF-8")
     docs = read_table(spark, sf_dir, "documents").select(
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(raw, F.encode(F.lit(""), "UTF-8"))).alias("text_crc32")
