@@ -17,7 +17,11 @@ components of the candidates, and groups are built from verified links.
 
 A bucket of any size is compared whole.  Up to ``CELL`` rows form one cell;
 beyond, rows are dealt into slices and every pair of slices is a cell of its
-own, so no task holds an unbounded bucket.
+own, so no task holds an unbounded bucket.  Slice pairs grow with the square of
+the bucket.  Where that costs more rows, a search by an even radius r links a
+bucket's rows through their midpoints instead: two fingerprints are within r
+exactly if some fingerprint is within r/2 of both, so each row names all those of
+its bucket within r/2 of itself, and rows that name the same one are linked.
 """
 
 from __future__ import annotations
@@ -32,12 +36,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, partitions, read_table, small_batches, with_row_id
+from .common import Scratch, components, free_name, numbered, partitions, read_table, small_batches, with_row_id, without_rows
 
 #: Rows of a bucket that are compared as one cell; a larger bucket is sliced.
 CELL = 512
 #: Shingles whose bits are counted at once, which bounds memory for long texts.
 STEP = 1 << 15
+#: Rows from which a bucket is linked through midpoints, 33 of each row at radius 2: slice pairs would write it more often.
+MANY = 33 * CELL
 SIMILARITY = 0.8
 #: Bits of 256 within which similar texts are looked for.  Expected at 0.8 are 39 with a deviation of 5.7, for 4 against 5
 #: shingles 48 (6.2), for two shingles repeated alike 64 (6.9); unrelated texts differ in 128 (8).
@@ -72,7 +78,7 @@ def widen(h: np.ndarray, word: int) -> np.ndarray:
     """The word-th independent 64 bits of each hash; word 0 is the hash itself."""
     if not word:
         return h
-    x = h + np.uint64(0x9E3779B97F4A7C15) * np.uint64(word)
+    x = h + np.uint64(0x9E3779B97F4A7C15 * word % 2**64)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -342,6 +348,18 @@ def _pairs(own: str, slices: str) -> Column:
     return F.transform(F.sequence(F.lit(0), F.col(slices) - 1), lambda j: F.least(j, F.col(own)).cast("long") * F.col(slices) + F.greatest(j, F.col(own)))
 
 
+def _by_midpoints(scratch: Scratch, hot: DataFrame, tables: list[list[int]], radius: int) -> DataFrame:
+    """Links (a, b) that connect all rows (tab, node, f0) of a bucket that are within an even radius; none between others."""
+    flips = []
+    for table in tables:
+        free = [b for b in range(64) if b not in set(table)]
+        some = [sum(1 << b for b in c) for k in range(radius // 2 + 1) for c in combinations(free, k)]
+        flips.append(F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in some]))
+    named = hot.select("tab", "node", "f0", F.explode(F.element_at(F.array(*flips), F.col("tab") + 1)).alias("flip")).select("node", F.col("f0").bitwiseXOR(F.col("flip")).alias("mid"))
+    hubs = scratch.write(named.groupBy("mid").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("mid", "hub"), "hubs")
+    return named.join(hubs, "mid").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+
+
 def _prefix_keys(scratch: Scratch, prints: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
     """(tab, key, node) of all buckets of the distinct texts."""
     drawn = prints.where(F.pmod(F.xxhash64("row_id"), F.lit(DRAWN)) == 0).select(F.explode("h").alias("key"))
@@ -381,14 +399,20 @@ def near_duplicates(
     smallest doc_id.  size is the number of shingles, repeats included.
 
     Null and wordless texts have fingerprint zero, linked like any other.
-    Repeated rows share a fingerprint.  An empty table gives an empty result.
+    Repeated rows share a fingerprint.  Texts of any length are read whole.
+    Other columns, whatever their names, are ignored.  An empty table gives an
+    empty result.
     """
+    return _groups(Scratch(spark, "simhash"), with_row_id(docs.select("doc_id", "text")), shingle_words, width, radius, similarity)
+
+
+def _groups(scratch: Scratch, rows: DataFrame, shingle_words: int = 5, width: int = 4, radius: int = RADIUS, similarity: float | None = SIMILARITY) -> DataFrame:
+    """:func:`near_duplicates` of (row_id, doc_id, text), which one job reads."""
     if similarity is None and (width != 1 or radius > 3):
         raise ValueError("a search by radius alone takes width 1 and a radius up to 3")
-    scratch = Scratch(spark, "simhash")
+    spark = scratch.spark
     words = [f"f{k}" for k in range(width)]
     sig = ", ".join(f"{w} long" for w in words)
-    rows = with_row_id(docs.select("doc_id", "text"))
     if similarity is None:
         fold, more = words, []
         made = rows.mapInArrow(_fingerprints(shingle_words, width), f"row_id long, doc_id long, {sig}")
@@ -408,14 +432,19 @@ def near_duplicates(
         keyed = scratch.write(keyed, "keyed")
     # aggregates are stored before they are joined: with plain shuffles on both sides a hot key's rows can be split
     crowded = scratch.write(keyed.groupBy("tab", "key").agg(F.count("*").alias("n")).where("n > 1"), "crowded")
+    halves = similarity is None and radius % 2 == 0
+    many = crowded.where(F.col("n") > MANY)
     slices = F.ceil(F.col("n") / CELL).cast("int")
     own = F.pmod(F.xxhash64("node"), slices).cast("int")
-    met = keyed.join(crowded, ["tab", "key"]).withColumn("slices", slices).withColumn("own", own)
+    met = keyed.join(crowded.where(F.col("n") <= MANY) if halves else crowded, ["tab", "key"]).withColumn("slices", slices).withColumn("own", own)
     if similarity is not None:
         met = met.join(distinct.select("node", *words), "node")
     cells = met.select("tab", "key", F.explode(_pairs("own", "slices")).alias("cell"), "node", *words)
     dealt = cells.repartition(partitions(spark), "tab", "key", "cell").sortWithinPartitions("tab", "key", "cell")
     links = scratch.write(dealt.mapInArrow(_links(width, radius), "a long, b long").distinct(), "links")
+    if halves and not many.isEmpty():
+        hot = keyed.join(many.select("tab", "key"), ["tab", "key"])
+        links = links.union(scratch.write(_by_midpoints(scratch, hot, exact_tables(radius), radius), "links-mid"))
     scratch.drop("keyed", "crowded")
     if similarity is not None:
         links = _verify(scratch, prints, links, similarity)
@@ -429,14 +458,14 @@ def near_duplicates(
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of a stored table that stay when one document of each group does, all columns as they were.
+    """The rows that stay when one document of each group does, all columns as they were.
 
     Texts without words are not near-copies of anything here: they all stay.
     """
-    mark = "__tidewright_row"
-    groups = near_duplicates(spark, docs)
-    kept = groups.where((F.col("keeper_row") == F.col("row_id")) | (F.col("size") == 0)).select(F.col("row_id").alias(mark))
-    return with_row_id(docs, mark).join(kept, mark, "left_semi").drop(mark)
+    scratch, mark = Scratch(spark, "simhash"), free_name(docs, "tidewright_row")
+    rows = numbered(scratch, docs, mark)
+    groups = _groups(scratch, rows.select(F.col(mark).alias("row_id"), "doc_id", "text"))
+    return without_rows(scratch, rows, mark, groups.where((F.col("keeper_row") != F.col("row_id")) & (F.col("size") > 0)).select("row_id"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
