@@ -1,34 +1,43 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 A benchmark item of n shingles is looked for in every window of n shingles of
-every document; a document of fewer shingles is one window.  Both sides get 64-bit SimHash fingerprints; items are indexed
-by ``RADIUS + 1`` bit blocks together with their size, and two fingerprints
-within the radius agree on a block at least, so the equi-join on (item's size,
-block, bits) finds all of them.  Candidates within the radius are then verified by the
-exact weighted Jaccard similarity of their shingle multisets.
-
-A window can only reach the similarity if enough of its shingles occur in the
-benchmark at all (shared weight over w + n - shared for w of the window).  So windows are
-fingerprinted where that many of their shingles are among the shingles of items
-of their size; all others provably fall short.  Everything is DataFrame
-expressions.
+every document; a document of fewer shingles is one window.  Both sides get
+128-bit SimHash fingerprints.  A window's bit counts are the difference of two
+running sums along the document, kept in packed lanes, so a window costs two rows
+and not its shingles.
+
+The index holds the items: of each of their ``BLOCKS`` blocks of 16 bits, every
+value within ``FLIPS`` flipped bits, together with the item's size.  Two
+fingerprints within ``RADIUS`` differ by at most ``FLIPS`` bits in some block, so
+the equi-join of windows on (size, block, bits) finds all of them; a pair comes
+out of the join once, by the first block that tells of it, and only within the
+radius.  Candidates are then verified by the exact weighted Jaccard similarity of
+their shingle multisets (shingles are compared by their 64-bit hashes).
+
+Ahead of all this, a bound skips windows: one can only reach the similarity if
+enough of its shingles occur in the benchmark at all (w shared ones weigh at most
+w over size + n - w).  Everything is DataFrame expressions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, read_table, with_row_id
+from .common import Scratch, free_name, numbered, read_table, small, with_row_id, without_rows
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Expected distance at the similarity is acos(2s/(1+s))/pi*64 = 9.7 bits with a deviation of 2.9; this is five deviations more.
-RADIUS = 24
-#: Items of which the shingle set is broadcast (some 16 bytes a shingle); beyond, the join shuffles.
-BROADCAST_SHINGLES = 4_000_000
-#: Windows whose places are broadcast (some 30 bytes each) to the second pass over the texts; beyond, the shingles shuffle to them.
-BROADCAST_WINDOWS = 1_000_000
+#: 64-bit words a fingerprint, bits a block, and bits that may differ within a block.
+WORDS, BLOCK, FLIPS = 2, 16, 3
+BLOCKS = WORDS * 64 // BLOCK
+#: Any two fingerprints at most this far apart have a block with FLIPS differing bits or fewer.  Expected at similarity 0.8
+#: are 19.4 bits with a deviation of 4.1, so this is three deviations more.
+RADIUS = (FLIPS + 1) * BLOCKS - 1
+#: Rows of shingles of items that are broadcast; a hashed row takes some 100 bytes, so 40 MB at most.  Beyond, joins shuffle.
+BROADCAST_SHINGLES = 400_000
 
 
 def _words(text: Column) -> Column:
@@ -48,22 +57,41 @@ def with_shingles(df: DataFrame, k: int = SHINGLE) -> DataFrame:
     return hashed.select(*rest, F.when(F.size("w") == 0, F.array().cast("array<long>")).when(F.size("w") < k, short).otherwise(rolled).alias("h"))
 
 
-def simhash(h: Column) -> Column:
-    """A bit is 1 if set in over half of the hashes."""
-    bit = lambda b: F.when(2 * F.size(F.filter(h, lambda x: F.getbit(x, b) == 1)) > F.size(h), F.expr("1L")).otherwise(F.expr("0L"))
-    return F.aggregate(F.transform(F.sequence(F.lit(63), F.lit(0), F.lit(-1)), bit), F.expr("0L"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b))
+def lanes(h: str, wide: int) -> dict[str, Column]:
+    """Each bit of a shingle's words as a counter of its own, ``wide`` bits long, side by side in longs."""
+    mask = sum(1 << at for at in range(0, 64, wide))
+    return {f"l{word}_{k}": F.expr(f"shiftrightunsigned({h if not word else f'xxhash64({h}, {word})'}, {k}) & {mask}L") for word in range(WORDS) for k in range(wide)}
+
+
+def names(wide: int) -> list[str]:
+    return [f"l{word}_{k}" for word in range(WORDS) for k in range(wide)]
+
 
+def lane_bits(longest: int) -> int:
+    """Width of the counters: running sums go over five item lengths at most and stay clear of the sign."""
+    return 16 if 5 * longest < 1 << 15 else 32
 
-def _blocks(radius: int) -> list[tuple[int, int]]:
-    edges = [round(i * 64 / (radius + 1)) for i in range(radius + 2)]
-    return list(zip(edges, edges[1:]))
 
+def fingerprint(size: str, wide: int, prefix: str = "f") -> dict[str, Column]:
+    """The words of a fingerprint from summed lanes: a bit is 1 if set in over half of the shingles."""
+    out = {}
+    for word in range(WORDS):
+        bits = []
+        for at in range(64):
+            count = f"(shiftrightunsigned(l{word}_{at % wide}, {at - at % wide}) & {(1 << wide) - 1}L)"
+            bits.append(f"if(2 * {count} > {size}, shiftleft(1L, {at}), 0L)")
+        out[f"{prefix}{word}"] = F.expr(" | ".join(bits))
+    return out
 
-def _block_keys(fp: Column, radius: int) -> Column:
-    """(block number, its bits) of every block."""
-    return F.array(*[
-        F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).cast("int").alias("bits")) for k, (a, b) in enumerate(_blocks(radius))
-    ])
+
+def blocks(words: list[str]) -> list[str]:
+    """The fingerprint's blocks as integers, in SQL."""
+    return [f"cast(shiftrightunsigned({w}, {at}) & {(1 << BLOCK) - 1}L as int)" for w in words for at in range(0, 64, BLOCK)]
+
+
+def masks() -> list[int]:
+    """All ways to flip up to FLIPS bits of a block."""
+    return [sum(1 << b for b in some) for k in range(FLIPS + 1) for some in combinations(range(BLOCK), k)]
 
 
 def least_shared(n: Column, size: Column, similarity: float) -> Column:
@@ -71,83 +99,134 @@ def least_shared(n: Column, size: Column, similarity: float) -> Column:
     return F.ceil((n + size) * (similarity / (1 + similarity)) - 1e-9).cast("int")
 
 
-def _shared(a: Column, b: Column) -> Column:
-    """Weight that two multisets of hashes share: the sum of smaller counts."""
-    count = lambda xs, v: F.size(F.filter(xs, lambda x: x == v))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, v: acc + F.least(count(a, v), count(b, v)))
+def _item_prints(items: DataFrame, wide: int) -> DataFrame:
+    """(item, n, g0, g1): the items' fingerprints."""
+    rows = items.select("item", "n", F.explode("h").alias("s")).select("item", "n", *[c.alias(k) for k, c in lanes("s", wide).items()])
+    sums = rows.groupBy("item", "n").agg(*[F.sum(k).alias(k) for k in names(wide)])
+    return sums.select("item", "n", *[c.alias(k) for k, c in fingerprint("n", wide, "g").items()])
+
+
+def _starts(similarity: float) -> Column:
+    """Starts of the windows with enough hits, from a stretch's sorted hit positions: linear in the hits.
+
+    The i-th hit and the need - 1 after it lie in the windows that start in
+    [last - size + 1, first]; what the hit before has told of is left out.
+    """
+    need, top = F.col("need"), F.least(F.col("first") + F.col("n") * 4 - 1, F.col("total") - F.col("size"))
+
+    def of(i: Column) -> Column:
+        low = F.greatest(F.get("hit", i + need - 1) - F.col("size") + 1, F.coalesce(F.get("hit", i - 1) + 1, F.lit(0)), F.col("first"))
+        high = F.least(F.get("hit", i), top)
+        return F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size("hit") - need), of))
+
+
+def _windows(rows: DataFrame, vocabulary: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(row_id, doc_id, n, size, part, windows): starts of the windows that the bound lets through, by stretch."""
+    texts = with_shingles(rows.select("row_id", "doc_id", "text"), shingle)
+    # the outer form: an inner explode would put a filter on h, and with it all of h's expression, below the projections
+    hits = texts.select("row_id", "doc_id", F.size("h").alias("total"), F.posexplode_outer("h").alias("pos", "shingle")).join(vocabulary, "shingle")
+    hits = hits.select("row_id", "doc_id", "total", "pos", F.explode("sizes").alias("n"))
+    hits = hits.where(F.col("total") >= F.ceil(F.col("n") * similarity - 1e-9))
+    # hits of a document and size, cut into stretches of 4 n positions that overlap by a window
+    stride = F.col("n") * 4
+    own = F.floor(F.col("pos") / stride).cast("int")
+    both = F.when((F.col("pos") % stride < F.col("n")) & (own > 0), F.array(own - 1, own)).otherwise(F.array(own))
+    parts = hits.withColumn("part", F.explode(both)).groupBy("row_id", "doc_id", "total", "n", "part").agg(F.sort_array(F.collect_list("pos")).alias("hit"))
+    parts = parts.withColumns({"size": F.least("n", "total"), "first": F.col("part") * F.col("n") * 4})
+    parts = parts.withColumn("need", least_shared(F.col("n"), F.col("size"), similarity)).where(F.size("hit") >= F.col("need"))
+    return parts.select("row_id", "doc_id", "n", "size", "part", _starts(similarity).alias("windows")).where(F.size("windows") > 0)
+
+
+def _prints(spots: DataFrame, wide: int) -> DataFrame:
+    """(row_id, doc_id, n, size, part, window, f0, f1): fingerprints of the windows, by running sums along each stretch."""
+    key, named = ["row_id", "doc_id", "n", "size", "part"], names(wide)
+    along = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    summed = spots.select(*key, "pos", "starts", *[F.sum(c).over(along).alias(k) for k, c in lanes("s", wide).items()])
+    # the sum up to a window's last place counts for it, the sum before its first place against it; zeros tell where windows start
+    ends = F.expr("explode(array(struct(pos - size + 1 as window, 1L as sign, false as begun), struct(pos + 1 as window, -1L as sign, false as begun), struct(pos as window, 0L as sign, starts as begun)))")
+    signed = summed.select(*key, *named, ends.alias("end")).select(*key, "end.window", "end.begun", *[F.expr(f"{k} * end.sign").alias(k) for k in named])
+    sums = signed.groupBy(*key, "window").agg(F.bool_or("begun").alias("begun"), *[F.sum(k).alias(k) for k in named]).where("begun")
+    return sums.select(*key, "window", *[c.alias(k) for k, c in fingerprint("size", wide).items()])
+
+
+def _candidates(prints: DataFrame, items: DataFrame) -> DataFrame:
+    """Windows and items within the radius, each pair once."""
+    f, g = [[f"{x}{w}" for w in range(WORDS)] for x in "fg"]
+    cut = lambda words: F.expr(f"explode(array({', '.join(f'struct({k} as block, {b} as bits)' for k, b in enumerate(blocks(words)))}))")
+    flips = F.expr(f"explode(transform(array({', '.join(map(str, masks()))}), m -> b.bits ^ m))")
+    index = items.select("item", "n", *g, cut(g).alias("b")).select("item", "n", *g, "b.block", flips.alias("bits"))
+    keyed = prints.select("*", cut(f).alias("b")).select(*prints.columns, "b.block", "b.bits")
+    differ = [f"({a} ^ {b})" for a, b in zip(f, g)]
+    hamming = F.expr(" + ".join(f"bit_count({d})" for d in differ))
+    telling = F.expr(f"array_position(array({', '.join(f'bit_count({b}) <= {FLIPS}' for b in blocks(differ))}), true) - 1")
+    met = keyed.join(index, ["n", "block", "bits"]).where((telling == F.col("block")) & (hamming <= RADIUS))
+    return met.select("row_id", "doc_id", "n", "size", "part", "window", "item", hamming.alias("hamming"))
 
 
 def find_contamination(
-    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS
+    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, told: dict[str, int] | None = None
 ) -> DataFrame:
     """Matches as (row_id, doc_id, item_id, window, n_shingles, hamming, similarity), the best window of each document and item.
 
     window is the first shingle of the window from 0, the leftmost of the best,
     n_shingles its length: the item's, or the document's if that has fewer.
     Null and wordless texts and items match nothing; items of fewer words than a
-    shingle are one shingle, and match documents of just those words.  Repeated
-    items are all reported.  Empty tables give an empty result.
+    shingle are one shingle, and match documents of just those words.  Texts of
+    any length are searched whole, in stretches of four item lengths.  Repeated
+    items and rows are all reported.  Other columns, whatever their names, are
+    ignored.  Empty tables give an empty result.  ``told`` receives the numbers
+    of windows, of candidates and of matches.
     """
-    scratch = Scratch(spark, "decontaminate")
+    scratch, mark = Scratch(spark, "decontaminate"), free_name(docs, "tidewright_row")
+    return _find(scratch, numbered(scratch, docs, mark).select(F.col(mark).alias("row_id"), "doc_id", "text"), benchmark, shingle, similarity, told)
+
+
+def _find(scratch: Scratch, rows: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, told: dict[str, int] | None = None) -> DataFrame:
     items = with_shingles(with_row_id(benchmark.select("item_id", "text"), "item"), shingle).where(F.size("h") > 0)
-    items = items.withColumns({"n": F.size("h"), "fp": simhash(F.col("h"))})
-    items = scratch.write(items, "items")
+    items = scratch.write(items.withColumn("n", F.size("h")), "items")
     # a size is looked for where shingles of items of that size occur
     vocabulary = items.select("n", F.explode("h").alias("shingle")).groupBy("shingle").agg(F.array_sort(F.collect_set("n")).alias("sizes"))
     vocabulary = scratch.write(vocabulary, "vocabulary")
-    if vocabulary.count() <= BROADCAST_SHINGLES:
-        vocabulary = F.broadcast(vocabulary)
-    texts = with_shingles(with_row_id(docs.select("doc_id", "text")).select("row_id", "doc_id", "text"), shingle)
-    # the outer form: an inner explode would put a filter on h, and with it all of h's expression, below the projections
-    hits = texts.select("row_id", "doc_id", F.size("h").alias("total"), F.posexplode_outer("h").alias("pos", "shingle")).join(vocabulary, "shingle")
-    hits = hits.select("row_id", "doc_id", "total", "pos", "shingle", F.explode("sizes").alias("n"))
-    hits = hits.where(F.col("total") >= F.ceil(F.col("n") * similarity - 1e-9))
-    # hits of a document and size, cut into stretches of 4 n positions that overlap by a window
-    stride = F.col("n") * 4
-    own = F.floor(F.col("pos") / stride).cast("int")
-    both = F.when((F.col("pos") % stride < F.col("n")) & (own > 0), F.array(own - 1, own)).otherwise(F.array(own))
-    parts = hits.withColumn("part", F.explode(both)).groupBy("row_id", "doc_id", "total", "n", "part").agg(F.sort_array(F.collect_list(F.struct("pos", "shingle"))).alias("hit"))
-    size = F.least("n", "total")
-    need = least_shared(F.col("n"), size, similarity)
-    parts = parts.where(F.size("hit") >= need)
-    first = F.col("part") * F.col("n") * 4
-    low = F.greatest(first, F.element_at("hit", 1)["pos"] - size + 1)
-    high = F.least(first + F.col("n") * 4 - 1, F.col("total") - size, F.element_at("hit", -1)["pos"])
-    windows = parts.where(high >= low).select("row_id", "doc_id", "total", "n", "hit", F.explode(F.sequence(low, high)).alias("window"))
-    inside = F.filter("hit", lambda x: (x["pos"] >= F.col("window")) & (x["pos"] < F.col("window") + F.col("n")))
-    windows = windows.select("row_id", "doc_id", "total", "n", "window", F.transform(inside, lambda x: x["shingle"]).alias("hit")).where(F.size("hit") >= need)
-    windows = scratch.write(windows.select("row_id", "n", "window"), "windows")
-    return _verify(scratch, texts, items, windows, similarity, radius)
-
-
-def _verify(scratch: Scratch, texts: DataFrame, items: DataFrame, windows: DataFrame, similarity: float, radius: int) -> DataFrame:
-    # the windows' other shingles, from the documents that have any window
-    spans = windows.groupBy("row_id").agg(F.collect_set(F.struct("window", "n")).alias("spans"))
-    full = texts.join(F.broadcast(spans) if windows.count() <= BROADCAST_WINDOWS else spans, "row_id")
-    cut = full.select("row_id", "doc_id", "h", F.explode("spans").alias("s")).select(
-        "row_id", "doc_id", F.col("s.n").alias("n"), F.col("s.window").alias("window"), F.slice("h", F.col("s.window") + 1, F.col("s.n")).alias("h")
-    )
-    cut = scratch.write(cut.withColumn("fp", simhash(F.col("h"))), "prints")
-    keyed = cut.select("row_id", "window", "n", "fp", F.explode(_block_keys(F.col("fp"), radius)).alias("k"))
-    index = items.select("item", "n", F.col("fp").alias("item_fp"), F.explode(_block_keys(F.col("fp"), radius)).alias("k"))
-    keyed = keyed.select("row_id", "window", "n", "fp", "k.block", "k.bits")
-    index = index.select("item", "n", "item_fp", "k.block", "k.bits")
-    met = keyed.join(index, ["n", "block", "bits"]).withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
-    pairs = met.where(F.col("hamming") <= radius).select("row_id", "window", "n", "item", "hamming").distinct()
-    judged = pairs.join(cut.select("row_id", "doc_id", "window", "n", "h"), ["row_id", "window", "n"]).join(items.select("item", "item_id", F.col("h").alias("item_h")), "item")
-    shared = _shared(F.col("h"), F.col("item_h"))
-    judged = judged.withColumn("shared", shared).withColumn("size", F.size("h")).withColumn("similarity", F.col("shared") / (F.col("size") + F.col("n") - F.col("shared"))).where(F.col("similarity") >= similarity)
+    spans = scratch.write(_windows(rows, small(vocabulary, BROADCAST_SHINGLES), shingle, similarity), "spans")
+    # the windows' other shingles, from the documents that have any window; only these are cut up again
+    wanted = scratch.write(spans.select("row_id").distinct(), "wanted")
+    full = with_shingles(rows.select("row_id", "text").join(small(wanted), "row_id", "left_semi"), shingle)
+    low, high = F.array_min("windows"), F.array_max("windows") + F.col("size")
+    placed = spans.join(full, "row_id").select("row_id", "doc_id", "n", "size", "part", "windows", low.alias("low"), F.posexplode(F.slice("h", low + 1, high - low)).alias("at", "s"))
+    placed = placed.withColumn("pos", F.col("low") + F.col("at"))
+    spots = scratch.write(placed.select("row_id", "doc_id", "n", "size", "part", "pos", "s", F.array_contains("windows", F.col("pos")).alias("starts")), "spots")
+    wide = lane_bits(items.agg(F.max("n")).first()[0] or 0)
+    prints = scratch.write(_prints(spots, wide), "prints")
+    pairs = scratch.write(_candidates(prints, _item_prints(items, wide)), "pairs")
+    matches = _verify(spots, items, pairs, similarity)
+    if told is not None:
+        matches = scratch.write(matches, "matches")
+        told |= {"windows": prints.count(), "candidates": pairs.count(), "matches": matches.count()}
+    return matches
+
+
+def _verify(spots: DataFrame, items: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The best window of each document and item that reaches the similarity, by shared weight: the sum of smaller counts."""
+    key = ["row_id", "doc_id", "n", "size", "window", "item", "hamming"]
+    inside = (F.col("pos") >= F.col("window")) & (F.col("pos") < F.col("window") + F.col("size"))
+    held = pairs.join(spots.select("row_id", "n", "part", "pos", "s"), ["row_id", "n", "part"]).where(inside).groupBy(*key, "s").agg(F.count("*").alias("here"))
+    own = items.select("item", "item_id", F.explode("h").alias("s")).groupBy("item", "item_id", "s").agg(F.count("*").alias("there"))
+    shared = held.join(own, ["item", "s"]).groupBy(*key, "item_id").agg(F.sum(F.least("here", "there")).alias("shared"))
+    judged = shared.withColumn("similarity", F.col("shared") / (F.col("size") + F.col("n") - F.col("shared"))).where(F.col("similarity") >= similarity)
     best = F.max(F.struct("similarity", (-F.col("window")).alias("back"), "size", "hamming")).alias("b")
     return judged.groupBy("row_id", "doc_id", "item", "item_id").agg(best).select(
-        "row_id", "doc_id", "item_id", (-F.col("b.back")).alias("window"), F.col("b.size").alias("n_shingles"), F.col("b.hamming").alias("hamming"), F.col("b.similarity").alias("similarity")
+        "row_id", "doc_id", "item_id", (-F.col("b.back")).alias("window"), F.col("b.size").alias("n_shingles"), F.col("b.hamming").cast("int").alias("hamming"), F.col("b.similarity").alias("similarity")
     )
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of a stored table without a match, all columns as they were."""
-    mark = "__tidewright_row"
-    found = find_contamination(spark, docs, benchmark).select(F.col("row_id").alias(mark)).distinct()
-    return with_row_id(docs, mark).join(found, mark, "left_anti").drop(mark)
+    """The rows without a match, all columns as they were."""
+    scratch, mark = Scratch(spark, "decontaminate"), free_name(docs, "tidewright_row")
+    rows = numbered(scratch, docs, mark)
+    found = _find(scratch, rows.select(F.col(mark).alias("row_id"), "doc_id", "text"), benchmark)
+    return without_rows(scratch, rows, mark, found.select("row_id"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
