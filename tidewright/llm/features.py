@@ -130,8 +130,8 @@ def toxic(text: str, lexicon: dict[str, float]) -> list[float]:
             near += 1 / (1 + d) if d <= NEAR else 0.0
     learned = [w for w in weights if w > 0]
     strong = [w for w in learned if w > STRONG]
-    letters = sum(1 for c in text if c.isalpha()) if len(text) < 4000 else max(1, sum(map(len, words)))
-    upper = len(re.findall(r"[A-Z]", text))
+    kinds = np.bincount(_CLASS[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)], minlength=13).tolist()
+    upper, letters = kinds[1], kinds[1] + kinds[2] + kinds[12]  # every character beyond ASCII counts as a letter
     plain_words = text.split()
     shout = sum(1 for w in plain_words if len(w) > 1 and w.isupper())
     return [

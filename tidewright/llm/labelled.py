@@ -21,10 +21,12 @@ def remainder(doc_id: str, by: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int) -> DataFrame:
     """(doc_id, text, y, draw) of about ``most`` labelled rows where ``learn`` holds; draw is a fixed hash in [0, 1).
 
-    Rows are drawn by a hash of doc_id, so the sample does not depend on
-    partitioning.  Of repeated labels the largest counts, null labels are left
-    out.  At most ``most`` rows are expected, a few standard deviations more
-    possible; that bound is why the labels may be broadcast.
+    Labels are drawn by a hash of doc_id, so the sample does not depend on
+    partitioning.  Of repeated labels the largest counts, null labels and null
+    doc_ids are left out.  Of several rows with one doc_id, the one whose text
+    has the least hash is taken (null texts last), so there is a row a label at most.  ``most``
+    labels are expected, a few standard deviations more possible; that bound is
+    why the labels may be broadcast and the rows learned from on the driver.
     """
     own = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null").where(learn)
     own = own.groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -32,11 +34,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     n = own.count()
     drawn = own.withColumn("draw", draw).where(F.col("draw") < min(1.0, most / max(n, 1)))
     drawn = drawn.withColumn("draw", F.col("draw") / min(1.0, most / max(n, 1)))
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    place = F.struct(F.col("text").isNull().alias("none"), F.xxhash64("text").alias("hash"), "text")
+    return rows.groupBy("doc_id").agg(F.min(place).alias("least"), F.first("y").alias("y"), F.first("draw").alias("draw")).select("doc_id", "least.text", "y", "draw")
 
 
 def feature_rows(sample: DataFrame, features: Callable[[str], list[float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature matrix, labels and draws of a bounded sample, on the driver."""
+    """Feature matrix, labels and draws of a bounded sample, on the driver, in the order of doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

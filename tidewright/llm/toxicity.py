@@ -80,7 +80,8 @@ class ToxicityModel:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     """Learns from labelled rows whose crc32(doc_id) mod 3 is not 1, at most about ``sample`` of them.
 
-    Without labelled rows every text scores one half.
+    Without labelled rows every text scores one half.  What is drawn where labels
+    or doc_ids repeat or are null says :func:`labelled_sample`.
     """
     rows = labelled_sample(docs, labels, "toxic", remainder("doc_id", 3) != 1, sample)
     lexicon = learn_lexicon(rows.where(F.col("draw") < LEXICON_SHARE))
@@ -94,7 +95,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFrame:
-    """``docs`` with the probability of toxicity; null texts score as empty ones."""
+    """``docs`` with the probability of toxicity, by the text alone.
+
+    Null texts score as empty ones, texts of any length whole, and equal texts
+    alike, so repeated rows get equal scores.  All columns are passed on,
+    whatever their names; ``name`` must not be among them.  An empty table
+    stays empty.
+    """
     return score_column(docs, model.features, model.score, name)
 
 
