@@ -3,12 +3,17 @@
 Patterns give the base spans, which always stay.  Looser patterns give further
 candidates: numbers written another way, addresses with "(at)".  All candidates
 of a document are the nodes of a random field with labels none, email, ip, card
-and phone.  Neighbours in the text share chain potentials; candidates that
-repeat or resemble each other, however far apart, share skip potentials, each
-with the next and with a base span among them.  Loopy message passing with the
-base spans held fixed carries their labels to the other mentions until the
-messages settle, so that an entity is labelled alike throughout a document.
-Weights are learned by pseudo-likelihood on a bounded sample of documents.
+and phone.  Features tell of a candidate's shape and of cue words before it.
+Neighbours in the text share chain potentials; candidates that repeat or resemble
+each other, however far apart, share skip potentials, each with the next and with
+a base span among them.  Loopy message passing with the base spans held fixed
+judges every candidate and carries labels to the other mentions until the messages
+settle, so that an entity is labelled alike throughout a document.
+
+Weights are learned by pseudo-likelihood from all documents, on planted variants
+(:func:`plant`): some base spans are written in another dress behind a cue word,
+some get a second mention elsewhere, and decoys of the same dress but another
+content, without cue or tie, stand for none.  So dress alone is not enough.
 
 All scanning is linear in the text's length.
 """
@@ -17,7 +22,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +35,16 @@ from .common import read_table
 
 KINDS = ("email", "ip", "card", "phone")
 ORDER = {k: i for i, k in enumerate(KINDS)}
-#: Documents that the weights are fitted on, about this many, and nodes taken of each.
-SAMPLE_DOCS, SAMPLE_NODES = 4_000, 64
+# Words that announce a kind, in four languages.
+CUES = {
+    "email": "mail email e-mail write contact reach schreib schreiben courriel correo escribe",
+    "ip": "ip host server address addr ping adresse rechner serveur servidor",
+    "card": "card visa credit debit pay karte kreditkarte carte tarjeta",
+    "phone": "call phone tel telephone ring mobile fax sms anruf telefon anrufen appel appeler llama teléfono",
+}
+CUE_OF = {w: k for k, words in CUES.items() for w in words.split()}
+#: Characters before a candidate in which a cue word counts.
+AHEAD = 40
 #: Posterior from which a candidate is added.
 SURE = 0.9
 #: Characters between candidates that share a chain potential.
@@ -126,7 +140,17 @@ def _loose(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int,
     return kept
 
 
-FEATURES = ["one", "at", "at_word", "dotted", "small_parts", "plus", "luhn", "d7", "d9", "d12", "d16", "spaced"]
+FEATURES = [
+    "one", "at", "at_mark", "at_word", "dotted", "small_parts", "plus", "luhn", "d7", "d9", "d12", "d16", "spaced", "grouped", "fours", "odd_marks",
+    "cue_email", "cue_ip", "cue_card", "cue_phone",
+]
+_GROUPED, _FOURS = re.compile(r"(?:[0-9]{1,3}[^0-9]+)?[0-9]{3}[^0-9]+[0-9]{3}[^0-9]+[0-9]{4}\Z"), re.compile(r"[0-9]{4}(?:[^0-9][0-9]{4}){3}\Z")
+_LETTERS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
+
+
+def cues(text: str, at: int) -> set[str]:
+    """Kinds that one of the last three words before a place announces."""
+    return {CUE_OF[w] for w in _LETTERS.findall(text[max(0, at - AHEAD) : at].lower())[-3:] if w in CUE_OF}
 
 
 class Graph:
@@ -142,7 +166,12 @@ class Graph:
             parts = re.split(r"\x20?[.,_-]\x20?", s)
             quad = len(parts) == 4 and all(map(str.isdecimal, parts))
             mail = "@" in s or kind == "email"
-            self.x[i] = [1, "@" in s, kind == "email" and "@" not in s, quad, quad and all(int(p[-4:]) <= 255 for p in parts), s[0] == "+", len(d) >= 12 and luhn(d), 7 <= len(d) < 9, 9 <= len(d) < 12, 12 <= len(d) < 16, 16 <= len(d) < 20, " " in s]
+            told = cues(text, a)
+            self.x[i] = [
+                1, "@" in s, kind == "email" and "@" not in s and ("(" in s or "[" in s), kind == "email" and "@" not in s and not ("(" in s or "[" in s), quad, quad and all(int(p[-4:]) <= 255 for p in parts),
+                s[0] == "+", len(d) >= 12 and luhn(d), 7 <= len(d) < 9, 9 <= len(d) < 12, 12 <= len(d) < 16, 16 <= len(d) < 20, " " in s,
+                _GROUPED.match(s) is not None, _FOURS.match(s) is not None, not mail and any(c in s for c in ",_/"), *[k in told for k in KINDS],
+            ]
             if mail:
                 name = _AT.sub("@", s, 1) if "@" not in s else s
                 groups["mail", _DOT.sub(".", name).lower()].append(i)
@@ -172,22 +201,26 @@ class SkipChainField:
         """Before any data: two mentions of an entity agree."""
         return np.diag([0.0, 3.0, 3.0, 3.0, 3.0])
 
-    def fit(self, x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray, steps: int = 300, ridge: float = 1.0) -> SkipChainField:
-        """Pseudo-likelihood: each node given its neighbours' labels, by gradient ascent with momentum."""
+    def fit(self, x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray, many: np.ndarray | None = None, steps: int = 600, ridge: float = 0.5) -> SkipChainField:
+        """Pseudo-likelihood: each node given its neighbours' labels, by gradient ascent with momentum; row i stands for many[i] nodes."""
         if not len(y):
             return self
         target = np.eye(5)[y]
+        many = np.ones(len(y)) if many is None else many.astype(float)
+        # classes weigh alike in sum, so a corpus with few mentions teaches the same as one with many
+        share = np.bincount(y, many, 5)
+        many = many * (many.sum() / (share > 0).sum() / share[y])
         velocity = [np.zeros_like(w) for w in (self.unary, self.chain, self.skip)]
         for _ in range(steps):
             z = x @ self.unary + chain @ self.chain + skip @ self.skip
             z -= z.max(axis=1, keepdims=True)
             p = np.exp(z)
             p /= p.sum(axis=1, keepdims=True)
-            r = target - p
+            r = (target - p) * many[:, None]
             grads = [x.T @ r - ridge * self.unary, chain.T @ r - ridge * self.chain, skip.T @ r - ridge * (self.skip - self.prior_skip())]
             for k, name in enumerate(("unary", "chain", "skip")):
                 g = grads[k] if not k else (grads[k] + grads[k].T) / 2
-                velocity[k] = 0.9 * velocity[k] + g * (2.0 / len(y))
+                velocity[k] = 0.9 * velocity[k] + g * (1.0 / many.sum())
                 setattr(self, name, getattr(self, name) + velocity[k])
         return self
 
@@ -225,52 +258,141 @@ class SkipChainField:
         return p / p.sum(axis=1, keepdims=True)
 
 
+def _dressed(kind: str, s: str, how: int) -> str:
+    """The content of a base span in one of its other dresses."""
+    if kind == "email":
+        at, dot = ((" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot "))[how % 3]
+        local, _, domain = s.partition("@")
+        return local + at + domain.replace(".", dot)
+    if kind == "ip":
+        return (",", " . ", "_", "-")[how % 4].join([p.lstrip("0")[-3:] or "0" for p in s.split(".")])
+    d = _digits(s)
+    if kind == "card":
+        return "._/"[how % 3].join([d[k : k + 4] for k in range(0, len(d), 4)])
+    d = d[-10:]
+    return (f"{d[:-7]}.{d[-7:-4]}.{d[-4:]}", f"{d[:-7]} {d[-7:-4]} {d[-4:]}", f"{d[:-7]}/{d[-7:-4]}-{d[-4:]}", f"({d[:-7]}) {d[-7:-4]}-{d[-4:]}")[how % 4]
+
+
+def _other(kind: str, s: str, how: int) -> str:
+    """A content of the same form that is not the span's: what a decoy shows."""
+    if kind == "email":
+        local, _, domain = s.partition("@")
+        return f"q{how % 97}{local[::-1]}@z{domain}"
+    step = 1 + how % 8
+    turned = "".join([str((int(c) + step + i) % 10) if "0" <= c <= "9" else c for i, c in enumerate(s)])
+    return ".".join([str(int(p) % 250) for p in turned.split(".")]) if kind == "ip" else turned
+
+
+def plant(text: str, base: list[tuple[str, int, int]]) -> tuple[str, list[tuple[str, int, int]]]:
+    """A text with planted variants, and (kind or "none", start, end) of each; what happens follows from the text alone.
+
+    Of four base spans, about one is left, one replaced by another dress behind a
+    cue word, one mentioned again in another dress some way behind or at the end,
+    and one gets a decoy there.  Spans that overlap one before are left.
+    """
+    seed, edits, last = zlib.crc32(text.encode("utf-8", "replace")), [], -1
+    for k, (kind, a, b) in enumerate(base):
+        if a < last:
+            continue
+        last = b
+        draw = zlib.crc32(f"{seed}:{k}".encode())
+        way, how = draw % 4, draw >> 8
+        s = text[a:b]
+        if way == 1:
+            words = CUES[kind].split()
+            edits.append((a, b, words[how % len(words)] + " ", _dressed(kind, s, how >> 4), kind))
+        elif way > 1:
+            at = text.find(" ", b + 90 + how % 400)
+            at = len(text) if at < 0 else at
+            edits.append((at, at, " ", _dressed(kind, s if way == 2 else _other(kind, s, how), how >> 4), kind if way == 2 else "none"))
+    out, spans, at, size = [], [], 0, 0
+    for a, b, before, s, kind in sorted(edits):
+        if a < at:
+            continue
+        head = text[at:a] + before
+        size += len(head)
+        spans.append((kind, size, size + len(s)))
+        out += [head, s]
+        size += len(s)
+        at = b
+    return "".join([*out, text[at:]]), spans
+
+
 def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes with their neighbours' label counts.
+    """Rows of candidates beside the base spans: features, neighbours' label counts, label.
 
-    Base nodes carry their kind, other candidates none, except those tied to a
-    base node, whose label is open and which are left out.  Every other base
-    node with a tie hides its features, so that the ties have something to tell.
+    Planted variants have their labels, other candidates none, except those tied
+    to a mention: their label is open, and they are left out.
+    """
+    for whole in batches:
+        for at in range(0, whole.num_rows, BATCH):
+            seen: Counter = Counter()
+            for text in whole.column("text").slice(at, BATCH).to_pylist():
+                text = text or ""
+                made, planted = plant(text, base_spans(text))
+                g = Graph(made, base_spans(made))
+                label, k = g.fixed.copy(), 0
+                for i, (a, b, _, known) in enumerate(g.nodes):
+                    while k < len(planted) and planted[k][2] <= a:
+                        k += 1
+                    if not known and k < len(planted) and planted[k][1] < b:
+                        label[i] = ORDER[planted[k][0]] + 1 if planted[k][0] in ORDER else -2
+                tied = np.zeros(len(label), bool)
+                for a, b in g.skip:
+                    tied[a] |= label[b] > 0
+                    tied[b] |= label[a] > 0
+                label[(label == 0) & tied] = -1
+                label[label == -2] = 0
+                near = np.zeros((2, len(label), 5), int)
+                for kind, edges in ((0, g.chain), (1, g.skip)):
+                    for a, b in edges:
+                        if label[b] >= 0:
+                            near[kind, a, label[b]] += 1
+                        if label[a] >= 0:
+                            near[kind, b, label[a]] += 1
+                for i, (_, _, _, known) in enumerate(g.nodes):
+                    if not known and label[i] >= 0:
+                        seen[(*g.x[i].astype(int).tolist(), *near[0, i].tolist(), *near[1, i].tolist(), int(label[i]))] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([list(r) for r in seen], pa.list_(pa.int64())), pa.array(list(seen.values()), pa.int64())], ["row", "many"])
+
+
+def fit_field(docs: DataFrame) -> SkipChainField:
+    """Weights from all documents with a digit or an @, or a text that says at.
+
+    Equal rows are counted where they arise and combined before the shuffle.
+    Only their distinct kinds with counts reach the driver; these are patterns of
+    yes-no features and of small neighbour counts, not documents.  Null texts have
+    no candidates, and an empty table gives the field as it is before any data.
     """
-    for batch in batches:
-        rows = []
-        for text in batch.column("text").to_pylist():
-            text = text or ""
-            g = Graph(text, base_spans(text))
-            near = np.zeros((2, len(g.nodes), 5))
-            tied = np.zeros(len(g.nodes), bool)
-            for kind, edges in ((0, g.chain), (1, g.ties)):
-                for a, b in edges:
-                    near[kind, a, g.fixed[b]] += 1
-                    near[kind, b, g.fixed[a]] += 1
-            for a, b in g.skip:
-                tied[a] |= g.fixed[b] > 0
-                tied[b] |= g.fixed[a] > 0
-            for i in range(min(len(g.nodes), SAMPLE_NODES)):
-                if g.fixed[i] or not tied[i]:
-                    x = g.x[i] if not (g.fixed[i] and tied[i] and i % 2) else np.eye(len(FEATURES))[0]
-                    rows.append([*x.tolist(), *near[0, i].tolist(), *near[1, i].tolist(), float(g.fixed[i])])
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], ["row"])
-
-
-def fit_field(docs: DataFrame, sample: int = SAMPLE_DOCS) -> SkipChainField:
-    """Weights from about ``sample`` documents with a digit or an @, drawn by a hash of the text."""
-    open_texts = docs.select("text").where(F.col("text").rlike("[0-9@]"))
-    n = docs.count()
-    drawn = open_texts.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1_000_000)) < int(1e6 * min(1.0, sample / max(n, 1))))
-    got = np.array([r.row for r in drawn.mapInArrow(_training_rows, "row array<double>").collect()], float)
-    if not len(got):
+    texts = docs.select("text").where(F.col("text").rlike(r"[0-9@]|[Aa][Tt]"))
+    counted = texts.mapInArrow(_training_rows, "row array<long>, many long").groupBy("row").agg(F.sum("many").alias("many")).collect()
+    if not counted:
         return SkipChainField()
-    got = got[np.lexsort(got.T)]
+    got = np.array(sorted((*r.row, r.many) for r in counted), float)
     k = len(FEATURES)
-    return SkipChainField().fit(got[:, :k], got[:, -1].astype(int), got[:, k : k + 5], got[:, k + 5 : k + 10])
+    return SkipChainField().fit(got[:, :k], got[:, -2].astype(int), got[:, k : k + 5], got[:, k + 5 : k + 10], got[:, -1])
+
+
+def measured(docs: Iterator[str], field: SkipChainField) -> dict[str, tuple[int, int, int]]:
+    """Of planted texts by kind: variants planted, variants found as their kind, spans added beside any."""
+    out = {k: [0, 0, 0] for k in KINDS}
+    for text in docs:
+        made, planted = plant(text, base_spans(text))
+        base, every = spans_of(made, field)
+        added = [s for s in every if s not in set(base)]
+        want = [s for s in planted if s[0] in ORDER and not any(a < s[2] and s[1] < b for _, a, b in base)]
+        hit = lambda s, others: any(k == s[0] and a < s[2] and s[1] < b for k, a, b in others)
+        for s in want:
+            out[s[0]][0] += 1
+            out[s[0]][1] += hit(s, added)
+        for s in added:
+            out[s[0]][2] += not hit(s, want)
+    return {k: tuple(v) for k, v in out.items()}
 
 
 def spans_of(text: str, field: SkipChainField) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and all spans with those that the field adds."""
     base = base_spans(text)
-    if not base:  # nothing to carry over: a lone loose candidate is not added
-        return base, base
     graph = Graph(text, base)
     if len(graph.nodes) == len(base):
         return base, base
@@ -283,8 +405,10 @@ def find_pii(docs: DataFrame, field: SkipChainField) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added.
 
     The counts and base_sha256 are of the base spans; spans also holds those
-    that the field adds.  Null texts are empty and have no spans.  Repeated rows
-    are judged each; other columns are ignored.
+    that the field adds.  Null texts are empty and have no spans.  Texts of any
+    length are judged whole, with all their candidates in one field.  Repeated
+    rows are judged each; other columns, whatever their names, are ignored; an
+    empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
