@@ -25,7 +25,7 @@ CHUNK = 128
 
 def _turns(conversations: DataFrame) -> DataFrame:
     """Distinct turns of each conversation with their place from 1, and the prefix hashes at each."""
-    rows = conversations.where("conv_id is not null").select(
+    rows = conversations.select("conv_id", "turn", "role", "text").where("conv_id is not null").select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"),
@@ -65,13 +65,16 @@ def format_chats(spark: SparkSession, conversations: DataFrame, begin: str = "<|
     Turns are ordered by (turn, role, text), null turns first; null roles and
     texts are empty; identical rows of a conversation count once.  Rows without
     conv_id belong to no conversation and are left out.  Only ``conv_id``,
-    ``turn``, ``role`` and ``text`` are read.  An empty table gives an empty
-    result.  Rendering holds one conversation at a time.
+    ``turn``, ``role`` and ``text`` are read; other columns, whatever their
+    names, are ignored.  An empty table gives an empty result.  Texts of any
+    length are rendered whole: a task holds one conversation at a time, which
+    must fit into memory as its rendered text does.
     """
     scratch = Scratch(spark, "chat")
     turns = scratch.write(_turns(conversations), "turns")
     prefixes = scratch.write(prefix_hashes(turns), "prefixes")
-    sizes = prefixes.groupBy("conv_id").agg(F.max("place").alias("n"))
+    # stored, so that the join has a plain shuffle on both sides and a long conversation's rows can be split
+    sizes = scratch.write(prefixes.groupBy("conv_id").agg(F.max("place").alias("n")), "sizes")
     marked = prefixes.join(sizes, "conv_id")
     whole = marked.where("place = n").groupBy("place", "ha", "hb").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_equal"))
     proper = marked.where("place < n").select("place", "ha", "hb").distinct()

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, read_table
+from .common import Scratch, partitions, read_table, with_row_id
 from .tokens import encoder
 
 NULL_ID = -(1 << 63)
@@ -37,6 +37,8 @@ NULL_ID = -(1 << 63)
 BATCH = 64
 #: Ids that a writer holds before they go to the file.
 FLUSH_BYTES = 8 << 20
+#: Characters of a text that order rows of equal doc_id.
+HEAD = 256
 
 
 def _place(path: str) -> tuple[fs.FileSystem, str]:
@@ -94,16 +96,20 @@ def write_token_files(spark: SparkSession, docs: DataFrame, path: str, tokenizer
 
     Ids take two bytes where the vocabulary and the end id fit, else four, unless given.
 
-    Null texts are empty: their documents hold the end id alone.  Rows with
-    equal doc_id lie next to each other, ordered by text; null doc_ids come
-    first.  An empty table gives files without documents.  The driver gets one
-    row of counts a partition.
+    Null texts are empty: their documents hold the end id alone.  Null doc_ids
+    come first.  Rows with equal doc_id lie next to each other, ordered by the
+    first ``HEAD`` characters of the text and then by their place in the input,
+    so they may fill any number of partitions.  Texts of any length are encoded
+    whole.  Other columns, whatever their names, are ignored.  An empty table
+    gives files without documents.  The driver gets one row of counts a
+    partition.
     """
     if id_bytes is None:
         largest = max(encoder(tokenizer, keep_space).library.get_vocab_size(with_added_tokens=True) - 1, end_id)
         id_bytes = 2 if largest < 1 << 16 else 4
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = with_row_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    order = ["doc_id", F.substring("text", 1, HEAD), "row_id"]
+    dealt = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
     told = dealt.mapInArrow(_writer(path, tokenizer, keep_space, end_id, id_bytes), "part int, docs long, ids long").collect()
     base, parts = 0, []
     for r in sorted(told, key=lambda r: r.part):
