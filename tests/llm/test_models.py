@@ -1,6 +1,8 @@
 """Quality, toxicity and personal data: held-out accuracy, brute force for the patterns, odd rows."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import time
@@ -9,9 +11,12 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidewright.llm import pii, quality, toxicity
 from tidewright.llm.common import read_table
 from tidewright.llm.features import SURFACE, TOXIC, surface, toxic
+from tidewright.llm.labelled import labelled_sample
 from tidewright.llm.trees import AdditiveModel, BoostedTrees, Isotonic, auc, sigmoid
 
 
@@ -103,6 +108,82 @@ def test_isotonic_is_monotone_and_calibrated():
     assert np.abs(p - sigmoid(2 * np.linspace(-4, 4, 200)))[40:160].max() < 0.15
 
 
+def test_toxic_features_do_not_depend_on_length():
+    """One definition at any length: repeating a text changes no rate by more than its ends do."""
+    piece = "ABC 1234 d é! "
+    at = TOXIC.index("upper_rate")
+    rates = [toxic((piece * 400)[:n], {})[at] for n in (3_990, 3_999, 4_000, 4_001, 5_000)]
+    assert max(rates) - min(rates) < 1e-3
+    assert toxic("ABcd é1 2", {})[at] == 2 / 5
+
+
+def plain_margin(trees, x):
+    """Each tree walked node by node on raw values."""
+    total = trees.base
+    for feature, cut, value in trees.trees:
+        node = 0
+        for _ in range(trees.depth):
+            c = trees.cuts[feature[node]]
+            place = sum(1 for v in c if v < x[feature[node]])
+            node = 2 * node + (2 if place > cut[node] else 1)
+        total += value[node - (2**trees.depth - 1)]
+    return total
+
+
+def test_scores_match_a_plain_walk_of_the_trees(spark, labelled):
+    path, _ = labelled
+    docs = read_table(spark, path, "documents")
+    model = toxicity.fit_toxicity(docs, read_table(spark, path, "labels"))
+    assert len(model.trees.trees) > 50
+    for r in toxicity.score_toxicity(docs.where("doc_id % 9 = 0"), model).collect():
+        m = plain_margin(model.trees, model.features(r.text))
+        low = max([i for i, a in enumerate(model.curve.at) if a <= m], default=0)
+        high = min(low + 1, len(model.curve.at) - 1)
+        a, b = model.curve.at[low], model.curve.at[high]
+        part = 0.0 if b == a else min(1.0, max(0.0, (m - a) / (b - a)))
+        calibrated = model.curve.value[low] + part * (model.curve.value[high] - model.curve.value[low])
+        assert r.score == pytest.approx(0.999 * calibrated + 0.001 / (1 + math.exp(-m)), abs=1e-9)
+
+
+def test_scores_match_plain_table_lookups(spark, labelled):
+    path, _ = labelled
+    docs = read_table(spark, path, "documents")
+    model = quality.fit_quality(docs, read_table(spark, path, "labels"))
+    assert model.chosen
+    for r in quality.score_quality(docs.where("doc_id % 9 = 0"), model).collect():
+        x = surface(r.text)
+        place = lambda cuts, k: sum(1 for v in cuts[k] if v < x[k])
+        total = model.base + sum(t[place(model.cuts, k)] for k, t in enumerate(model.tables))
+        total += sum(t[place(model.coarse, i) * (model.pair_bins + 1) + place(model.coarse, j)] for (i, j), t in zip(model.chosen, model.pair_tables))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9)
+
+
+def test_sample_takes_one_row_a_label(spark, tables):
+    """Repeated and null labels, null doc_ids, and a drawn doc_id with very many rows."""
+    docs = [(1, "a"), (1, "b"), (1, None), (2, None), (3, "c"), (3, "c"), (None, "d"), (4, "e"), (5, "f")]
+    labels = [(1, 0, 1), (1, 1, 0), (2, 1, None), (2, 1, None), (3, None, 1), (None, 1, 1), (4, 0, 0), (9, 1, 1)]
+    path = tables(docs, labels=labels, extra=True)
+    many = read_table(spark, path, "documents").select("doc_id", "text").union(spark.range(100_000).selectExpr("4L as doc_id", "'e' as text"))
+    lab = read_table(spark, path, "labels")
+    own = lambda label: sorted(((r.doc_id, r.y) for r in labelled_sample(many, lab, label, F.lit(True), 100).collect()))
+    assert own("quality") == [(1, 1), (2, 1), (4, 0)] and own("toxic") == [(1, 1), (3, 1), (4, 0)]
+    texts = {r.doc_id: r.text for r in labelled_sample(many, lab, "quality", F.lit(True), 100).collect()}
+    assert texts[1] in ("a", "b") and texts[2] is None
+
+
+def test_ties_at_the_threshold_and_repeated_rows(spark, tables, monkeypatch):
+    docs = [(i, "same words here.") for i in range(6)] + [(3, "same words here."), (7, None), (8, "")]
+    path = tables(docs, labels=[(0, 1, 1), (1, 0, 0), (2, 1, 1), (2, None, None)], extra=True)
+    for op in (quality.op9, toxicity.op6):
+        rows = op(spark, path).collect()
+        assert len(rows) == len(docs) and len({r.score for r in rows if r.doc_id < 7}) == 1
+        assert len({r.score for r in rows if r.doc_id >= 7}) == 1
+    table = read_table(spark, path, "documents")
+    model = quality.fit_quality(table, read_table(spark, path, "labels"))
+    at = quality.score_quality(table.drop("score"), model).where("doc_id = 0").first().score
+    assert quality.drop_low_quality(table, model, at).where("doc_id = 0").count() == 1
+
+
 # personal data
 
 
@@ -166,6 +247,67 @@ def test_pii_query(spark, request, where):
         assert not (r.n_added and not base)
 
 
+@pytest.mark.parametrize("kind", ["chain", "skip"])
+def test_marginals_match_enumeration_on_trees(kind):
+    rng = np.random.default_rng(3)
+    field = pii.SkipChainField()
+    field.unary = rng.normal(size=field.unary.shape)
+    field.chain, field.skip = (w + w.T for w in rng.normal(size=(2, 5, 5)))
+    gap = " and " if kind == "chain" else " " + "x" * 90 + " "
+    text = gap.join(["a@b.cd", "414.555.7134", "12345678", "8.7.6.5", "+1 414 555 7134" if kind == "skip" else "7777777"])
+    graph = pii.Graph(text, pii.base_spans(text))
+    edges = [(a, b, field.chain) for a, b in graph.chain] + [(a, b, field.skip) for a, b in graph.skip]
+    n = len(graph.nodes)
+    assert n == 5 and len(edges) == (4 if kind == "chain" else 1)
+    want = np.zeros((n, 5))
+    for labels in itertools.product(range(5), repeat=n):
+        if all(not f or y == f for y, f in zip(labels, graph.fixed)):
+            weight = math.exp(sum(graph.x[i] @ field.unary[:, y] for i, y in enumerate(labels) if not graph.fixed[i]) + sum(w[labels[a], labels[b]] for a, b, w in edges))
+            want[range(n), labels] += weight
+    assert np.allclose(field.marginals(graph), want / want.sum(axis=1, keepdims=True), atol=1e-3)
+
+
+def personal_texts(n, seed):
+    rng = random.Random(seed)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(300)]
+    for _ in range(n):
+        parts = rng.choices(words, k=rng.randint(40, 160))
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            digits = [rng.randrange(10) for _ in range(15)]
+            check = next(c for c in range(10) if luhn("".join(map(str, [*digits, c]))))
+            made = rng.choice([
+                f"{rng.choice(words)}.{rng.randrange(99)}@mail{rng.randrange(9)}.example.com", ".".join(str(rng.randrange(1, 255)) for _ in range(4)),
+                "".join(map(str, [*digits, check])), f"+1 ({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}",
+            ])
+            parts.insert(rng.randrange(len(parts)), made)
+        parts.insert(rng.randrange(len(parts)), rng.choice(["20240123456", "12, 13, 14, 15", "555 123 4567", "3.14159", "99887766"]))
+        yield " ".join(parts)
+
+
+def test_planted_variants_are_found_and_decoys_left(spark, tables):
+    """Precision and recall of added spans on texts that the field was not fitted on."""
+    path = tables(list(enumerate(personal_texts(600, 1))))
+    field = pii.fit_field(read_table(spark, path, "documents"))
+    told = pii.measured(personal_texts(400, 2), field)
+    planted, found, beside = (sum(v[k] for v in told.values()) for k in range(3))
+    assert planted > 150 and found >= 0.85 * planted and beside <= 0.05 * found
+    assert sum(len(pii.spans_of(t, field)[1]) - len(pii.base_spans(t)) for t in personal_texts(300, 3)) <= 1
+
+
+def test_candidates_without_an_anchor_are_judged(spark, tables):
+    field = pii.fit_field(read_table(spark, tables(list(enumerate(personal_texts(600, 1)))), "documents"))
+    text = "please call 414.555.7134 soon"
+    assert pii.spans_of(text, field) == ([], [("phone", 12, 24)])
+
+
+def test_planting_keeps_the_rest_and_tells_places():
+    for text in personal_texts(200, 5):
+        made, planted = pii.plant(text, pii.base_spans(text))
+        assert made == pii.plant(text, pii.base_spans(text))[0]
+        assert all(0 <= a < b <= len(made) for _, a, b in planted) and [a for _, a, _ in planted] == sorted(a for _, a, _ in planted)
+    assert pii.plant("nothing here", []) == ("nothing here", [])
+
+
 def test_repeats_in_other_dress_are_added_and_strangers_are_not(spark, tables):
     rng = random.Random(6)
     docs = []

@@ -1,6 +1,7 @@
 """Exact dedup, sharding, token files and packing against plain Python."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -10,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidewright.llm import exact_dedup, packing, shard, token_files
+from tidewright.llm import decontaminate, exact_dedup, packing, quality, shard, simhash, token_files
 from tidewright.llm.common import Scratch, read_table
 
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
@@ -140,3 +141,103 @@ def test_pack_balances_cost():
     for item, size in enumerate(lengths):
         spans = sorted((s, n) for i, s, n, _ in pieces if i == item)
         assert spans[0][0] == 0 and sum(n for _, n in spans) == size
+
+
+def plain_packing(lengths, capacity):
+    """The rule as it is stated, step by step."""
+    n = -(-sum(lengths) // capacity)
+    held, cost, out = [0] * n, [0] * n, []
+    left = [(size, item, 0) for item, size in enumerate(lengths) if size]
+    while left:
+        size, item, start = piece = min(left, key=lambda p: (-p[0], p[1], p[2]))
+        left.remove(piece)
+        room = [capacity - h for h in held]
+        fits = [k for k in range(n) if room[k] >= size]
+        if fits:
+            at, take = min(fits, key=lambda k: (cost[k], k)), size
+        else:
+            at = max(range(n), key=lambda k: (room[k], -k))
+            take = room[at]
+            left.append((size - take, item, start + take))
+        held[at] += take
+        cost[at] += packing.LINEAR * take + take * take
+        out.append((item, start, take, at))
+    return out
+
+
+def test_documents_go_to_the_lowest_cost_with_room():
+    rng = random.Random(12)
+    for _ in range(60):
+        lengths = [rng.choice([rng.randint(0, 40), rng.randint(1, 300), 100, 700]) for _ in range(rng.randint(1, 40))]
+        assert sorted(packing.pack(lengths, 256)) == sorted(plain_packing(lengths, 256))
+
+
+def test_rows_of_one_id_fill_many_partitions(spark, tables):
+    """A third of the rows and more with one doc_id, or none, are dealt over partitions, in an order that holds."""
+    rows = [(None, f"text {i % 40:03d}") for i in range(300)] + [(7, f"other {i:03d}") for i in range(300)] + [(7, "same")] * 300
+    path = tables(rows)
+    folder = Scratch(spark, "t").path("files")
+    manifest = token_files.write_token_files(spark, read_table(spark, path, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    assert len([p for p in manifest["parts"] if p["docs"]]) >= 3 and max(p["docs"] for p in manifest["parts"]) <= 500
+    files = token_files.TokenFiles(folder)
+    ids = [i for p in sorted(files.parts) for i, _, _ in files.documents(p)]
+    assert ids == [None] * 300 + [7] * 600
+
+
+def shifting(monkeypatch, spark):
+    """From now on every stored table is followed by other splits of scans, as where executors come and go."""
+    store, count = Scratch.write, iter(range(10_000))
+
+    def write(self, df, name):
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        out = store(self, df, name)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str([600, 2_000_000, 3_000, 40_000_000][next(count) % 4]))
+        return out
+
+    monkeypatch.setattr(Scratch, "write", write)
+
+
+@pytest.fixture
+def splits(spark):
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    before = [spark.conf.get(n) for n in names]
+    yield
+    for n, v in zip(names, before):
+        spark.conf.set(n, v)
+
+
+def test_rows_are_met_again_whatever_the_splits(spark, tables, splits, monkeypatch):
+    """Row ids are stored once: dropping picks the right rows though each scan is split otherwise."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmn", k=6)) for _ in range(2000)]
+    clean = [rng.choices(words, k=60) for _ in range(60)]
+    item = " ".join(rng.choices(words, k=30))
+    docs = [(i, " ".join(w)) for i, w in enumerate(clean)]
+    docs += [(100 + i, "  ".join(clean[i])) for i in range(20)]
+    docs += [(200 + i, " ".join([*clean[20 + i], "more"])) for i in range(20)]
+    docs += [(300 + i, " ".join([*rng.choices(words, k=20), item])) for i in range(20)]
+    rng.shuffle(docs)
+    path = tables(docs, benchmark=[(1, item)])
+    spread = f"{path}/spread.parquet"
+    read_table(spark, path, "documents").repartition(16).write.parquet(spread)
+    table, bench = spark.read.parquet(spread), read_table(spark, path, "benchmark")
+    shifting(monkeypatch, spark)
+    ids = lambda df: {r.doc_id for r in df.collect()}
+    every = {i for i, _ in docs}
+    assert ids(exact_dedup.drop_exact_duplicates(spark, table)) == every - set(range(100, 120))
+    kept = ids(simhash.drop_near_duplicates(spark, table))
+    assert kept == every - set(range(100, 120)) - set(range(200, 220))
+    assert ids(decontaminate.drop_contaminated(spark, table, bench)) == every - set(range(300, 320))
+    assert {r.doc_id for r in decontaminate.find_contamination(spark, table, bench).collect()} == set(range(300, 320))
+
+
+def test_columns_of_clashing_names_come_through(spark, tables):
+    path = tables([(1, "a b c d e f"), (2, "a b c d e f"), (3, "other words are here now")], benchmark=[(1, "other words are here now")], labels=[(1, 1, 0), (2, 0, 0)])
+    docs = read_table(spark, path, "documents").selectExpr("*", "1 as tidewright_row", "2 as TIDEWRIGHT_ROW_", "3.5D as tidewright_score", "'x' as dropped", "4 as mid", "5 as hub")
+    model = quality.fit_quality(docs, read_table(spark, path, "labels"))
+    for kept, n in (
+        (exact_dedup.drop_exact_duplicates(spark, docs), 2), (simhash.drop_near_duplicates(spark, docs), 2), (decontaminate.drop_contaminated(spark, docs, read_table(spark, path, "benchmark")), 2), (quality.drop_low_quality(docs, model, 0.0), 3),
+    ):
+        rows = kept.collect()
+        assert kept.columns == docs.columns and len(rows) == n
+        assert all((r.tidewright_row, r.tidewright_score, r.mid) == (1, 3.5, 4) for r in rows)

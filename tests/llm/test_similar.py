@@ -2,13 +2,14 @@
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 import xxhash
 
-from tidewright.llm import chat, decontaminate, simhash
+from tidewright.llm import chat, common, decontaminate, simhash
 from tidewright.llm.common import Scratch, components, read_table
 
 
@@ -82,6 +83,47 @@ def test_large_buckets_are_sliced(spark, tables, monkeypatch):
     assert all(got[100 + i] == 100 + i for i in range(20))
 
 
+@pytest.mark.parametrize("where", ["odd", "small"])
+def test_midpoints_link_what_slices_link(spark, request, where, monkeypatch):
+    """Every bucket taken through midpoints gives the groups of the brute force."""
+    monkeypatch.setattr(simhash, "MANY", 1)
+    test_simhash_query(spark, request, where)
+
+
+def test_twenty_thousand_near_copies_in_one_bucket(spark):
+    """Rows named grow with the bucket, not with its square, and all links are kept."""
+    rng = random.Random(13)
+    base, found = rng.getrandbits(64), set()
+    table = simhash.exact_tables(2)[0]
+    free = [b for b in range(64) if b not in set(table)]
+    while len(found) < 20_000:
+        found.add(base ^ sum(1 << b for b in rng.sample(free, rng.choice([3, 4, 9]))))
+    prints = sorted(found)
+    rows = [(0, i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)]
+    hot = spark.createDataFrame(rows, "tab int, node long, f0 long")
+    began = time.monotonic()
+    scratch = Scratch(spark, "t")
+    links = scratch.write(simhash._by_midpoints(scratch, hot, simhash.exact_tables(2), 2), "links")
+    got = {r.node: r.root for r in components(scratch, links).collect()}
+    assert links.count() <= 33 * len(rows) and time.monotonic() - began < 120
+    place = {p: i for i, p in enumerate(prints)}
+    root = list(range(len(prints)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    one = [1 << b for b in free]
+    near = [*one, *[a | b for k, a in enumerate(one) for b in one[:k]]]
+    for p, i in place.items():
+        for d in near:
+            if (j := place.get(p ^ d)) is not None:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert {i: got.get(i, i) for i in range(len(prints))} == {i: find(i) for i in range(len(prints))}
+
+
 def test_near_copies_go_and_clean_texts_stay(spark, tables):
     rng = random.Random(11)
     vocabulary = ["".join(rng.choices("abcdefghijklm", k=rng.randint(2, 9))) for _ in range(5000)]
@@ -121,6 +163,15 @@ def test_similarity_decides_not_distance(spark, tables):
     assert got == dict(enumerate(root)) and len(near) > 100
 
 
+def test_components_that_do_not_settle_are_an_error(spark, monkeypatch):
+    chain = spark.createDataFrame([(i + 1, i) for i in range(200)], "a long, b long")
+    got = {r.node: r.root for r in components(Scratch(spark, "t"), chain).collect()}
+    assert got == dict.fromkeys(range(201), 0)
+    monkeypatch.setattr(common, "ROUNDS", 2)
+    with pytest.raises(RuntimeError):
+        components(Scratch(spark, "t"), chain)
+
+
 def test_components(spark):
     chain = [(i + 1, i) for i in range(40)] + [(100, 7), (200, 201), (201, 202), (500, 500)] + [(1000, 1001 + i) for i in range(50)]
     got = {r.node: r.root for r in components(Scratch(spark, "t"), spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -199,6 +250,40 @@ def test_decontamination_of_documents_shorter_than_the_item(spark, tables):
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in want}
 
 
+def test_index_blocks_find_all_within_the_radius():
+    """Any flips up to the radius leave a block with few enough, and the masks hold them."""
+    rng = random.Random(3)
+    masks = set(decontaminate.masks())
+    assert decontaminate.BLOCK >= 8 and len(masks) == 697
+    for _ in range(500):
+        flips = sum(1 << b for b in rng.sample(range(128), rng.randint(0, decontaminate.RADIUS)))
+        assert any(flips >> 16 * k & 0xFFFF in masks for k in range(decontaminate.BLOCKS))
+
+
+@pytest.mark.parametrize("wide", [16, 32])
+def test_window_fingerprints_match_plain_counts(spark, wide):
+    """Running sums give each window the majority bits of its own shingles."""
+    rng = random.Random(7)
+    hashes = [rng.getrandbits(64) - (1 << 63) for _ in range(40)]
+    size, starts = 9, {0, 3, 4, 17, 31}
+    spots = spark.createDataFrame([(1, 1, size, size, 0, k, h, k in starts) for k, h in enumerate(hashes)], "row_id long, doc_id long, n int, size int, part int, pos int, s long, starts boolean")
+    second = {r.s: r.t for r in spots.selectExpr("s", "xxhash64(s, 1) as t").collect()}
+    got = {r.window: (r.f0, r.f1) for r in decontaminate._prints(spots, wide).collect()}
+
+    def plain(xs):
+        f = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in xs) > len(xs))
+        return f - (1 << 64) if f >> 63 else f
+
+    assert got == {a: (plain(hashes[a : a + size]), plain([second[h] for h in hashes[a : a + size]])) for a in starts}
+
+
+def test_decontamination_tells_what_each_step_leaves(spark, small):
+    told = {}
+    docs, bench = (read_table(spark, small, t) for t in ("documents", "benchmark"))
+    found = decontaminate.find_contamination(spark, docs, bench, told=told).count()
+    assert told["matches"] == found <= told["candidates"] and told["windows"] > 0
+
+
 def test_decontamination_odd_rows(spark, odd, empty):
     found = {(r.doc_id, r.item_id) for r in decontaminate.op1(spark, odd).collect()}
     assert found == {(5, 1), (6, 1), (7, 1), (2**40, None)}
@@ -239,6 +324,14 @@ def test_chats(spark, tables):
     assert got == plain_chats(rows)
 
 
+def test_chats_with_other_columns_and_long_texts(spark, tables):
+    rows = [(1, 0, "user", "long " * 200_000), (1, 1, "assistant", "ok"), (2, 0, "user", "long " * 200_000), (3, 0, None, None), (3, 0, None, None)]
+    table = read_table(spark, tables([], conversations=rows), "conversations")
+    more = table.selectExpr("*", "1 as place", "2 as chunk", "'x' as ha", "3 as n", "4 as rank", "5 as base", "6 as n_equal")
+    got = {r.conv_id: (r.n_turns, r.text, r.n_equal) for r in chat.format_chats(spark, more).collect()}
+    assert got == plain_chats(rows)
+
+
 def test_chats_on_tables(spark, small, empty):
     rows = [tuple(r) for r in read_table(spark, small, "conversations").select("conv_id", "turn", "role", "text").collect()]
     got = {r.conv_id: (r.n_turns, r.text, r.n_equal) for r in chat.op4(spark, small).collect()}
