@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +17,10 @@ def shared_folder(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="tidewright-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    own = tempfile.mkdtemp(prefix="tidewright-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", "file://" + own)
+    return "file://" + own
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
