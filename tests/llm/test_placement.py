@@ -12,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tidewright.llm import decontaminate, exact_dedup, packing, quality, shard, simhash, token_files
-from tidewright.llm.common import Scratch, read_table
+from tidewright.llm.common import Scratch, numbered, read_table
 
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -231,6 +231,19 @@ def test_rows_are_met_again_whatever_the_splits(spark, tables, splits, monkeypat
     assert {r.doc_id for r in decontaminate.find_contamination(spark, table, bench).collect()} == set(range(300, 320))
 
 
+def test_tables_that_are_no_plain_scan_are_numbered_too(spark, tables):
+    """A filtered, joined or doubled table is stored with its ids; a scan is named by file and place."""
+    path = tables([(i, f"text number {i % 7} of some words") for i in range(40)])
+    docs = read_table(spark, path, "documents")
+    scratch = Scratch(spark, "t")
+    for df in (docs, docs.where("doc_id < 30"), docs.union(docs), docs.crossJoin(spark.range(2)), spark.read.parquet(f"{path}/documents.parquet", f"{path}/documents.parquet"), docs.withColumnRenamed("lang", "_metadata")):
+        made = numbered(scratch, df, "mark")
+        rows = made.collect()
+        assert made.columns == [*df.columns, "mark"] and len({r.mark for r in rows}) == len(rows) == df.count()
+        assert sorted(rows) == sorted(made.collect())
+    assert exact_dedup.drop_exact_duplicates(spark, docs.union(docs)).count() == 7
+
+
 def test_columns_of_clashing_names_come_through(spark, tables):
     path = tables([(1, "a b c d e f"), (2, "a b c d e f"), (3, "other words are here now")], benchmark=[(1, "other words are here now")], labels=[(1, 1, 0), (2, 0, 0)])
     docs = read_table(spark, path, "documents").selectExpr("*", "1 as tidewright_row", "2 as TIDEWRIGHT_ROW_", "3.5D as tidewright_score", "'x' as dropped", "4 as mid", "5 as hub")

@@ -163,6 +163,36 @@ def test_similarity_decides_not_distance(spark, tables):
     assert got == dict(enumerate(root)) and len(near) > 100
 
 
+def test_groups_on_given_tables_match_brute_force(spark, small):
+    """Weighted Jaccard similarity of five-word shingles over all pairs that share one: every pair from 0.8 on is grouped, and nothing else."""
+    path = small.replace("sf0.001", "sf0.01")
+    docs = [(r.doc_id, r.text or "") for r in read_table(spark, path, "documents").select("doc_id", "text").collect()]
+    words = [t.encode().lower().split() for _, t in docs]
+    bags = [Counter([b" ".join(w[i : i + 5]) for i in range(len(w) - 4)] or ([b" ".join(w)] if w else [])) for w in words]
+    held = defaultdict(list)
+    for i, bag in enumerate(bags):
+        for s, n in bag.items():
+            held[s].append((i, n))
+    shared = Counter()
+    for rows in held.values():
+        for k, (i, n) in enumerate(rows):
+            for j, m in rows[:k]:
+                shared[j, i] += min(n, m)
+    sizes = [sum(b.values()) for b in bags]
+    near = [p for p, w in shared.items() if w >= 0.8 * (sizes[p[0]] + sizes[p[1]] - w) - 1e-9]
+    root = list(range(len(docs)))
+    while any(root[i] != root[j] for i, j in near):
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark, read_table(spark, path, "documents")).where("size > 0").collect()}
+    grouped = sum(got[docs[i][0]] == got[docs[j][0]] for i, j in near)
+    assert len(near) > 50 and grouped >= 0.95 * len(near)
+    least = defaultdict(lambda: 1 << 60)
+    for (d, _), r in zip(docs, root):
+        least[r] = min(least[r], d)
+    assert all(least[r] <= got[d] for (d, _), r in zip(docs, root) if d in got)  # never a wider group than the brute force's
+
+
 def test_components_that_do_not_settle_are_an_error(spark, monkeypatch):
     chain = spark.createDataFrame([(i + 1, i) for i in range(200)], "a long, b long")
     got = {r.node: r.root for r in components(Scratch(spark, "t"), chain).collect()}
