@@ -161,7 +161,8 @@ def _candidates(prints: DataFrame, items: DataFrame) -> DataFrame:
     differ = [f"({a} ^ {b})" for a, b in zip(f, g)]
     hamming = F.expr(" + ".join(f"bit_count({d})" for d in differ))
     telling = F.expr(f"array_position(array({', '.join(f'bit_count({b}) <= {FLIPS}' for b in blocks(differ))}), true) - 1")
-    met = keyed.join(index, ["n", "block", "bits"]).where((telling == F.col("block")) & (hamming <= RADIUS))
+    # a shuffle unless its real size is small: an estimate would leave the flips out and broadcast an index of any size
+    met = keyed.join(index.hint("merge"), ["n", "block", "bits"]).where((telling == F.col("block")) & (hamming <= RADIUS))
     return met.select("row_id", "doc_id", "n", "size", "part", "window", "item", hamming.alias("hamming"))
 
 
