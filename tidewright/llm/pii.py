@@ -65,6 +65,8 @@ _LOOSE_LOCAL = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
 _LOOSE_DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?|\x20dot\x20)[A-Za-z0-9-]{1,63}){1,8}")
 _DOT = re.compile(r"\x20?(?:\(dot\)|\[dot\])\x20?|\x20dot\x20")
 _RUN = 256
+#: What any candidate holds; a text without it has none.
+_ANY = re.compile(r"[0-9@]|[(\[]at[)\]]|\x20at\x20")
 
 
 def _digits(s: str) -> str:
@@ -357,14 +359,14 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def fit_field(docs: DataFrame) -> SkipChainField:
-    """Weights from all documents with a digit or an @, or a text that says at.
+    """Weights from all documents that may hold a candidate.
 
     Equal rows are counted where they arise and combined before the shuffle.
     Only their distinct kinds with counts reach the driver; these are patterns of
     yes-no features and of small neighbour counts, not documents.  Null texts have
     no candidates, and an empty table gives the field as it is before any data.
     """
-    texts = docs.select("text").where(F.col("text").rlike(r"[0-9@]|[Aa][Tt]"))
+    texts = docs.select("text").where(F.col("text").rlike(_ANY.pattern))
     counted = texts.mapInArrow(_training_rows, "row array<long>, many long").groupBy("row").agg(F.sum("many").alias("many")).collect()
     if not counted:
         return SkipChainField()
@@ -392,6 +394,8 @@ def measured(docs: Iterator[str], field: SkipChainField) -> dict[str, tuple[int,
 
 def spans_of(text: str, field: SkipChainField) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and all spans with those that the field adds."""
+    if not _ANY.search(text):
+        return [], []
     base = base_spans(text)
     graph = Graph(text, base)
     if len(graph.nodes) == len(base):
