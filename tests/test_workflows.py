@@ -3,6 +3,7 @@
 import itertools
 import json
 import os
+import shutil
 import threading
 
 import pytest
@@ -584,3 +585,37 @@ def test_missing_watched_file_as_a_value(tmp_path):
     assert [f.get("state") for f in seen] == [None, "missing"]
     assert code(observe_files, ("sub/b.txt",), tmp_path / "r", None) == "watched_file_unreadable"
     assert code(observe_files, ("../b.txt",), tmp_path / "r", None, missing_is_value=True) == "watched_file_outside_root"
+
+
+def test_tables_may_lie_in_any_spark_folder(spark, tmp_path):
+    """Nothing is renamed where the rows lie; a note in the mounted folder publishes them."""
+    from tidewright.sources.far import FarStore
+
+    def w(keep):
+        a = stage("a", lambda c: spark.range(c.inputs["keep"]), inputs={"keep": keep}, revision="1")
+        return Workflow("frames", [a, stage("n", lambda c: c.outputs["a"].count(), depends={"a": a}, revision="1")], tmp_path)
+
+    far = tmp_path / "far"
+    made = lambda: FarStore(tmp_path / "h", f"file://{far}")
+    first = prepare(w(50), made(), spark).execute()
+    second = prepare(w(50), made(), spark, baseline="latest").execute()
+    assert [s["status"] for s in second["stages"]] == ["reused", "reused"]
+    assert History(made()).output(second["id"], "a", spark).count() == 50
+    prepare(w(50), made(), spark).execute()  # the same rows again: the staged folder goes, the first stays
+    assert len(list(far.iterdir())) == 1 and not (tmp_path / "h/objects" / first["stages"][0]["output"]["hash"][7:]).exists()
+    assert History(made()).compare(first["id"], second["id"], "a", spark)["equal"]
+    for part in far.rglob("part-*.parquet"):
+        data = bytearray(part.read_bytes())
+        data[4:20] = bytes(b ^ 0xFF for b in data[4:20])
+        part.write_bytes(bytes(data))
+    for crc in far.rglob(".*.crc"):
+        crc.unlink()
+    third = prepare(w(50), made(), spark, baseline="latest").execute()
+    assert [(s["status"], s["actual"]["reason"]) for s in third["stages"]] == [("succeeded", "reuse_unavailable"), ("reused", "reused")]
+    assert len(list((tmp_path / "h/quarantine").iterdir())) == 1 and History(made()).output(third["id"], "a", spark).count() == 50
+    bounded = prepare(Workflow("w", [stage("a", lambda c: spark.range(100))], tmp_path), made(), spark, table_rows=9).execute()
+    assert bounded["status"] == "failed" and len(list(far.iterdir())) == 2
+    assert prepare(w(50), made(), baseline="latest").preview[0]["reason"] == "reuse_unavailable"
+    (next(far.iterdir())).rename(tmp_path / "elsewhere")
+    shutil.rmtree(far)
+    assert code(History(made()).output, third["id"], "a", spark) == "output_corrupt"
