@@ -399,6 +399,11 @@ def test_more_validation_codes(tmp_path):
     assert code(Workflow, "w", [stage("a", lambda c: 1, revision=" ")]) == "empty_implementation"
     assert code(Workflow, "w", [stage("a", lambda c: 1, revision="1", selectors=("/x", "/x"))]) == "duplicate_input"
     assert code(Workflow, "w", [stage("a", lambda c: 1, revision="1", selectors=("x",))]) == "invalid_input_pointer"
+    for contracts in ({"/x": " "}, {"/x": "required-json-v1", "/y": "required-json-v1"}):
+        assert code(Workflow, "w", [stage("a", lambda c: 1, revision="1", selectors=("/x",), contracts=contracts)]) == "invalid_input_contract"
+    assert code(Workflow, "w", [stage("a", lambda c: 1, revision="1", volatile=True)]) == "invalid_cache_policy"
+    assert code(lambda: Workflow("w", [stage("a", lambda c: 1, revision="1")], require_watch=True)) == "missing_watch"
+    Workflow("w", [stage("a", lambda c: 1)], require_watch=True)
     made = Workflow("w", [stage("a", lambda c: 1)])
     assert code(made.add, stage("b", lambda c: 1)) == "sealed_workflow"
     x = stage("x", lambda c: 1)
@@ -409,6 +414,15 @@ def test_more_validation_codes(tmp_path):
     assert {c for c, _ in e.value.context["issues"]} == {"duplicate_env", "invalid_env", "cycle"}
 
 
+def test_volatile_stages_and_contracts(tmp_path):
+    w = lambda kind: Workflow("w", [stage("a", lambda c: c.inputs["x"], inputs={"x": 1}, selectors={"/x": kind}, revision="1"), stage("b", lambda c: 1, volatile=True)], tmp_path)
+    prepare(w("required-json-v1"), tmp_path / "h").execute()
+    again = prepare(w("required-json-v1"), tmp_path / "h", baseline="latest", propagation="conservative")
+    assert [s["reason"] for s in again.preview] == ["fingerprint_match", "volatile_stage"]
+    other = prepare(w("required-number-v1"), tmp_path / "h", baseline="latest")
+    assert [s["reason"] for s in other.preview] == ["influences_changed", "reuse_not_enabled"]
+
+
 def test_stages_are_not_kept_alive():
     import gc
     import weakref

@@ -24,8 +24,10 @@ class Stage:
     depends maps binding names to stages; run(ctx) returns a JSON value or a
     DataFrame.  A stage is reusable when it names a ``revision`` of its code;
     then its inputs, environment names, watched files and dependencies' outputs
-    are its influences.  ``order`` gives a total key of a DataFrame output whose
-    row order matters.
+    are its influences.  ``selectors`` narrow the inputs to JSON pointers, with a
+    contract each where they are given as a mapping.  A ``volatile`` stage says
+    that its result may differ between runs; it can't name a revision.  ``order``
+    gives a total key of a DataFrame output whose row order matters.
     """
 
     id: str
@@ -36,6 +38,8 @@ class Stage:
     watch: tuple[str, ...] = ()
     revision: str | None = None
     selectors: tuple[str, ...] | None = None
+    contracts: dict[str, str] = field(default_factory=dict)
+    volatile: bool = False
     order: tuple[str, ...] = ()
 
     @property
@@ -54,6 +58,8 @@ def stage(id: str, run: Callable[[Any], Any] | None = None, **declared: Any):
         raise WorkflowError("invalid_stage_id", "stage", stage=id)
     if not callable(run):
         raise WorkflowError("invalid_callback", "stage", stage=id)
+    if isinstance(declared.get("selectors"), dict):
+        declared["contracts"] = {**declared["selectors"], **(declared.get("contracts") or {})}
     for key in ("env", "watch", "selectors", "order"):
         if declared.get(key) is not None:
             declared[key] = tuple(declared[key])
@@ -68,7 +74,7 @@ def id_of(s: Stage) -> int:
     return id(s)
 
 
-def _issues(stages: list[Stage]) -> list[tuple[str, str]]:
+def _issues(stages: list[Stage], watched: bool) -> list[tuple[str, str]]:
     found, seen = [], set()
     known = {id_of(s) for s in stages}
     for s in stages:
@@ -103,6 +109,13 @@ def _issues(stages: list[Stage]) -> list[tuple[str, str]]:
                 parts(pointer)
             except (WorkflowError, AttributeError):
                 found.append(("invalid_input_pointer", f"{s.id} {pointer}"))
+        for pointer, contract in s.contracts.items():
+            if pointer not in (s.selectors or ()) or not isinstance(contract, str) or not contract.strip():
+                found.append(("invalid_input_contract", f"{s.id} {pointer}"))
+        if not isinstance(s.volatile, bool) or (s.volatile and s.revision is not None):
+            found.append(("invalid_cache_policy", s.id))
+        if watched and s.revision is not None and not s.watch:
+            found.append(("missing_watch", s.id))
         if s.revision is not None and not isinstance(s.revision, str):
             found.append(("invalid_revision", s.id))
         elif s.revision is not None and not s.revision.strip():
@@ -146,16 +159,19 @@ def cycle_path(stages: list[Stage]) -> list[str]:
 
 
 class Workflow:
-    """A validated graph; stages are in topological order."""
+    """A validated graph; stages are in topological order.
 
-    def __init__(self, id: str, stages: Iterable[Stage], root: str | Path = "."):
+    With ``require_watch`` every reusable stage must watch a file, as the older planner asks.
+    """
+
+    def __init__(self, id: str, stages: Iterable[Stage], root: str | Path = ".", require_watch: bool = False):
         stages = list(stages)
         if not isinstance(id, str) or not NAME.match(id):
             raise WorkflowError("invalid_workflow_id", "workflow", workflow=id)
         if not stages:
             raise WorkflowError("empty_workflow", "workflow", workflow=id)
         self.id, self.root = id, Path(root).resolve()
-        if issues := _issues(stages):
+        if issues := _issues(stages, require_watch):
             raise WorkflowError(issues[0][0], "workflow", f"{len(issues)} issues", issues=issues)
         self.stages = topological(stages)
         self.by_id = {s.id: s for s in self.stages}

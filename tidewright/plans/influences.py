@@ -90,7 +90,7 @@ def table_snapshot(path: str | Path, strict: bool = True) -> list[dict[str, Any]
 def components(stage: Stage, inputs: dict[str, Any], env: dict[str, str], outputs: dict[str, str | None], root: Path, history: Path | None, absolute: bool = False) -> dict[str, str]:
     """Digests by component.  outputs: hash of each dependency's output by stage id; None while unknown."""
     bindings = [{"name": name, "stageId": t.id, "hash": outputs.get(t.id)} for name, t in sorted(stage.depends.items())]
-    own = inputs if stage.selectors is None else select_inputs(inputs, list(stage.selectors))
+    own = inputs if stage.selectors is None else select_inputs(inputs, {p: stage.contracts.get(p, "required-json-v1") for p in stage.selectors})
     bodies = {
         "contract": {"contract": CONTRACT, "order": list(stage.order)},
         "inputs": own,
