@@ -104,9 +104,11 @@ def pack_documents(
     No shuffle: each partition packs its own rows, and sequence_id is unique
     through the partition's number in its high bits.  A window pads less than
     one sequence.  Null texts are empty and still get their end id, so every row
-    has a piece.  Rows with null or equal doc_ids are packed like others.  An
-    empty table gives no sequences.  A single document longer than the window is
-    packed whole, in as much memory as its ids take.
+    has a piece.  Rows with null or equal doc_ids are packed like others.  Equal
+    lengths are taken in the order they came, equal costs by the lower sequence.
+    Other columns, whatever their names, are ignored.  An empty table gives no
+    sequences.  A single document longer than the window is packed whole, in as
+    much memory as its ids take.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(_packer(tokenizer, keep_space, end_id, capacity, window, with_ids), SCHEMA + ", ids binary" * with_ids)

@@ -469,6 +469,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three-word shingles, 64 bits, radius 2, exact search."""
+    """Three-word shingles, 64 bits, radius 2, exact search: one row per row of ``documents``.
+
+    Texts without words have fingerprint zero and link like any other.
+    component_id is null only where no linked row has a doc_id.
+    """
     found = near_duplicates(spark, read_table(spark, sf_dir, "documents"), shingle_words=3, width=1, radius=2, similarity=None)
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
