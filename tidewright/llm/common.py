@@ -108,8 +108,9 @@ def _files(df: DataFrame) -> list[str] | None:
     names = [roots.apply(i).toString() for i in range(roots.size())]
     if any(a == b or b.startswith(a.rstrip("/") + "/") for a in names for b in names if a is not b):
         return None
-    found = df.select("_metadata.file_path").distinct().limit(FILES + 1).collect()
-    return sorted(r.file_path for r in found) if len(found) <= FILES else None
+    if len(df.inputFiles()) > FILES:
+        return None
+    return sorted(r.file_path for r in df.select("_metadata.file_path").distinct().collect())
 
 
 def numbered(scratch: Scratch, df: DataFrame, name: str = "row_id", label: str = "rows") -> DataFrame:
