@@ -300,6 +300,14 @@ def test_candidates_without_an_anchor_are_judged(spark, tables):
     assert pii.spans_of(text, field) == ([], [("phone", 12, 24)])
 
 
+def test_repeats_without_evidence_are_left(spark, tables):
+    """Mentions of one number that only tie to each other don't talk each other into a label."""
+    field = pii.fit_field(read_table(spark, tables(list(enumerate(personal_texts(600, 1)))), "documents"))
+    assert not pii.luhn("5927243074273352")
+    for text in ("ABC 5927243074273352!! " * 6, "build 20240123456 of " * 9, "rows 12, 13, 14, 15 and " * 5):
+        assert pii.spans_of(text, field) == ([], [])
+
+
 def test_planting_keeps_the_rest_and_tells_places():
     for text in personal_texts(200, 5):
         made, planted = pii.plant(text, pii.base_spans(text))

@@ -200,8 +200,8 @@ class SkipChainField:
 
     @staticmethod
     def prior_skip() -> np.ndarray:
-        """Before any data: two mentions of an entity agree."""
-        return np.diag([0.0, 3.0, 3.0, 3.0, 3.0])
+        """Before any data: two mentions of one content agree, on none as on a kind."""
+        return np.diag([3.0, 3.0, 3.0, 3.0, 3.0])
 
     def fit(self, x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray, many: np.ndarray | None = None, steps: int = 600, ridge: float = 0.5) -> SkipChainField:
         """Pseudo-likelihood: each node given its neighbours' labels, by gradient ascent with momentum; row i stands for many[i] nodes."""
@@ -290,7 +290,8 @@ def plant(text: str, base: list[tuple[str, int, int]]) -> tuple[str, list[tuple[
 
     Of four base spans, about one is left, one replaced by another dress behind a
     cue word, one mentioned again in another dress some way behind or at the end,
-    and one gets a decoy there.  Spans that overlap one before are left.
+    and one gets a decoy there, every other time twice, for repeats alone tell
+    nothing either.  Spans that overlap one before are left.
     """
     seed, edits, last = zlib.crc32(text.encode("utf-8", "replace")), [], -1
     for k, (kind, a, b) in enumerate(base):
@@ -306,7 +307,14 @@ def plant(text: str, base: list[tuple[str, int, int]]) -> tuple[str, list[tuple[
         elif way > 1:
             at = text.find(" ", b + 90 + how % 400)
             at = len(text) if at < 0 else at
-            edits.append((at, at, " ", _dressed(kind, s if way == 2 else _other(kind, s, how), how >> 4), kind if way == 2 else "none"))
+            if way == 2:
+                edits.append((at, at, " ", _dressed(kind, s, how >> 4), kind))
+                continue
+            decoy = _other(kind, s, how)
+            again = text.find(" ", at + 60)
+            edits.append((at, at, " ", _dressed(kind, decoy, how >> 4), "none"))
+            if how % 2:
+                edits.append(((place := len(text) if again < 0 else again), place, " ", _dressed(kind, decoy, how >> 5), "none"))
     out, spans, at, size = [], [], 0, 0
     for a, b, before, s, kind in sorted(edits):
         if a < at:
