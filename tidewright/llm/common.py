@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_folder as shared_dir
 
+#: The C library's call that gives free heap pages back; not every system has it.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: ASCII white space as the text contracts define it.
 SPACES = r"[\x20\x09-\x0D]+"
 #: Row ids that are broadcast: a hashed long takes some 32 bytes, so 32 MB at most.
@@ -74,6 +78,13 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def give_back() -> None:
+    """Returns what a Python worker's Arrow pool and heap hold free, so that workers stay as small as what they do."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

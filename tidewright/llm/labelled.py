@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 #: Texts whose features are held at once.
 BATCH = 256
 
@@ -61,6 +63,7 @@ def score_column(docs: DataFrame, features: Callable[[str], list[float]], score:
                 batch = whole.slice(at, BATCH)
                 x = np.array([features(t or "") for t in batch.column("text").to_pylist()], float)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score(x), pa.float64())], [*batch.schema.names, name])
+            give_back()
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, free_name, numbered, partitions, read_table, small_batches, with_row_id, without_rows
+from .common import Scratch, components, free_name, give_back, numbered, partitions, read_table, small_batches, with_row_id, without_rows
 
 #: Rows of a bucket that are compared as one cell; a larger bucket is sliced.
 CELL = 512
@@ -52,7 +52,7 @@ RADIUS = 92
 #: text in ``DRAWN``.  Any order finds the same pairs; this one keeps buckets small.
 COMMON, MOST_COMMON, DRAWN = 256, 200_000, 16
 #: Shingles of one slice, and columns that are counted at once, when similarities are verified.
-SLICE_SHINGLES, COLUMNS = 1 << 21, 4096
+SLICE_SHINGLES, COLUMNS = 1 << 18, 4096
 #: Candidates whose row ids are broadcast to the stored shingles; beyond, these shuffle.
 BROADCAST_NODES = 1_000_000
 
@@ -112,8 +112,8 @@ def _multisets(words: int, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
                 hashes = [shingle_hashes(t.as_py(), words) for t in batch.column("text")]
                 prints = [fingerprint(h, width) for h in hashes]
                 named = [elements(h) for h in hashes]
@@ -123,6 +123,7 @@ def _multisets(words: int, width: int):
                 cols = [pa.array([p[k] for p in prints], pa.int64()) for k in range(width)]
                 cols += [pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(e) for e in named], pa.int64()), h]
                 yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("doc_id"), *cols], ["row_id", "doc_id", *(f"f{k}" for k in range(width)), "i0", "i1", "size", "h"])
+            give_back()
 
     return run
 
@@ -146,6 +147,7 @@ def _prefixes(similarity: float, common: np.ndarray):
                     keys.append(np.concatenate([h[~late], h[late]])[:n])
                 nodes = np.repeat(batch.column("row_id").to_numpy(), [len(k) for k in keys])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.empty(0, np.int64)])), pa.array(nodes)], ["key", "row_id"])
+            give_back()
 
     return run
 
@@ -190,6 +192,7 @@ def _verified(similarity: float):
                     now, nodes, sets = cell, [], []
                 nodes.append(node)
                 sets.append(h.copy())
+            give_back()
         yield links(nodes, sets)
 
     return run
