@@ -292,19 +292,20 @@ def test_index_blocks_find_all_within_the_radius():
 
 @pytest.mark.parametrize("wide", [16, 32])
 def test_window_fingerprints_match_plain_counts(spark, wide):
-    """Running sums give each window the majority bits of its own shingles."""
+    """Rolling counters give each window the majority bits of its own shingles."""
     rng = random.Random(7)
     hashes = [rng.getrandbits(64) - (1 << 63) for _ in range(40)]
-    size, starts = 9, {0, 3, 4, 17, 31}
-    spots = spark.createDataFrame([(1, 1, size, size, 0, k, h, k in starts) for k, h in enumerate(hashes)], "row_id long, doc_id long, n int, size int, part int, pos int, s long, starts boolean")
-    second = {r.s: r.t for r in spots.selectExpr("s", "xxhash64(s, 1) as t").collect()}
-    got = {r.window: (r.f0, r.f1) for r in decontaminate._prints(spots, wide).collect()}
+    size, starts, low = 9, {5, 8, 9, 22, 36}, 5
+    parts = spark.createDataFrame([(1, 1, size, size, 0, low, sorted(starts), hashes), (2, 2, 40, 40, 0, 3, [3], hashes)], "row_id long, doc_id long, n int, size int, part int, low int, windows array<int>, s array<long>")
+    second = {r.s: r.t for r in spark.createDataFrame([(h,) for h in hashes], "s long").selectExpr("s", "xxhash64(s, 1) as t").collect()}
+    got = {(r.row_id, r.window): (r.f0, r.f1) for r in decontaminate._prints(parts, wide).collect()}
 
     def plain(xs):
         f = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in xs) > len(xs))
         return f - (1 << 64) if f >> 63 else f
 
-    assert got == {a: (plain(hashes[a : a + size]), plain([second[h] for h in hashes[a : a + size]])) for a in starts}
+    want = {(1, a): hashes[a - low : a - low + size] for a in starts} | {(2, 3): hashes}
+    assert got == {k: (plain(xs), plain([second[h] for h in xs])) for k, xs in want.items()}
 
 
 def test_decontamination_tells_what_each_step_leaves(spark, small):

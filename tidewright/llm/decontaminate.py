@@ -2,9 +2,8 @@
 
 A benchmark item of n shingles is looked for in every window of n shingles of
 every document; a document of fewer shingles is one window.  Both sides get
-128-bit SimHash fingerprints.  A window's bit counts are the difference of two
-running sums along the document, kept in packed lanes, so a window costs two rows
-and not its shingles.
+128-bit SimHash fingerprints.  The counters of a window's bits lie packed in a few
+longs and roll along the document, one shingle in and one out at each step.
 
 The index holds the items: of each of their ``BLOCKS`` blocks of 16 bits, every
 value within ``FLIPS`` flipped bits, together with the item's size.  Two
@@ -23,7 +22,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, free_name, numbered, read_table, small, with_row_id, without_rows
@@ -57,31 +56,34 @@ def with_shingles(df: DataFrame, k: int = SHINGLE) -> DataFrame:
     return hashed.select(*rest, F.when(F.size("w") == 0, F.array().cast("array<long>")).when(F.size("w") < k, short).otherwise(rolled).alias("h"))
 
 
-def lanes(h: str, wide: int) -> dict[str, Column]:
-    """Each bit of a shingle's words as a counter of its own, ``wide`` bits long, side by side in longs."""
-    mask = sum(1 << at for at in range(0, 64, wide))
-    return {f"l{word}_{k}": F.expr(f"shiftrightunsigned({h if not word else f'xxhash64({h}, {word})'}, {k}) & {mask}L") for word in range(WORDS) for k in range(wide)}
+def lane_bits(longest: int) -> int:
+    """Width of the counters that lie side by side in a long: wide enough for a window of the longest item, clear of the sign."""
+    return 16 if longest < 1 << 15 else 32
 
 
-def names(wide: int) -> list[str]:
-    return [f"l{word}_{k}" for word in range(WORDS) for k in range(wide)]
+def _lane(x: str, k: str, wide: int) -> str:
+    """Every ``wide``-th bit of a hash from bit k on, each in a counter of its own."""
+    return f"(shiftrightunsigned({x}, {k}) & {sum(1 << at for at in range(0, 64, wide))}L)"
 
 
-def lane_bits(longest: int) -> int:
-    """Width of the counters: running sums go over five item lengths at most and stay clear of the sign."""
-    return 16 if 5 * longest < 1 << 15 else 32
+def _counted(hashes: str, wide: int) -> str:
+    """Sums of all lanes of an array of hashes."""
+    return f"transform(sequence(0, {wide - 1}), k -> aggregate({hashes}, 0L, (a, x) -> a + {_lane('x', 'k', wide)}))"
+
 
+def _word(sums: str, size: str, wide: int) -> str:
+    """A fingerprint's word from summed lanes: a bit is 1 if set in over half of the shingles."""
+    count = f"(shiftrightunsigned({sums}[b % {wide}], b - b % {wide}) & {(1 << wide) - 1}L)"
+    return f"aggregate(sequence(0, 63), 0L, (a, b) -> a | if(2 * {count} > {size}, shiftleft(1L, b), 0L))"
 
-def fingerprint(size: str, wide: int, prefix: str = "f") -> dict[str, Column]:
-    """The words of a fingerprint from summed lanes: a bit is 1 if set in over half of the shingles."""
-    out = {}
-    for word in range(WORDS):
-        bits = []
-        for at in range(64):
-            count = f"(shiftrightunsigned(l{word}_{at % wide}, {at - at % wide}) & {(1 << wide) - 1}L)"
-            bits.append(f"if(2 * {count} > {size}, shiftleft(1L, {at}), 0L)")
-        out[f"{prefix}{word}"] = F.expr(" | ".join(bits))
-    return out
+
+def _rolled(hashes: str, wide: int) -> str:
+    """Words of all windows of ``size`` hashes along an array: the counters take one shingle in and one out at each step."""
+    steps = f"if(size({hashes}) > size, sequence(1, size({hashes}) - size), cast(array() as array<int>))"
+    moved = f"transform(sequence(0, {wide - 1}), k -> st.sums[k] + {_lane(f'{hashes}[i + size - 1]', 'k', wide)} - {_lane(f'{hashes}[i - 1]', 'k', wide)})"
+    begin = f"named_struct('sums', {_counted(f'slice({hashes}, 1, size)', wide)}, 'words', cast(array() as array<bigint>))"
+    done = f"array_append(st.words, {_word('st.sums', 'size', wide)})"
+    return f"aggregate({steps}, {begin}, (st, i) -> named_struct('sums', {moved}, 'words', {done}), st -> {done})"
 
 
 def blocks(words: list[str]) -> list[str]:
@@ -99,11 +101,15 @@ def least_shared(n: Column, size: Column, similarity: float) -> Column:
     return F.ceil((n + size) * (similarity / (1 + similarity)) - 1e-9).cast("int")
 
 
+def _second(hashes: str) -> Column:
+    """Independent hashes for a fingerprint's second word."""
+    return F.expr(f"transform({hashes}, x -> xxhash64(x, 1))")
+
+
 def _item_prints(items: DataFrame, wide: int) -> DataFrame:
     """(item, n, g0, g1): the items' fingerprints."""
-    rows = items.select("item", "n", F.explode("h").alias("s")).select("item", "n", *[c.alias(k) for k, c in lanes("s", wide).items()])
-    sums = rows.groupBy("item", "n").agg(*[F.sum(k).alias(k) for k in names(wide)])
-    return sums.select("item", "n", *[c.alias(k) for k, c in fingerprint("n", wide, "g").items()])
+    counted = items.select("item", "n", "h", _second("h").alias("h1")).select("item", "n", *[F.expr(_counted(h, wide)).alias(f"c{k}") for k, h in enumerate(("h", "h1"))])
+    return counted.select("item", "n", *[F.expr(_word(f"c{k}", "n", wide)).alias(f"g{k}") for k in range(WORDS)])
 
 
 def _starts(similarity: float) -> Column:
@@ -139,16 +145,12 @@ def _windows(rows: DataFrame, vocabulary: DataFrame, shingle: int, similarity: f
     return parts.select("row_id", "doc_id", "n", "size", "part", _starts(similarity).alias("windows")).where(F.size("windows") > 0)
 
 
-def _prints(spots: DataFrame, wide: int) -> DataFrame:
-    """(row_id, doc_id, n, size, part, window, f0, f1): fingerprints of the windows, by running sums along each stretch."""
-    key, named = ["row_id", "doc_id", "n", "size", "part"], names(wide)
-    along = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    summed = spots.select(*key, "pos", "starts", *[F.sum(c).over(along).alias(k) for k, c in lanes("s", wide).items()])
-    # the sum up to a window's last place counts for it, the sum before its first place against it; zeros tell where windows start
-    ends = F.expr("explode(array(struct(pos - size + 1 as window, 1L as sign, false as begun), struct(pos + 1 as window, -1L as sign, false as begun), struct(pos as window, 0L as sign, starts as begun)))")
-    signed = summed.select(*key, *named, ends.alias("end")).select(*key, "end.window", "end.begun", *[F.expr(f"{k} * end.sign").alias(k) for k in named])
-    sums = signed.groupBy(*key, "window").agg(F.bool_or("begun").alias("begun"), *[F.sum(k).alias(k) for k in named]).where("begun")
-    return sums.select(*key, "window", *[c.alias(k) for k, c in fingerprint("size", wide).items()])
+def _prints(parts: DataFrame, wide: int) -> DataFrame:
+    """(row_id, doc_id, n, size, part, window, f0, f1): fingerprints of the windows, by counters that roll along each stretch."""
+    key = ["row_id", "doc_id", "n", "size", "part"]
+    rolled = parts.select(*key, "low", "windows", "s", _second("s").alias("s1")).select(*key, "low", "windows", *[F.expr(_rolled(h, wide)).alias(f"w{k}") for k, h in enumerate(("s", "s1"))])
+    each = "transform(windows, w -> struct(w as window, w0[w - low] as f0, w1[w - low] as f1))"
+    return rolled.select(*key, F.explode(F.expr(each)).alias("p")).select(*key, "p.window", "p.f0", "p.f1")
 
 
 def _candidates(prints: DataFrame, items: DataFrame) -> DataFrame:
@@ -195,24 +197,23 @@ def _find(scratch: Scratch, rows: DataFrame, benchmark: DataFrame, shingle: int
     wanted = scratch.write(spans.select("row_id").distinct(), "wanted")
     full = with_shingles(rows.select("row_id", "text").join(small(wanted), "row_id", "left_semi"), shingle)
     low, high = F.array_min("windows"), F.array_max("windows") + F.col("size")
-    placed = spans.join(full, "row_id").select("row_id", "doc_id", "n", "size", "part", "windows", low.alias("low"), F.posexplode(F.slice("h", low + 1, high - low)).alias("at", "s"))
-    placed = placed.withColumn("pos", F.col("low") + F.col("at"))
-    spots = scratch.write(placed.select("row_id", "doc_id", "n", "size", "part", "pos", "s", F.array_contains("windows", F.col("pos")).alias("starts")), "spots")
+    parts = spans.join(full, "row_id").select("row_id", "doc_id", "n", "size", "part", "windows", low.alias("low"), F.slice("h", low + 1, high - low).alias("s"))
+    parts = scratch.write(parts, "parts")
     wide = lane_bits(items.agg(F.max("n")).first()[0] or 0)
-    prints = scratch.write(_prints(spots, wide), "prints")
+    prints = scratch.write(_prints(parts, wide), "prints")
     pairs = scratch.write(_candidates(prints, _item_prints(items, wide)), "pairs")
-    matches = _verify(spots, items, pairs, similarity)
+    matches = _verify(parts, items, pairs, similarity)
     if told is not None:
         matches = scratch.write(matches, "matches")
         told |= {"windows": prints.count(), "candidates": pairs.count(), "matches": matches.count()}
     return matches
 
 
-def _verify(spots: DataFrame, items: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+def _verify(parts: DataFrame, items: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The best window of each document and item that reaches the similarity, by shared weight: the sum of smaller counts."""
     key = ["row_id", "doc_id", "n", "size", "window", "item", "hamming"]
-    inside = (F.col("pos") >= F.col("window")) & (F.col("pos") < F.col("window") + F.col("size"))
-    held = pairs.join(spots.select("row_id", "n", "part", "pos", "s"), ["row_id", "n", "part"]).where(inside).groupBy(*key, "s").agg(F.count("*").alias("here"))
+    inside = F.explode(F.slice("s", F.col("window") - F.col("low") + 1, F.col("size")))
+    held = pairs.join(parts.select("row_id", "n", "part", "low", "s"), ["row_id", "n", "part"]).select(*key, inside.alias("s")).groupBy(*key, "s").agg(F.count("*").alias("here"))
     own = items.select("item", "item_id", F.explode("h").alias("s")).groupBy("item", "item_id", "s").agg(F.count("*").alias("there"))
     shared = held.join(own, ["item", "s"]).groupBy(*key, "item_id").agg(F.sum(F.least("here", "there")).alias("shared"))
     judged = shared.withColumn("similarity", F.col("shared") / (F.col("size") + F.col("n") - F.col("shared"))).where(F.col("similarity") >= similarity)
