@@ -22,6 +22,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 BROADCAST_IDS = 1_000_000
 #: Files that the rows of a scan are named by; their paths are broadcast, some 300 bytes each.
 FILES = 100_000
+#: Rows that a scan decodes at once while tables are stored: whole texts and long arrays make wide rows.
+SCAN_ROWS = 512
 #: Rounds of contraction after which the components count as not found.
 ROUNDS = 500
 
@@ -58,7 +60,8 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        with setting(self.spark, "spark.sql.parquet.columnarReaderBatchSize", SCAN_ROWS):
+            df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -67,17 +70,21 @@ class Scratch:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
-    """Hands Python few rows at a time while tables with wide rows are written."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def setting(spark: SparkSession, name: str, most: int) -> Iterator[None]:
+    """Holds a number of the session at ``most`` or below while something runs."""
     before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    spark.conf.set(name, str(min(most, int(before)) if int(before) > 0 else most))
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def small_batches(spark: SparkSession, rows: int = 1024):
+    """Hands Python few rows at a time while tables with wide rows are written."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def give_back() -> None:
     """Returns what a Python worker's Arrow pool and heap hold free, so that workers stay as small as what they do."""
     pa.default_memory_pool().release_unused()
