@@ -23,6 +23,18 @@ def test_query_matches_sql(spark, small, name):
     assert rows(got) == rows(want)
 
 
+def test_redacted_texts_match_sql(spark, tmp_path):
+    """Named secrets, white space that engines differ on, links at the end of a text, and nulls."""
+    texts = ["token = abc d", "api_key:x password=y\x0bz", "token\x0b= abc token\u00a0=b", "see https://a.b/c\x0bd e\x7f", "jo@ex.org token=jo@ex.org", "é" * 700 + " token: \U0001f600", "apikey=\\1$2", "", None]
+    rows = [(i, t) for i, t in enumerate(texts * 4)] + [(None, "token=a"), (-4, "token=a"), (-3, "b")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(CATALOGUE.oracle_sql()["redact_text"]).fetchall()
+    got = CATALOGUE.queries()["redact_text"](spark, str(tmp_path)).select("doc_id", "redacted_md5", "preview").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_flagship(spark, small):
     rows = {(r.run, r.stage_id): (r.status, r.reason) for r in entry.entry(spark).collect()}
     assert rows["changed", "load"] == rows["changed", "totals"] == ("reused", "reused")

@@ -31,14 +31,17 @@ def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df.withColumn("violations", F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items()])))
 
 
-def redact(text: Column, secrets: tuple[str, ...] = ()) -> Column:
-    """Addresses, named secrets, given secrets and URLs replaced, control characters as spaces."""
+def redact(text: Column, secrets: tuple[str, ...] = (), named: str = "$1$2[redacted]", spaces: str = r"\s") -> Column:
+    """Addresses, named secrets, given secrets and URLs replaced, control characters as spaces.
+
+    ``named`` is what stands for a named secret, its name ($1) and sign ($2) included; ``spaces`` are the members of white space.
+    """
     clean = text
     for s in secrets:
         clean = F.replace(clean, F.lit(s), F.lit("[redacted]"))
     clean = F.regexp_replace(clean, MAIL, "[redacted]")
-    clean = F.regexp_replace(clean, SECRET, "$1$2[redacted]")
-    clean = F.regexp_replace(clean, r"https?://\S+", "[redacted URL]")
+    clean = F.regexp_replace(clean, SECRET.replace(r"[^\s]", f"[^{spaces}]").replace(r"\s", f"[{spaces}]"), named)
+    clean = F.regexp_replace(clean, rf"https?://[^{spaces}]+", "[redacted URL]")
     return F.regexp_replace(clean, CONTROL, " ")
 
 
