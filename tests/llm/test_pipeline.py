@@ -43,6 +43,17 @@ def test_odd_and_empty_tables(spark, odd, empty):
     assert set(rows.columns) >= {"doc_id", "start", "length", "sequence_id", "offset"} and rows.count() > 0
 
 
+def test_stages_begin_with_collected_heaps(spark, empty):
+    """What one stage throws away is not held through the next; here driver and executor are one JVM."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = read_table(spark, empty, "documents")
+    for _, stage in corpus_pipeline.STAGES:
+        before = full()
+        stage(spark, docs, empty)
+        assert full() > before
+
+
 def test_registered():
     names = list(queries())
     assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{k}" for k in range(1, 11)] and "pipeline" in names

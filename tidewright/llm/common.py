@@ -92,6 +92,17 @@ def give_back() -> None:
         _TRIM(0)
 
 
+def settle(spark: SparkSession) -> None:
+    """Has every executor collect its garbage in full, once, and so give back what its heap and buffers hold free.
+
+    A heap grows with what is thrown away and hardly shrinks by itself, and buffers outside
+    it stay until their owners are collected; over many jobs that adds up beside Python workers.
+    A task a core reaches all executors that have one free; it takes some tenths of a second.
+    """
+    n = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
