@@ -29,3 +29,11 @@ def test_same_ids_as_whole_texts(name, keep, cache, monkeypatch):
     got = [x for at in range(0, len(texts), 7) for x in own.encode(texts[at : at + 7])]
     want = [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
     assert [t for t, a, b in zip(texts, got, want) if a != b] == []
+
+
+def test_words_go_when_a_task_ends():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with tokens.encoding(path, False) as enc:
+        enc.encode(["some words, and some more"])
+        assert enc.new
+    assert tokens.encoder(path, False) is enc and not enc.new and not enc.old

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
-from .tokens import encoder
+from .tokens import encoding
 
 #: Ids that are packed together.
 WINDOW = 1 << 20
@@ -59,7 +59,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def _packer(tokenizer: str, keep_space: bool, end_id: int, capacity: int, window: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer, keep_space), np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4").tobytes()
         base = TaskContext.get().partitionId() << 36
         names: list = []
         ids: list[bytes] = []
@@ -81,17 +81,18 @@ def _packer(tokenizer: str, keep_space: bool, end_id: int, capacity: int, window
             labels = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], labels)
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                some = batch.slice(at, BATCH)
-                for doc_id, raw in zip(some.column("doc_id").to_pylist(), enc.encode([t or "" for t in some.column("text").to_pylist()])):
-                    names.append(doc_id)
-                    ids.append(raw + end)
-                    held += len(ids[-1]) // 4
-                    if held >= window:
-                        yield flush()
-        if held:
-            yield flush()
+        with encoding(tokenizer, keep_space) as enc:
+            for batch in batches:
+                for at in range(0, batch.num_rows, BATCH):
+                    some = batch.slice(at, BATCH)
+                    for doc_id, raw in zip(some.column("doc_id").to_pylist(), enc.encode([t or "" for t in some.column("text").to_pylist()])):
+                        names.append(doc_id)
+                        ids.append(raw + end)
+                        held += len(ids[-1]) // 4
+                        if held >= window:
+                            yield flush()
+            if held:
+                yield flush()
 
     return run
 

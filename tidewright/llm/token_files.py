@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, partitions, read_table, with_row_id
-from .tokens import encoder
+from .tokens import encoder, encoding
 
 NULL_ID = -(1 << 63)
 #: Texts encoded at once.
@@ -75,9 +75,9 @@ def write_partition(path: str, part: int, docs: Iterator[tuple[int | None, bytes
 
 def _writer(path: str, tokenizer: str, keep_space: bool, end_id: int, id_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, enc, end = TaskContext.get().partitionId(), encoder(tokenizer, keep_space), np.array([end_id], "<u4").tobytes()
+        part, end = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
 
-        def docs():
+        def docs(enc):
             for batch in batches:
                 for at in range(0, batch.num_rows, BATCH):
                     some = batch.slice(at, BATCH)
@@ -85,7 +85,8 @@ def _writer(path: str, tokenizer: str, keep_space: bool, end_id: int, id_bytes:
                     for doc_id, ids in zip(some.column("doc_id").to_pylist(), enc.encode(texts)):
                         yield doc_id, ids + end
 
-        n, ids = write_partition(path, part, docs(), id_bytes)
+        with encoding(tokenizer, keep_space) as enc:
+            n, ids = write_partition(path, part, docs(enc), id_bytes)
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([ids], pa.int64())], ["part", "docs", "ids"])
 
     return run

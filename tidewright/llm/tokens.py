@@ -1,4 +1,4 @@
-"""Whole-text encoding with the tokenizers library, each distinct word encoded once a worker.
+"""Whole-text encoding with the tokenizers library, each distinct word encoded once a task.
 
 Both vocabularies split a text into pieces before any merge, and a space before
 a non-space always starts a new piece.  So a text is cut at its spaces, the
@@ -13,13 +13,17 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 from tokenizers import Tokenizer  # noqa: E402
 
-#: Words that a worker remembers (some 200 bytes each).  Beyond, a new generation begins, and words met again move into it.
+from .common import give_back  # noqa: E402
+
+#: Words that a task remembers (some 200 bytes each).  Beyond, a new generation begins, and words met again move into it.
 CACHE = 700_000
 TAIL = ".,;:!?"
 #: A space between white space: there a cut would be wrong.  The first pattern is quick to rule it out.
@@ -41,8 +45,10 @@ class Encoder:
         self.lowers = any(n["type"] == "Lowercase" for n in (made.get("normalizer") or {}).get("normalizers", []))
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.space = " " if keep_space else ""
-        self.new: dict = {}
-        self.old: dict = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.new, self.old = {}, {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
@@ -125,6 +131,17 @@ class Encoder:
         return out
 
 
+@contextmanager
+def encoding(path: str, keep_space: bool) -> Iterator[Encoder]:
+    """The encoder for one task.  Its words go when the task ends, so that a worker does not hold them through stages of other kinds."""
+    enc = encoder(path, keep_space)
+    try:
+        yield enc
+    finally:
+        enc.forget()
+        give_back()
+
+
 def encoder(path: str, keep_space: bool) -> Encoder:
     """The encoder of this process, kept between tasks of a reused worker."""
     if (path, keep_space) not in _open:
