@@ -31,6 +31,19 @@ def test_same_ids_as_whole_texts(name, keep, cache, monkeypatch):
     assert [t for t, a, b in zip(texts, got, want) if a != b] == []
 
 
+@pytest.mark.parametrize("name,keep", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_new_words_skip_the_whole_library(name, keep, monkeypatch):
+    """Words of letters, with and without accents and marks behind them, go to the library's model at once."""
+    own, seen = tokens.Encoder(public_tokenizers.path(name), keep), []
+    whole = own.whole
+    monkeypatch.setattr(own, "whole", lambda texts: seen.extend(texts) or whole(texts))
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdeéßñüThwr", k=rng.randint(3, 12))) for _ in range(3000)]
+    text = " ".join(w + rng.choice(["", "", ",", "."]) for w in words)
+    want = np.array(Tokenizer.from_file(public_tokenizers.path(name)).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert own.encode([text]) == [want] and len(seen) < 10
+
+
 def test_words_go_when_a_task_ends():
     path = public_tokenizers.path("word_bpe_49k.json")
     with tokens.encoding(path, False) as enc:

@@ -2,8 +2,10 @@
 
 Both vocabularies split a text into pieces before any merge, and a space before
 a non-space always starts a new piece.  So a text is cut at its spaces, the
-chunks are looked up in a bounded cache, and only new chunks go to the library,
-in batches.  Where the cut would not be exact (a space within a run of white space,
+chunks are looked up in a bounded cache, and only new chunks go to the library.
+A new word of plain letters is one piece that no normaliser changes, so it goes to
+the library's model at once; other new chunks go through the whole library, in
+batches.  Where the cut would not be exact (a space within a run of white space,
 special tokens written out in a text) the library gets the whole text.
 """
 
@@ -12,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -29,6 +32,11 @@ TAIL = ".,;:!?"
 #: A space between white space: there a cut would be wrong.  The first pattern is quick to rule it out.
 _GAP, _INNER = re.compile(r" \s"), re.compile(r"\s \s")
 _WIDE = re.compile("[^\x00-\u012f\u0131-\u024f]")
+#: How byte-level vocabularies spell the bytes of UTF-8: printable ones as they are, the others as letters from U+0100 on.
+_SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SPELT = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(_SEEN))}
+#: Makes bytes of few ids.
+_BYTES = [struct.Struct(f"={n}I").pack for n in range(16)]
 
 _open: dict[tuple[str, bool], "Encoder"] = {}
 
@@ -45,6 +53,10 @@ class Encoder:
         self.lowers = any(n["type"] == "Lowercase" for n in (made.get("normalizer") or {}).get("normalizers", []))
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.space = " " if keep_space else ""
+        self.lead = chr(_SPELT[32]) if keep_space else ""
+        steps = made["pre_tokenizer"].get("pretokenizers", [made["pre_tokenizer"]])
+        plain = steps[-1]["type"] == "ByteLevel" and not steps[-1]["add_prefix_space"] and made["model"]["type"] == "BPE" and not made["model"].get("dropout")
+        self.model = self.library.model if plain else None
         self.forget()
 
     def forget(self) -> None:
@@ -53,6 +65,17 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
+    def _word(self, word: str, lead: str) -> bytes | None:
+        """Ids of a word of letters below U+0250 that stay as they are when normalised, behind ``lead``; None for any other."""
+        if self.model is None or not word.isalpha() or (self.lowers and word != word.lower()):
+            return None
+        if not word.isascii():
+            if _WIDE.search(word):
+                return None
+            word = word.encode().decode("latin-1").translate(_SPELT)
+        ids = [t.id for t in self.model.tokenize(lead + word)]
+        return _BYTES[len(ids)](*ids) if len(ids) < len(_BYTES) else array("I", ids).tobytes()
+
     def _parts(self, chunk: str) -> tuple[str, ...]:
         """Pieces of a chunk that occur in other chunks too: the word and the marks behind it."""
         head, line, rest = chunk.partition("\n")
@@ -76,7 +99,12 @@ class Encoder:
             if k in old:
                 new[k] = old[k]
                 continue
-            piece = k[0] if k.__class__ is tuple else space + k
+            word, lead = (k[0], "") if k.__class__ is tuple else (k, self.lead)
+            ids = self._word(word, lead)
+            if ids is not None:
+                new[k] = ids
+                continue
+            piece = space + k if lead else word
             if k.__class__ is str and k.isalpha():
                 wanted[k] = piece
                 continue
@@ -90,6 +118,8 @@ class Encoder:
                 if p not in new:
                     if p in old:
                         new[p] = old[p]
+                    elif (ids := self._word(p[0], "") if p.__class__ is tuple else self._word(p, self.lead)) is not None:
+                        new[p] = ids
                     else:
                         wanted[p] = piece
         names, texts = list(wanted), list(wanted.values())
@@ -113,19 +143,26 @@ class Encoder:
                 keys: list = text.split(" ")
                 keys[:1] = [(keys[0],)] if keys[0] else []
             else:
-                if self.lowers and not _WIDE.search(text):
+                if self.lowers and (text.isascii() or not _WIDE.search(text)):
                     text = text.lower()  # as the library would: these letters have no marks to compose and no rules of context
                 keys = text.replace("\n", " ").split(" ")
             found = list(map(get, keys))
-            if None in found:
-                waiting[i] = keys
-                missing.update([k for k, f in zip(keys, found) if f is None])
+            at, gaps = -1, []
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                gaps.append(at)
+            if gaps:
+                lacking = [keys[at] for at in gaps]
+                waiting[i] = found, gaps, lacking
+                missing.update(lacking)
             else:
                 out[i] = b"".join(found)
         if missing:
             self._learn(list(missing))
-        for i, keys in waiting.items():
-            out[i] = b"".join(map(self.new.__getitem__, keys))
+        for i, (found, gaps, lacking) in waiting.items():
+            for at, k in zip(gaps, lacking):
+                found[at] = self.new[k]
+            out[i] = b"".join(found)
         for i, ids in zip(hard, self.whole([texts[i] for i in hard]) if hard else []):
             out[i] = ids
         return out
